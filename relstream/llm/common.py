@@ -68,3 +68,36 @@ def cut(df: DataFrame) -> DataFrame:
 def fold(doc_id: str = "doc_id"):
     """``crc32(doc_id as text) mod 3``; 1 is the held-out part. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
+
+
+_BYTE = np.random.default_rng(1).integers(1 << 62, (1 << 63) - 1, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_P = 0x5851F42D4C957F2D
+_P_INVERSE = pow(_P, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    own = _POWERS.get(base)
+    if own is None or len(own) < n:
+        with np.errstate(over="ignore"):
+            own = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16), np.uint64(base))])
+        if n <= 1 << 23:
+            _POWERS[base] = own
+    return own[:n]
+
+
+def hash_words(texts: Sequence[str | None], space: bytes = _WORD_TABLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all texts' words in order, the first word of each text (one more entry: the end), and the words' byte lengths.
+
+    Words are those of ``words()``; another ``bytes.translate`` table gives other words. A word's hash is a polynomial
+    of random numbers for its bytes, read off one running sum over all bytes, and mixed.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    buf = np.frombuffer(b" ".join([b"", *raw, b""]).translate(space), np.uint8)
+    at = np.cumsum([1, *(len(r) + 1 for r in raw)])
+    edge = np.flatnonzero(np.diff((buf != 32).view(np.int8)))
+    first, last = edge[0::2] + 1, edge[1::2] + 1
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * _powers(_P, len(buf)))])
+        h = mix((total[last] - total[first]) * _powers(_P_INVERSE, len(buf))[first] + (last - first).astype(np.uint64))
+    return h, np.searchsorted(first, at), last - first

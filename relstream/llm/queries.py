@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from relstream.llm.dart_minhash import op10_near_dedup
 from relstream.llm.quality import op5_quality
 from relstream.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op5_quality": op5_quality,
     "op9_toxicity": op9_toxicity,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
