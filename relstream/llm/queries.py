@@ -3,13 +3,38 @@
 from __future__ import annotations
 
 from relstream.llm.dart_minhash import op10_near_dedup
+from relstream.llm.decontamination import op1_decontamination
 from relstream.llm.quality import op5_quality
 from relstream.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op5_quality": op5_quality,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+bw AS (SELECT item, i AS j, least(13, len(ws)) AS n, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS g
+       FROM b, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) t(i) WHERE len(ws) > 0),
+dw AS (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+       FROM d, (SELECT DISTINCT n FROM bw) k, unnest(range(1, len(ws) - n + 2)) t(i)),
+hits AS (SELECT rid, i, j, n, item FROM dw JOIN bw USING (n, g)),
+hit_words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) t(p) GROUP BY rid),
+hit_items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid),
+runs AS (SELECT rid, item, i, n, i - row_number() OVER (PARTITION BY rid, item, i - j ORDER BY i) AS island, i - j AS diagonal FROM hits),
+spans AS (SELECT rid, item, min(i) AS i, count(*) - 1 + any_value(n) AS len FROM runs GROUP BY rid, item, diagonal, island),
+best AS (SELECT rid, max(len) AS longest, arg_max(i, struct_pack(a := len, b := -i)) - 1 AS longest_at FROM spans GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+       CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(longest_at AS BIGINT) AS longest_at
+FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid) LEFT JOIN best USING (rid)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": _OP1,
+}
