@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relstream.llm.common import chunks, fold, mix, table
-from relstream.llm.toxicity import training_rows
 
 #: Weights of the hashed features; the last one is the bias.
 DIMS = 1 << 18
@@ -106,15 +105,17 @@ def ftrl(examples: Iterator[tuple[str | None, int]]) -> np.ndarray:
     return w.astype(np.float32)
 
 
-def train(rows: DataFrame, label: str = "quality") -> np.ndarray:
-    """Weights from up to TRAIN_ROWS rows of (doc_id, text, label).
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
+    """Weights from up to TRAIN_ROWS labelled rows outside the held-out fold.
 
-    The sample is taken by the hash of the id, and one task reads it in that order, so the weights do not depend on the
-    partitioning. Null labels are left out; without rows all weights are 0 and every score is a half.
+    The sample is taken from ``labels`` by the hash of the id and is broadcast, so no other text moves; one task reads
+    it in that order, so the weights do not depend on the partitioning. Null labels are left out; without rows all
+    weights are 0 and every score is a half. Repeated ids give all their pairs of text and label.
     """
-    rows = rows.where(F.col(label).isin(0, 1)).select(F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id", "text", F.col(label).cast("int").alias("y"))
-    cut_off = rows.select("h").orderBy("h").limit(TRAIN_ROWS)
-    sample = rows.join(F.broadcast(cut_off.distinct()), "h", "left_semi")
+    known = labels.where(fold() != 1).where(F.col(label).isin(0, 1))
+    known = known.select(F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id", F.col(label).cast("int").alias("y"))
+    pick = known.orderBy("h", "doc_id", "y").limit(TRAIN_ROWS)
+    sample = docs.where(fold() != 1).select("doc_id", "text").join(F.broadcast(pick), "doc_id")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = ftrl(p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -142,7 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (1 from 0.5)."""
     docs = table(spark, sf_dir, "documents")
-    weights = train(training_rows(docs, table(spark, sf_dir, "labels"), "quality"))
+    weights = train(docs, table(spark, sf_dir, "labels"))
     done = score(docs.select("doc_id", "text"), weights)
     return done.select(
         "doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
