@@ -172,29 +172,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30)))
 
 
-def train(rows: DataFrame) -> Model:
-    """Fit on rows of (doc_id, text, toxic): gram counts over all of them but a hashed quarter, the link on LINK_ROWS of that quarter.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+    """Fit on the labelled rows outside the held-out fold: gram counts over all of them but a hashed quarter, the link
+    on LINK_ROWS rows of that quarter.
 
-    Rows whose label is null are left out. With no rows of one class every score is 0 (no toxic row) or by the link
-    alone. The link sees features only, never ids.
+    Counting joins texts to labels by a merge join at any size: neither side has a bound. The link's rows are picked
+    from the labels and broadcast. Rows whose label is null are left out. With rows of one class only, every score is
+    0 or 1. Scores never see ids.
     """
-    rows = rows.where("toxic in (0, 1)").withColumn("_h", F.xxhash64("doc_id", F.lit(9)))
-    part = F.pmod("_h", F.lit(4)) == 0
-    got = count_grams(rows.where(~part)).toArrow()
+    known = labels.where(fold() != 1).where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("toxic"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0
+    texts = docs.where(fold() != 1).select("doc_id", "text")
+    got = count_grams(texts.where(~part).join(known.where(~part).hint("merge"), "doc_id")).toArrow()
     gram, t, o = (got.column(c).to_numpy() for c in ("gram", "t", "o"))
     order = np.argsort(gram)
     ratio = ratios(gram[order].astype(np.int64), t[order].astype(np.float64), o[order].astype(np.float64))
-    shared = rows.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column(0).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    pick = rows.where(part).select("_h", "doc_id", "toxic")
-    pick = pick.orderBy("_h", "doc_id", "toxic").limit(LINK_ROWS)
-    sample = rows.where(part).join(F.broadcast(pick.select("_h").distinct()), "_h", "left_semi")
-    fit = sample.select("text", F.col("toxic").cast("int")).mapInArrow(link, "y int, x array<double>").toArrow().to_pydict()
+    pick = known.where(part).withColumn("h", F.xxhash64("doc_id", F.lit(9))).orderBy("h", "doc_id", "toxic").limit(LINK_ROWS)
+    sample = texts.join(F.broadcast(pick), "doc_id").select("text", "toxic")
+    fit = sample.mapInArrow(link, "y int, x array<double>").toArrow().to_pydict()
     shared.unpersist()
     y, x = np.array(fit["y"], np.float64), np.array(fit["x"], np.float64).reshape(len(fit["y"]), 1 + 2 * len(WINDOWS))
     if len(y) == 0 or y.min() == y.max():
@@ -218,16 +220,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     return docs.withColumn(out, toxic(F.col(text)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Labelled texts outside the held-out fold: (doc_id, text, <label>)."""
-    known = labels.where(fold() != 1).select("doc_id", label).dropna()
-    return docs.where(fold() != 1).select("doc_id", "text").join(known, "doc_id")
-
-
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (1 from 0.7)."""
     docs = table(spark, sf_dir, "documents")
-    model = train(training_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
+    model = train(docs, table(spark, sf_dir, "labels"))
     done = score(docs.select("doc_id", "text"), model)
     return done.select(
         "doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
