@@ -5,11 +5,13 @@ from __future__ import annotations
 from relstream.llm.dart_minhash import op10_near_dedup
 from relstream.llm.decontamination import op1_decontamination
 from relstream.llm.quality import op5_quality
+from relstream.llm.secrets import op6_secrets
 from relstream.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
