@@ -97,7 +97,11 @@ def hash_words(texts: Sequence[str | None], space: bytes = _WORD_TABLE) -> tuple
     at = np.cumsum([1, *(len(r) + 1 for r in raw)])
     edge = np.flatnonzero(np.diff((buf != 32).view(np.int8)))
     first, last = edge[0::2] + 1, edge[1::2] + 1
+    return hash_spans(buf, first, last), np.searchsorted(first, at), last - first
+
+
+def hash_spans(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range [first, last) of the bytes ``buf``."""
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * _powers(_P, len(buf)))])
-        h = mix((total[last] - total[first]) * _powers(_P_INVERSE, len(buf))[first] + (last - first).astype(np.uint64))
-    return h, np.searchsorted(first, at), last - first
+        return mix((total[last] - total[first]) * _powers(_P_INVERSE, max(1, len(buf)))[first] + (last - first).astype(np.uint64))

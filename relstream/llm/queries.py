@@ -7,9 +7,11 @@ from relstream.llm.decontamination import op1_decontamination
 from relstream.llm.quality import op5_quality
 from relstream.llm.secrets import op6_secrets
 from relstream.llm.toxicity import op9_toxicity
+from relstream.llm.unigram_codec import op3_sentencepiece
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op9_toxicity": op9_toxicity,
