@@ -7,10 +7,12 @@ keeps the earliest dart of each of ``k`` coordinates; two documents share a coor
 weighted Jaccard similarity of their sets. Bands of coordinates make buckets; candidates from buckets are verified on
 the exact shingle sets.
 
-Plan: exact copies (same words) collapse first, in a partially aggregated group-by. Bucket members are compared with
-their bucket's first and last member, never with each other in full; members that stay in other components are
-compared, in further rounds of at most ``HUBS`` members a bucket, with all members of other components, so no pair
-that met in a bucket is left undecided. Components are found by contracting edges to the least neighbour.
+Plan: exact copies (same words) collapse first, in a partially aggregated group-by. Documents that meet in buckets form
+families (components of the graph of buckets). A family is dealt to blocks of bounded size; every block also holds the
+family's hub, the member that meets most others. A block's shingle sets are intersected all at once by matrix products
+over the shingles that occur twice, and only a spanning forest of its links leaves the task. In families of several
+blocks, the members that the first round left outside the largest component are compared with all members, again block
+by block, so no pair of a family is left undecided. Components are found by contracting edges to the least neighbour.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Bands times rows a band; at similarity 0.8 a pair meets in some band but for 2.2 in 10,000 cases.
 BANDS, ROWS = 16, 4
-#: Members of a bucket compared with all others of other components in one round.
-HUBS = 8
+#: Members and shingles of a block at most, on average.
+BLOCK_DOCS, BLOCK_SHINGLES = 96, 1 << 16
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = [np.uint64(int(sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) * (1 << 64)) - 1) for j in range(9)]
@@ -172,22 +174,73 @@ def content_key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([k for lo, hi in chunks(texts) for k in shingles(texts[lo:hi])[2]], pa.binary())
 
 
-def _similar(weighted: bool):
-    @F.arrow_udf("double")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y in batches:
-            a, b, out = x.to_pylist(), y.to_pylist(), []
-            for p, q in zip(a, b, strict=True):
-                s, t = shingles([p])[0], shingles([q])[0]
-                if weighted:
-                    u, n = np.unique(np.r_[s, t], return_inverse=True)
-                    m, o = np.bincount(n[: len(s)], minlength=len(u)), np.bincount(n[len(s) :], minlength=len(u))
-                    out.append(np.minimum(m, o).sum() / max(1, np.maximum(m, o).sum()))
-                else:
-                    s, t = np.unique(s), np.unique(t)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    out.append(both / max(1, len(s) + len(t) - both))
-            yield pa.array(out, pa.float64())
+@F.arrow_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("elements", T.BinaryType()), T.StructField("counts", T.BinaryType())]))
+def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Key, distinct shingle hashes and their counts of each text."""
+    for x in batches:
+        keys, sets, counts = [], [], []
+        for t in x.to_pylist():
+            e, _, key = shingles([t])
+            u, n = np.unique(e, return_counts=True)
+            keys += key
+            sets.append(u.tobytes())
+            counts.append(n.astype(np.uint32).tobytes())
+        yield pa.StructArray.from_arrays([pa.array(v, pa.binary()) for v in (keys, sets, counts)], ["key", "elements", "counts"])
+
+
+def overlaps(sets: list[np.ndarray], counts: list[np.ndarray] | None) -> np.ndarray:
+    """Jaccard similarity of all sets (of multisets if ``counts``), by products of matrices of 4,096 shared shingles."""
+    m = len(sets)
+    size = np.array([len(x) if counts is None else c.sum() for x, c in zip(sets, counts or sets, strict=True)], np.float64)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    shingle, column, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    both = np.zeros((m, m), np.float64)
+    new = np.cumsum(times > 1) - 1
+    live = times[column] > 1
+    owner, column = owner[live], new[column[live]]
+    value = None if counts is None else np.concatenate([np.zeros(0, np.uint32), *counts])[live].astype(np.float32)
+    order = np.argsort(column, kind="stable")
+    edges = np.searchsorted(column[order], np.arange(0, (int(new[-1]) + 1 if len(new) else 0) + 4096, 4096))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        i = order[a:b]
+        x = np.zeros((m, 4096), np.float32)
+        if value is None:
+            x[owner[i], column[i] - 4096 * k] = 1
+            both += x @ x.T
+        else:  # sum of minima: one product for every count level
+            x[owner[i], column[i] - 4096 * k] = value[i]
+            for level in range(1, int(value[i].max(initial=0)) + 1):
+                y = (x >= level).astype(np.float32)
+                both += y @ y.T
+    return both / np.maximum(size[:, None] + size[None, :] - both, 1)
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of the graph given by a boolean matrix."""
+    root = np.arange(len(near))
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        if root[i] != root[j]:
+            out.append((int(i), int(j)))
+            root[root == root[j]] = root[i]
+    return out
+
+
+def _links(threshold: float, weighted: bool, sides: bool):
+    """Grouped function: a block's rows (nid, elements, counts, side) to links (a, b); with ``sides``, only between side 0 and side 1."""
+
+    def run(block: pa.Table) -> pa.Table:
+        nid, side = block.column("nid").to_numpy(), block.column("side").to_numpy()
+        _, one = np.unique(nid * 2 + side, return_index=True)
+        nid, side = nid[one], side[one]
+        sets = [np.frombuffer(x, np.uint64) for x in block.column("elements").take(pa.array(one)).to_pylist()]
+        counts = [np.frombuffer(x, np.uint32) for x in block.column("counts").take(pa.array(one)).to_pylist()] if weighted else None
+        near = overlaps(sets, counts) >= threshold - 1e-12
+        if sides:
+            near &= (side[:, None] != side[None, :]) & (nid[:, None] != nid[None, :])
+        pairs = _forest(near)
+        a, b = nid[[i for i, _ in pairs]], nid[[j for _, j in pairs]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return run
 
@@ -216,12 +269,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate classes of ``docs``: rows (doc_id, key) as they came, and nodes (key, class_id, class_key, links).
+    """Near-duplicate classes of ``docs``: rows (doc_id, key) as they came, and nodes (key, class_id, class_key).
 
     A node is a distinct word sequence; ``class_id`` is the least id in its class, ``class_key`` the key of the document
-    that has it, ``links`` the node's verified partners of other words. Similarity is the Jaccard index of five-word
-    shingle sets (of multisets if ``weighted``). A null text counts as empty; texts without words are in one class only
-    if identical; a class whose ids are all null has a null class_id. Repeated rows are exact copies.
+    that has it. Similarity is the Jaccard index of five-word shingle sets (of multisets if ``weighted``). A null text
+    counts as empty; texts without words are in one class only if identical; a class whose ids are all null has a null
+    class_id. Repeated rows are exact copies.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -229,57 +282,49 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     nodes = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
     every = nodes.select("nid", F.explode("bands").alias("bucket"))
-    hubs = every.groupBy("bucket").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi")
-    met = cut(every.join(hubs, "bucket"))
+    shared = every.groupBy("bucket").agg(F.min("nid").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = every.join(shared, "bucket").groupBy("nid", "lo").agg(F.sum("n").alias("n"))
+    met = cut(met)
+    family = components(met.where("nid <> lo").select(F.col("lo").alias("a"), F.col("nid").alias("b")))
+    family = family.join(met.groupBy("nid").agg(F.sum("n").alias("meets")), family["node"] == F.col("nid")).select("nid", F.col("root").alias("family"), "meets")
 
     shared_dir(spark)
-    store = f"{spark.sparkContext.getCheckpointDir()}/texts-{uuid.uuid4().hex}"
-    wanted = met.select("nid").distinct().join(nodes.select("nid", "id", "key"), "nid")
-    found = base.join(wanted, base["doc_id"].eqNullSafe(wanted["id"])).select("nid", "key", "text")
-    found = found.where(content_key("text") == F.col("key")).dropDuplicates(["nid"]).select("nid", "text")
-    found.write.parquet(store)
-    texts = spark.read.parquet(store)
-    similar = _similar(weighted)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return p.where(similar("ta", "tb") >= threshold - 1e-12).select("a", "b")
-
-    def pair(x: str, y: str) -> Column:
-        return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).alias("p")
-
-    tried = cut(
-        met.where("nid <> lo").select(pair("nid", "lo"))
-        .union(met.where("nid <> hi").select(pair("nid", "hi"))).select("p.*").distinct()
-    )
-    edges = cut(verified(tried))
-    done = met.groupBy("bucket").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")).select("bucket", F.array("lo", "hi").alias("past"))
-    while True:
+    store = f"{spark.sparkContext.getCheckpointDir()}/sets-{uuid.uuid4().hex}"
+    wanted = family.join(nodes.select("nid", "id", F.col("key").alias("own")), "nid")
+    found = base.join(wanted, base["doc_id"].eqNullSafe(wanted["id"])).select("nid", "family", "meets", "own", shingle_set("text").alias("s"))
+    found = found.where("s.key = own").dropDuplicates(["nid"])
+    found.select("nid", "family", "meets", "s.elements", "s.counts", (F.octet_length("s.elements") / 8).cast("long").alias("size")).write.parquet(store)
+    sets = spark.read.schema("nid long, family long, meets long, elements binary, counts binary, size long").parquet(store)
+
+    share = lambda n, s: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
+    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.max(F.struct("meets", "nid"))["nid"].alias("hub"))
+    sizes = cut(sizes.select("family", share(F.col("n"), F.col("s")).alias("blocks"), "hub"))
+    dealt = sets.join(sizes, "family").withColumn("i", F.when(F.col("nid") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place(F.col("blocks")))))
+    dealt = dealt.select("family", F.explode("i").alias("i"), "nid", F.lit(0).alias("side"), "elements", "counts")
+    edges = cut(dealt.groupBy("family", "i").applyInArrow(_links(threshold, weighted, False), "a long, b long"))
+    roots = components(edges)
+
+    # families of several blocks: members outside the largest component against all
+    wide = sizes.where("blocks > 1")
+    if not wide.isEmpty():
+        held = sets.join(wide, "family").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        count = held.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = count.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+        slim = held.select("nid", "family", "root", "size", "blocks").join(main, "family").where("root <> main")
+        out = slim.groupBy("family").agg(share(F.count(F.lit(1)), F.sum("size")).alias("parts"))
+        out = cut(out)
+        outside = held.join(main, "family").where("root <> main").join(out, "family").select(
+            "family", place(F.col("parts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "nid", F.lit(0).alias("side"), "elements", "counts")
+        whole = held.join(out, "family").select(
+            "family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), place(F.col("blocks")).alias("j"), "nid", F.lit(1).alias("side"), "elements", "counts")
+        more = outside.union(whole).groupBy("family", "i", "j").applyInArrow(_links(threshold, weighted, True), "a long, b long")
+        edges = cut(edges.union(more))
         roots = components(edges)
-        held = met.select("bucket", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("root", "nid").alias("root"))
-        held = cut(held)
-        mixed = held.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y and n > 2")
-        # members outside the bucket's least component that have not been compared with all others yet
-        left = held.join(mixed.select("bucket", "x"), "bucket").where("root <> x").join(done, "bucket", "left")
-        left = left.where(F.col("past").isNull() | ~F.array_contains("past", F.col("nid")))
-        new = left.groupBy("bucket").agg(*[F.min(F.when(F.pmod(F.xxhash64("nid"), F.lit(HUBS)) == i, F.col("nid"))).alias(f"h{i}") for i in range(HUBS)])
-        new = cut(new.select("bucket", F.array_compact(F.array(*[f"h{i}" for i in range(HUBS)])).alias("hubs")))
-        if new.isEmpty():
-            break
-        at = held.select("bucket", F.col("nid").alias("hub"), F.col("root").alias("hub_root"))
-        turn = new.select("bucket", F.explode("hubs").alias("hub")).join(at, ["bucket", "hub"])
-        more = held.join(turn, "bucket").where("root <> hub_root").select(pair("nid", "hub")).select("p.*").distinct()
-        more = cut(more.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(more)
-        edges = cut(edges.union(verified(more)))
-        done = cut(done.join(new, "bucket", "left").select("bucket", F.concat("past", F.coalesce("hubs", F.array().cast("array<bigint>"))).alias("past")))
-
-    links = edges.union(edges.select("b", "a")).toDF("nid", "other").groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
-    full = nodes.select("key", "id", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").join(links, "nid", "left")
-    full = full.select("key", "id", F.coalesce("root", "nid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+
+    full = nodes.select("key", "id", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "id", F.coalesce("root", "nid").alias("root"))
     best = full.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.hex("key").alias("hex"))).alias("m"))
-    full = full.join(best, "root").select("key", F.col("m.id").alias("class_id"), F.unhex("m.hex").alias("class_key"), F.col("links").cast("long").alias("links"))
-    full = cut(full)
+    full = cut(full.join(best, "root").select("key", F.col("m.id").alias("class_id"), F.unhex("m.hex").alias("class_key")))
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return rows.select("doc_id", "key"), full
@@ -299,8 +344,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, class_id, links (verified partners of other words), kept (it is its class's representative)."""
+    """Per document: doc_id, class_id, kept (it is its class's representative)."""
     rows, nodes = classes(table(spark, sf_dir, "documents"))
     return rows.join(nodes, "key").select(
-        "doc_id", "class_id", "links", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))).alias("kept")
+        "doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))).alias("kept")
     )
