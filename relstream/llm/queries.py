@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from relstream.llm.chat import op7_chat
 from relstream.llm.dart_minhash import op10_near_dedup
 from relstream.llm.decontamination import op1_decontamination
+from relstream.llm.media_sniff import op4_media
 from relstream.llm.quality import op5_quality
 from relstream.llm.secrets import op6_secrets
 from relstream.llm.toxicity import op9_toxicity
@@ -12,8 +14,10 @@ from relstream.llm.unigram_codec import op3_sentencepiece
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_media": op4_media,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
+    "op7_chat": op7_chat,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
@@ -39,6 +43,23 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid) LEFT JOIN best USING (rid)
 """
 
+_ESCAPED = "replace(replace(replace({}, '\\', '\\\\'), '[', '\\['), '<', '\\<')"
+
+_OP7 = f"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length({_ESCAPED.format('text')}) + 4
+                ELSE length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + 14 END) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_chat": _OP7,
     "op1_decontamination": _OP1,
 }
