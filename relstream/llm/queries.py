@@ -5,19 +5,23 @@ from __future__ import annotations
 from relstream.llm.chat import op7_chat
 from relstream.llm.dart_minhash import op10_near_dedup
 from relstream.llm.decontamination import op1_decontamination
+from relstream.llm.html_extract import op2_html_text
 from relstream.llm.media_sniff import op4_media
 from relstream.llm.quality import op5_quality
 from relstream.llm.secrets import op6_secrets
 from relstream.llm.toxicity import op9_toxicity
 from relstream.llm.unigram_codec import op3_sentencepiece
+from relstream.llm.url_filter import op8_url_filter
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_text": op2_html_text,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_media": op4_media,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_chat": op7_chat,
+    "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
