@@ -30,7 +30,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 SEEDS = frozenset(
-    "ads adserver adult bet bets betting bitcoin-doubler casino cheap clickbait fakes gambling hentai loan loans lottery malware payday pharma pills phishing poker porn replica sex slots spam track tracker viagra virus warez xxx".split()
+    "ads adserver adult bet bets betting casino cheap clickbait fakes gambling hentai loan loans lottery malware payday pharma pills phishing poker porn replica sex slots spam track tracker viagra virus warez xxx".split()
 )
 #: Words the segmenter knows: the most frequent ones of all URLs.
 VOCABULARY = 100_000
