@@ -37,6 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 #: Members and shingles of a block at most, on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 96, 1 << 16
+#: Keys that the rows of one family are dealt over where facts of the family are joined to them.
+SALTS = 32
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = [np.uint64(int(sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) * (1 << 64)) - 1) for j in range(9)]
@@ -308,18 +310,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     # families of several blocks: members outside the largest component against all
     wide = sizes.where("blocks > 1")
     if not wide.isEmpty():
-        held = sets.join(wide, "family").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        count = held.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"))
-        main = count.groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-        slim = held.select("nid", "family", "root", "size", "blocks").join(main, "family").where("root <> main")
-        out = slim.groupBy("family").agg(share(F.count(F.lit(1)), F.sum("size")).alias("parts"))
-        out = cut(out)
-        outside = held.join(main, "family").where("root <> main").join(out, "family").select(
-            "family", place(F.col("parts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "nid", F.lit(0).alias("side"), "elements", "counts")
-        whole = held.join(out, "family").select(
-            "family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), place(F.col("blocks")).alias("j"), "nid", F.lit(1).alias("side"), "elements", "counts")
-        more = outside.union(whole).groupBy("family", "i", "j").applyInArrow(_links(threshold, weighted, True), "a long, b long")
-        edges = cut(edges.union(more))
+        # a family may hold a third of all rows: family facts are copied to SALTS keys, rows pick theirs by hash
+        salted = lambda f: f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = sets.withColumn("salt", place(F.lit(SALTS)))
+        held = spread.select("nid", "family", "salt", "size").join(salted(wide.select("family", "blocks")), ["family", "salt"])
+        held = held.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        held = cut(held)
+        main = held.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+        main = cut(main)
+        outer = held.join(salted(main), ["family", "salt"]).where("root <> main")
+        out = outer.groupBy("family").agg(share(F.count(F.lit(1)), F.sum("size")).alias("parts"))
+        facts = cut(wide.join(main, "family").join(out, "family").select("family", "blocks", "main", "parts"))
+        every_row = spread.join(salted(facts), ["family", "salt"]).join(held.select("nid", "root"), "nid")
+        every_row = every_row.select("family", "nid", "elements", "counts", "parts", "blocks", (F.col("root") != F.col("main")).alias("outside"))
+        # an outside member goes to all blocks of the family as side 0, every member to all parts as side 1
+        copies = F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("i"), place(F.col("blocks")).alias("j"), F.lit(1).alias("side"))),
+            F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(place(F.col("parts")).alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
+        )
+        more = every_row.withColumn("c", F.explode(copies)).select("family", "c.*", "nid", "elements", "counts")
+        edges = cut(edges.union(more.groupBy("family", "i", "j").applyInArrow(_links(threshold, weighted, True), "a long, b long")))
         roots = components(edges)
 
     full = nodes.select("key", "id", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "id", F.coalesce("root", "nid").alias("root"))
