@@ -42,9 +42,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether decoding gives back the text."""
-    done = unigram_codec.decoded(unigram_codec.encoded(docs.select("doc_id", "text")))
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("lossless"))
+    done = unigram_codec.round_trip(docs.select("doc_id", "text"))
+    return done.select("doc_id", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", "coded.lossless")
 
 
 STAGES = [

@@ -25,6 +25,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Longest part, in bytes, that is segmented together with others.
 TOGETHER = 24
+#: Characters that one step of encoding holds.
+STEP_CHARS = 1 << 19
+#: Ids that one step of decoding holds.
+STEP_IDS = 1 << 18
 #: A character without a piece costs this much more than the rarest piece.
 UNKNOWN_COST = 10.0
 
@@ -265,11 +269,19 @@ class Codec:
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Bytes of texts given as by ``encode``: pieces spelled out, the leading marker taken off. Control pieces spell nothing."""
-        n = self.blob_at[ids + 1] - self.blob_at[ids]
-        total = np.concatenate([[0], np.cumsum(n)])
-        raw = self.blob[np.repeat(self.blob_at[ids] - total[:-1], n) + np.arange(total[-1])].tobytes()
-        cut = total[at].tolist()
-        return [raw[a + (raw[a : a + 1] == b" ") : b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        out: list[bytes] = []
+        size = (self.blob_at[1:] - self.blob_at[:-1]).astype(np.int32)
+        k = 0
+        while k < len(at) - 1:  # steps of about STEP_IDS ids
+            e = max(k + 1, int(np.searchsorted(at, at[k] + STEP_IDS, "right")) - 1)
+            own = ids[at[k] : at[e]]
+            n = size[own]
+            total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+            raw = self.blob[np.repeat(self.blob_at[own] - total[:-1], n) + np.arange(total[-1])].tobytes()
+            cut = total[at[k : e + 1] - at[k]].tolist()
+            out += [raw[a + (raw[a : a + 1] == b" ") : b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            k = e
+        return out
 
 
 def encoded(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
@@ -282,7 +294,7 @@ def encoded(docs: DataFrame, text: str = "text", out: str = "ids", model: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             texts = x.to_pylist()
-            done = [shared.value.encode(texts[lo:hi]) for lo, hi in chunks(texts)]
+            done = [shared.value.encode(texts[lo:hi]) for lo, hi in chunks(texts, STEP_CHARS)]
             ids = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in done)])
             count = np.concatenate([np.zeros(1, np.int64), *(np.diff(a) for _, a in done)])
             yield pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(ids, pa.int32()))
@@ -298,17 +310,37 @@ def decoded(docs: DataFrame, ids: str = "ids", out: str = "decoded", model: str
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             flat, at = x.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(0 if n is None else n for n in x.value_lengths().to_pylist())])
-            texts = [b.decode("utf-8", "replace") for b in shared.value.decode(flat.astype(np.int64), at)]
+            texts = [b.decode("utf-8", "replace") for b in shared.value.decode(flat, at)]
             yield pa.array([t if v else None for t, v in zip(texts, x.is_valid().to_pylist(), strict=True)], pa.string())
 
     return docs.withColumn(out, run(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, text: str = "text", out: str = "coded", model: str = MODEL) -> DataFrame:
+    """``docs`` with struct ``out`` (ids, n_chars of the decoded text, lossless): encoded and decoded in one step, so that
+    a task needs one Python worker and the decoded text is not sent back. Null counts as empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Codec(read_model(model)))
+
+    @F.arrow_udf("ids array<int>, n_chars bigint, lossless boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in batches:
+            texts = x.to_pylist()
+            ids, count, chars, same = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], []
+            for lo, hi in chunks(texts, STEP_CHARS):
+                flat, at = shared.value.encode(texts[lo:hi])
+                ids.append(flat)
+                count.append(np.diff(at))
+                back = [b.decode("utf-8", "surrogatepass") for b in shared.value.decode(flat, at)]
+                chars += map(len, back)
+                same += [b == (t or "") for b, t in zip(back, texts[lo:hi], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count)), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            yield pa.StructArray.from_arrays([lists, pa.array(chars, pa.int64()), pa.array(same, pa.bool_())], ["ids", "n_chars", "lossless"])
+
+    return docs.withColumn(out, run(F.col(text)))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids, n_chars of the decoded text, lossless (decoding gives back the text)."""
-    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    done = decoded(docs.select("doc_id", "text", "ids"))
-    return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("decoded").cast("long").alias("n_chars"),
-        (F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("lossless"),
-    )
+    docs = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", "coded.n_chars", "coded.lossless")
