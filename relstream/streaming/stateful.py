@@ -22,10 +22,19 @@ def _plain(rows: Iterator[Row]) -> list[Row]:
     return [r if isinstance(r, Row) else Row(**r.asDict()) for r in rows]
 
 
+def _store(state: Any, rows: list[Row]) -> None:
+    """The store takes no empty list."""
+    if rows:
+        state.put([tuple(r) for r in rows])
+    else:
+        state.clear()
+
+
 class RowsOver(StatefulProcessor):
     """For every arriving row an aggregate over the last ``size`` rows by order key, itself included."""
 
-    def __init__(self, schema: T.StructType, order: Sequence[str], size: int, aggregate: Aggregate):
+    def __init__(self, schema: T.StructType, order: Sequence[str], size: int, aggregate: Aggregate, outputs: Sequence[str]):
+        self.out = [*schema.names, *outputs]
         self.schema, self.order, self.size, self.aggregate = schema, list(order), size, aggregate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -43,8 +52,8 @@ class RowsOver(StatefulProcessor):
             del held[: max(0, len(held) - self.size)]
             got = self.aggregate(held)
             if got is not None:
-                yield Row(*r, *got)
-        self.rows.put([tuple(r) for r in held])
+                yield Row(*self.out)(*r, *got)
+        _store(self.rows, held)
 
     def close(self) -> None:
         pass
@@ -53,7 +62,8 @@ class RowsOver(StatefulProcessor):
 class DurationOver(StatefulProcessor):
     """A row is final once event time has passed its time plus ``size_ms``; then it comes out with an aggregate over the rows of its key from its time up to ``size_ms - 1`` later."""
 
-    def __init__(self, schema: T.StructType, time: str, size_ms: int, aggregate: Aggregate):
+    def __init__(self, schema: T.StructType, time: str, size_ms: int, aggregate: Aggregate, outputs: Sequence[str]):
+        self.out = [*schema.names, *outputs]
         self.schema, self.time, self.size, self.aggregate = schema, time, size_ms, aggregate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -80,8 +90,8 @@ class DurationOver(StatefulProcessor):
                 first = next(k for k, x in enumerate(held) if x[self.time] == due)
                 got = self.aggregate([x for x in held[first:] if x[self.time] < due + self.size])
                 if got is not None:
-                    out.append(Row(*r, *got))
-        self.rows.put([tuple(r) for r in held if r[self.time] > due])
+                    out.append(Row(*self.out)(*r, *got))
+        _store(self.rows, [r for r in held if r[self.time] > due])
         return iter(out)
 
     def close(self) -> None:
@@ -104,7 +114,7 @@ class Reorder(StatefulProcessor):
         new = _plain(rows)
         held = [Row(*self.schema.names)(*s) for s in self.rows.get()] if self.rows.exists() else []
         ready, held = release(held + new, max(r[self.time] for r in new), self.time, self.delay)
-        self.rows.put([tuple(r) for r in held])
+        _store(self.rows, held)
         yield from ready
 
     def close(self) -> None:
@@ -175,7 +185,7 @@ class CompatSlideProcessor(StatefulProcessor):
         window = CompatSlide(self.size, self.slide, json.loads(self.value.get()[0]) if self.value.exists() else None)
         for r in sorted(_plain(rows), key=lambda r: r[self.order]):
             for k, start, found in window.add(r[self.key], r[self.time], r[self.time]):
-                yield Row(key[0], k, start, len(found), json.dumps(found))
+                yield Row("clock", "key", "window_start", "n", "rows")(key[0], k, start, len(found), json.dumps(found))
         self.value.update((json.dumps(window.state()),))
 
     def close(self) -> None:
@@ -200,7 +210,7 @@ class LateRows(StatefulProcessor):
         for r in new:
             start = r[self.time] - r[self.time] % self.size
             if clock is not None and start + self.size <= clock - self.delay:
-                yield Row(*r, start)
+                yield Row(*r.asDict(), "window_start")(*r, start)
         self.clock.update((max([r[self.time] for r in new] + ([] if clock is None else [clock])),))
 
     def close(self) -> None:
@@ -213,13 +223,13 @@ def _added(schema: T.StructType, outputs: str) -> T.StructType:
 
 def rows_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, aggregate: Aggregate, outputs: str) -> DataFrame:
     """Streaming over-by-size: input columns and ``outputs`` (DDL) for every row."""
-    return df.groupBy(*keys).transformWithState(RowsOver(df.schema, order, size, aggregate), _added(df.schema, outputs), "Append", "None")
+    return df.groupBy(*keys).transformWithState(RowsOver(df.schema, order, size, aggregate, T.StructType.fromDDL(outputs).names), _added(df.schema, outputs), "Append", "None")
 
 
 def duration_over(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, aggregate: Aggregate, outputs: str, watermark: str, delay: str = "0 seconds") -> DataFrame:
     """Streaming over-by-duration; ``watermark`` is the timestamp column that event time follows, ``time`` its epoch ms."""
     slim = df.withWatermark(watermark, delay)
-    return slim.groupBy(*keys).transformWithState(DurationOver(df.schema, time, size_ms, aggregate), _added(df.schema, outputs), "Append", "EventTime")
+    return slim.groupBy(*keys).transformWithState(DurationOver(df.schema, time, size_ms, aggregate, T.StructType.fromDDL(outputs).names), _added(df.schema, outputs), "Append", "EventTime")
 
 
 def reorder(df: DataFrame, keys: Sequence[str], time: str, delay_ms: int) -> DataFrame:
