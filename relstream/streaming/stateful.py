@@ -81,16 +81,15 @@ class DurationOver(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         names = self.schema.names
         held = sorted((Row(*names)(*s) for s in self.rows.get()), key=lambda r: r[self.time])
-        due = expiredTimerInfo.getExpiryTimeInMs() - self.size
+        due = expiredTimerInfo.getExpiryTimeInMs() - self.size  # timers of one batch come in any order: take all that is final
         out = []
-        for i, r in enumerate(held):
-            if r[self.time] > due:
+        for r in held:
+            t = r[self.time]
+            if t > due:
                 break
-            if r[self.time] == due:
-                first = next(k for k, x in enumerate(held) if x[self.time] == due)
-                got = self.aggregate([x for x in held[first:] if x[self.time] < due + self.size])
-                if got is not None:
-                    out.append(Row(*self.out)(*r, *got))
+            got = self.aggregate([x for x in held if t <= x[self.time] < t + self.size])
+            if got is not None:
+                out.append(Row(*self.out)(*r, *got))
         _store(self.rows, [r for r in held if r[self.time] > due])
         return iter(out)
 
