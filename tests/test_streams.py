@@ -78,7 +78,7 @@ def test_rows_over_stream_equals_batch(spark, tmp_path):
 
 
 def test_duration_over_stream_equals_batch(spark, tmp_path):
-    rows = [("a", t) for t in (0, 1000, 2500, 2500, 9000)] + [("b", 400)]
+    rows = [("a", t) for t in (10, 1000, 2500, 2500, 9000)] + [("b", 400)]
     df = _stream(spark, tmp_path, [rows, [("a", 50_000)], [("a", 60_000)]]).withColumn("at", F.timestamp_millis("ts"))
     done = stateful.duration_over(df, ["k"], "ts", 2000, lambda h: (len(h),), "n long", "at")
     got = {(r[0], r[1], r[3]) for r in _all(spark, done, tmp_path)}
