@@ -214,6 +214,7 @@ def overlaps(sets: list[np.ndarray], counts: list[np.ndarray] | None) -> np.ndar
             for level in range(1, int(value[i].max(initial=0)) + 1):
                 y = (x >= level).astype(np.float32)
                 both += y @ y.T
+    np.fill_diagonal(both, size)  # shingles of one set alone were left out
     return both / np.maximum(size[:, None] + size[None, :] - both, 1)
 
 

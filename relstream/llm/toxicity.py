@@ -69,7 +69,10 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi in chunks(texts):
             for c in (0, 1):
                 own = [t for t, x in zip(texts[lo:hi], cls[lo:hi], strict=True) if x == c]
-                g, m = np.unique(grams(encode(own)[0]), return_counts=True)
+                sym, at = encode(own)
+                inside = np.ones(len(sym), bool)  # grams that end in a text, not in the blanks before one
+                inside[(at[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
+                g, m = np.unique(grams(sym)[inside[ORDER - 1 :]], return_counts=True)
                 keys, n = np.concatenate([keys, g.astype(np.int64) << 1 | c]), np.concatenate([n, m])
             keys, back = np.unique(keys, return_inverse=True)
             n = np.bincount(back, n, len(keys)).astype(np.int64)
