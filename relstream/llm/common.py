@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one vectorised step holds; a longer text is a step of its own.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 
 #: ``bytes.translate`` table: A-Z lower-cased, a-z, 0-9 and all bytes of non-ASCII characters kept, the rest a space.
 _WORD_TABLE = bytes(
@@ -40,6 +42,22 @@ def chunks(texts: Sequence[str | None], limit: int = CHUNK_CHARS) -> Iterator[tu
         yield start, len(texts)
 
 
+def steps(x: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[list[str | None]]:
+    """The texts of an Arrow array as lists of about ``limit`` bytes each: only one step's texts become Python strings.
+
+    An empty array is one empty step.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(x.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(x) or not len(x):
+        done = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, done + limit, "right")))
+        yield x.slice(start, end - start).to_pylist()
+        if not len(x):
+            return
+        start = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply) on a uint64 array."""
     x = x.astype(np.uint64, copy=True)
@@ -81,7 +99,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     if own is None or len(own) < n:
         with np.errstate(over="ignore"):
             own = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16), np.uint64(base))])
-        if n <= 1 << 23:
+        if n <= 1 << 20:
             _POWERS[base] = own
     return own[:n]
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relstream.llm.common import chunks, cut, hash_words, mix, shared_dir, table
+from relstream.llm.common import chunks, cut, hash_words, mix, shared_dir, steps, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -141,7 +141,7 @@ def _throw(element: np.ndarray, weight: np.ndarray | None, start: np.ndarray, li
 
 def _sketch_batch(texts: list[str | None], weighted: bool) -> pa.StructArray:
     keys, bands = [], []
-    for lo, hi in chunks(texts, 1 << 20):
+    for lo, hi in chunks(texts):
         element, start, own = shingles(texts[lo:hi])
         keys += own
         weight = None
@@ -164,7 +164,7 @@ def sketch(text: Column, weighted: bool = False) -> Column:
     @F.arrow_udf("key binary, bands array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            yield _sketch_batch(x.to_pylist(), weighted)
+            yield pa.concat_arrays([_sketch_batch(own, weighted) for own in steps(x)])
 
     return run(text)
 
@@ -172,8 +172,7 @@ def sketch(text: Column, weighted: bool = False) -> Column:
 @F.arrow_udf(T.BinaryType())
 def content_key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for x in batches:
-        texts = x.to_pylist()
-        yield pa.array([k for lo, hi in chunks(texts) for k in shingles(texts[lo:hi])[2]], pa.binary())
+        yield pa.array([k for own in steps(x) for k in shingles(own)[2]], pa.binary())
 
 
 @F.arrow_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("elements", T.BinaryType()), T.StructField("counts", T.BinaryType())]))
@@ -181,7 +180,7 @@ def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Key, distinct shingle hashes and their counts of each text."""
     for x in batches:
         keys, sets, counts = [], [], []
-        for t in x.to_pylist():
+        for t in (t for own in steps(x) for t in own):
             e, _, key = shingles([t])
             u, n = np.unique(e, return_counts=True)
             keys += key

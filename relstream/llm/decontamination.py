@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relstream.llm.common import chunks, hash_words, table, words
+from relstream.llm.common import chunks, hash_words, steps, table, words
 
 WINDOW = 13
 #: Benchmark words in one broadcast block (about 40 bytes each).
@@ -103,7 +103,7 @@ def search(numbers: np.ndarray, block: Block) -> Iterator[tuple[bytes, np.ndarra
 
 def _match(texts: list[str | None], block: Block) -> Iterator[dict]:
     """Per text: n_words, runs of hit words (flat starts and ends), items, and the longest verbatim match: words, start, item."""
-    for lo, hi in chunks(texts, 1 << 20):
+    for lo, hi in chunks(texts):
         hashes, at, _ = hash_words(texts[lo:hi])
         n = hi - lo
         # a blank number between texts keeps matches inside one text
@@ -181,7 +181,7 @@ def match(text: Column, shared: Broadcast) -> Column:
     @F.arrow_udf(_MATCH_DDL)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            yield pa.array(list(_match(x.to_pylist(), shared.value)), _MATCH)
+            yield pa.array([r for own in steps(x) for r in _match(own, shared.value)], _MATCH)
 
     return run(text)
 

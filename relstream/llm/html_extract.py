@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relstream.llm.common import table
+from relstream.llm.common import steps, table
 
 #: Tags whose content is no markup, void tags, tags that do not break a block, tags that are never article text.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
@@ -210,7 +210,7 @@ def main_text(page: Column) -> Column:
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            yield pa.array([extract(p) for p in x.to_pylist()], pa.string())
+            yield pa.array([extract(p) for own in steps(x) for p in own], pa.string())
 
     return run(page)
 

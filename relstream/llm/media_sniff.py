@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relstream.llm.common import table
+from relstream.llm.common import steps, table
 
 
 class Found(NamedTuple):
@@ -226,7 +226,7 @@ def media_column(text: Column) -> Column:
     @F.arrow_udf("n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            yield pa.array([_row(t) for t in x.to_pylist()], kind)
+            yield pa.array([_row(t) for own in steps(x) for t in own], kind)
 
     return run(text)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relstream.llm.common import chunks, fold, mix, table
+from relstream.llm.common import chunks, fold, mix, steps, table
 
 #: Weights of the hashed features; the last one is the bias.
 DIMS = 1 << 18
@@ -38,12 +38,12 @@ class _Shape(dict):
 
 
 class _Tokens(dict):
-    """Token to hash of its text (high 40 bits) and of its shape (low 24), remembered for up to 400,000 tokens."""
+    """Token to hash of its text (high 40 bits) and of its shape (low 24), remembered for up to 100,000 tokens."""
 
     shape = _Shape()
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         if len(self.shape) > 20_000:
             self.shape.clear()
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndar
     sample = docs.where(fold() != 1).select("doc_id", "text").join(F.broadcast(pick), "doc_id")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = ftrl(p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        w = ftrl((b.column(0)[i].as_py(), b.column(1)[i].as_py()) for b in batches for i in range(b.num_rows))
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
     one = sample.repartition(1).sortWithinPartitions("h", "doc_id", "text", "y").select("text", "y")
@@ -135,7 +135,8 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
     @F.arrow_udf("double")
     def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(1 / (1 + np.exp(-np.clip(dot(texts.to_pylist(), shared.value), -30, 30))), pa.float64())
+            odds = np.concatenate([dot(own, shared.value) for own in steps(texts)])
+            yield pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))), pa.float64())
 
     return docs.withColumn(out, quality(F.col(text)))
 

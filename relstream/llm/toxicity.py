@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relstream.llm.common import chunks, fold, table
+from relstream.llm.common import chunks, fold, steps, table
 
 ORDER, BITS = 5, 5
 GRAMS = 1 << (ORDER * BITS)
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     @F.arrow_udf("double")
     def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(shared.value.scores(texts.to_pylist()), pa.float64())
+            yield pa.array(np.concatenate([shared.value.scores(own) for own in steps(texts)]), pa.float64())
 
     return docs.withColumn(out, toxic(F.col(text)))
 

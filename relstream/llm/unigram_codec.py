@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relstream.llm.common import chunks, hash_spans, table
+from relstream.llm.common import hash_spans, steps, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Longest part, in bytes, that is segmented together with others.
 TOGETHER = 24
-#: Characters that one step of encoding holds.
-STEP_CHARS = 1 << 19
 #: Ids that one step of decoding holds.
 STEP_IDS = 1 << 18
 #: A character without a piece costs this much more than the rarest piece.
@@ -293,8 +291,7 @@ def encoded(docs: DataFrame, text: str = "text", out: str = "ids", model: str =
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            texts = x.to_pylist()
-            done = [shared.value.encode(texts[lo:hi]) for lo, hi in chunks(texts, STEP_CHARS)]
+            done = [shared.value.encode(own) for own in steps(x)]
             ids = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in done)])
             count = np.concatenate([np.zeros(1, np.int64), *(np.diff(a) for _, a in done)])
             yield pa.ListArray.from_arrays(pa.array(np.cumsum(count), pa.int32()), pa.array(ids, pa.int32()))
@@ -325,15 +322,14 @@ def round_trip(docs: DataFrame, text: str = "text", out: str = "coded", model: s
     @F.arrow_udf("ids array<int>, n_chars bigint, lossless boolean")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            texts = x.to_pylist()
             ids, count, chars, same = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], []
-            for lo, hi in chunks(texts, STEP_CHARS):
-                flat, at = shared.value.encode(texts[lo:hi])
+            for own in steps(x):
+                flat, at = shared.value.encode(own)
                 ids.append(flat)
                 count.append(np.diff(at))
                 back = [b.decode("utf-8", "surrogatepass") for b in shared.value.decode(flat, at)]
                 chars += map(len, back)
-                same += [b == (t or "") for b, t in zip(back, texts[lo:hi], strict=True)]
+                same += [b == (t or "") for b, t in zip(back, own, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count)), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
             yield pa.StructArray.from_arrays([lists, pa.array(chars, pa.int64()), pa.array(same, pa.bool_())], ["ids", "n_chars", "lossless"])
 
