@@ -151,7 +151,7 @@ def features(texts: list[str | None], ratio: np.ndarray) -> np.ndarray:
     return out * STEP
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Newton steps of a ridge logistic regression on standardised columns: mean, scale, weights (bias first)."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
