@@ -115,3 +115,21 @@ def rebalance(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def show(df: DataFrame, n: int = 100) -> None:
     df.show(n, truncate=False, vertical=True)
+
+
+def serialize(df: DataFrame) -> bytes:
+    """A small table as an Arrow IPC stream; all of it passes through the driver. Larger tables go to parquet."""
+    import pyarrow as pa
+
+    arrow = df.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, arrow.schema) as writer:
+        writer.write_table(arrow)
+    return sink.getvalue().to_pybytes()
+
+
+def deserialize(spark: SparkSession, data: bytes) -> DataFrame:
+    """The table that ``serialize`` wrote, with its column types."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.ipc.open_stream(data).read_all())

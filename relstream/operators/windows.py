@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def slide(df: DataFrame, size_ms: int, slide_ms: int, keys: Sequence[str], time: str, aggregates: dict[str, Column], origin_ms: int | None = None) -> DataFrame:
@@ -43,3 +45,37 @@ def session(df: DataFrame, timeout_ms: int, keys: Sequence[str], time: str, aggr
 def first_ms(df: DataFrame, time: str) -> int | None:
     """The earliest event of a bounded table in epoch ms: one aggregate, for ``origin_ms``."""
     return df.agg(F.min(F.unix_millis(time))).collect()[0][0]
+
+
+def slide_rows(df: DataFrame, size_ms: int, slide_ms: int, keys: Sequence[str], time: str, function: Callable[[tuple, pd.DataFrame], list[tuple]], schema: T.StructType, origin_ms: int | None = None) -> DataFrame:
+    """Hopping windows by a Python callable: ``function((window_start, window_end), rows in time order)`` gives any number of rows.
+
+    All rows of a key and window pass through one call, so prefer ``slide`` where an aggregate can say it.
+    """
+    start = None if origin_ms is None else origin_ms - origin_ms % size_ms
+    shift = 0 if start is None else start % slide_ms
+    held = df.withColumn("_w", F.window(time, f"{size_ms} milliseconds", f"{slide_ms} milliseconds", f"{shift} milliseconds"))
+    held = held.withColumn("_ws", F.unix_millis("_w.start")).drop("_w")
+    if start is not None:
+        held = held.filter(F.col("_ws") >= start)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = int(rows["_ws"].iloc[0])
+        got = function((first, first + size_ms), rows.drop(columns="_ws").sort_values(time, kind="stable"))
+        return pd.DataFrame(got or [], columns=schema.names)
+
+    return held.groupBy(*keys, "_ws").applyInPandas(run, schema)
+
+
+def session_rows(df: DataFrame, timeout_ms: int, keys: Sequence[str], time: str, function: Callable[[tuple, pd.DataFrame], list[tuple]], schema: T.StructType) -> DataFrame:
+    """Sessions of a bounded table by a Python callable over (first, last + 1 ms) and the session's rows in time order."""
+    w = Window.partitionBy(*keys).orderBy("_ms")
+    held = df.withColumn("_ms", F.unix_millis(time)).withColumn("_new", (F.col("_ms") - F.lag("_ms").over(w) >= timeout_ms).cast("int"))
+    held = held.withColumn("_s", F.sum(F.coalesce("_new", F.lit(0))).over(w))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_ms", kind="stable")
+        bounds = int(rows["_ms"].iloc[0]), int(rows["_ms"].iloc[-1]) + 1
+        return pd.DataFrame(function(bounds, rows.drop(columns=["_ms", "_new", "_s"])) or [], columns=schema.names)
+
+    return held.groupBy(*keys, "_s").applyInPandas(run, schema)

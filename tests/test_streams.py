@@ -150,6 +150,9 @@ def test_jdbc_round_trip(spark, tmp_path):
     jdbc.write(df.limit(1), url, "t", mode="overwrite")
     assert jdbc.read(spark, url, "t").count() == 1
     assert "LONGTEXT" in jdbc.create_statement("x", df.schema)
+    jdbc.execute(spark, url, jdbc.create_statement("x", df.schema, {"string": "VARCHAR(100)"}).replace(" IF NOT EXISTS", ""))
+    jdbc.execute(spark, url, jdbc.index_statement("x", ["id", "name"]))
+    assert jdbc.read(spark, url, "x").count() == 0
 
 
 def test_dimension_reloads_and_keeps_the_old_on_failure(spark):

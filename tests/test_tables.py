@@ -165,6 +165,24 @@ def test_values_survive_parquet(spark, tmp_path):
         big.select(scalar.to_decimal("s", 3)).collect()
 
 
+def test_arrow_round_trip(spark):
+    df = spark.createDataFrame([("1L", 1), (None, None)], "str string, long long")
+    back = table.deserialize(spark, table.serialize(df))
+    assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_windows_by_callables(spark):
+    df = _at(spark, FX5)
+    out = T.StructType.fromDDL("k string, window_start long, n long")
+    one = lambda w, rows: [(rows.k.iloc[0], w[0], len(rows))]
+    got = {tuple(r) for r in windows.slide_rows(df, 10, 5, ["k"], "ts", one, out, 2).collect()}
+    assert got == {(r.k, r.window_start, r.n) for r in windows.slide(df, 10, 5, ["k"], "ts", {"n": F.count(F.lit(1))}, 2).collect()}
+    each = lambda w, rows: [(k, w[1], 1) for k in rows.k]
+    assert windows.slide_rows(df, 10, 10, ["k"], "ts", each, out).count() == len(FX5)
+    s = _at(spark, [("A", t) for t in (3, 10, 10, 13, 23)] + [("B", 103)])
+    assert {tuple(r) for r in windows.session_rows(s, 10, ["k"], "ts", one, out).collect()} == {("A", 3, 4), ("A", 23, 1), ("B", 103, 1)}
+
+
 def test_latest_partition(spark, tmp_path):
     spark.createDataFrame([(1, 20240101), (2, 20240102), (3, 20240102)], "v int, pt int").write.partitionBy("pt").parquet(str(tmp_path / "p"))
     assert {r.v for r in latest_partition(spark, str(tmp_path / "p"), "pt").collect()} == {2, 3}
