@@ -38,7 +38,7 @@ BANDS, ROWS = 16, 4
 #: Members and shingles of a block at most, on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 96, 1 << 16
 #: Keys that the rows of one family are dealt over where facts of the family are joined to them.
-SALTS = 32
+SALTS = 16
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = [np.uint64(int(sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) * (1 << 64)) - 1) for j in range(9)]
@@ -302,7 +302,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     place = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
     sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.max(F.struct("meets", "nid"))["nid"].alias("hub"))
     sizes = cut(sizes.select("family", share(F.col("n"), F.col("s")).alias("blocks"), "hub"))
-    dealt = sets.join(sizes, "family").withColumn("i", F.when(F.col("nid") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place(F.col("blocks")))))
+    # a family may hold a third of all rows: its facts are copied to SALTS keys, rows pick theirs by hash
+    salted = lambda f: f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = sets.withColumn("salt", place(F.lit(SALTS)))
+    dealt = spread.join(salted(sizes), ["family", "salt"]).withColumn("i", F.when(F.col("nid") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place(F.col("blocks")))))
     dealt = dealt.select("family", F.explode("i").alias("i"), "nid", F.lit(0).alias("side"), "elements", "counts")
     edges = cut(dealt.groupBy("family", "i").applyInArrow(_links(threshold, weighted, False), "a long, b long"))
     roots = components(edges)
@@ -310,9 +313,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     # families of several blocks: members outside the largest component against all
     wide = sizes.where("blocks > 1")
     if not wide.isEmpty():
-        # a family may hold a third of all rows: family facts are copied to SALTS keys, rows pick theirs by hash
-        salted = lambda f: f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = sets.withColumn("salt", place(F.lit(SALTS)))
         held = spread.select("nid", "family", "salt", "size").join(salted(wide.select("family", "blocks")), ["family", "salt"])
         held = held.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
         held = cut(held)
