@@ -59,11 +59,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read back as the next one's input."""
+    """All stages over ``documents``; each stage's result is written to the shared folder and read back as the next one's input.
+
+    A stage's table is deleted once its successor is written; the last one stays, as the result reads it.
+    """
     docs = table(spark, sf_dir, "documents")
     shared_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    past = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if past:
+            path = spark._jvm.org.apache.hadoop.fs.Path(past)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        past = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

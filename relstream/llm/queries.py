@@ -8,7 +8,7 @@ from relstream.llm.decontamination import op1_decontamination
 from relstream.llm.html_extract import op2_html_text
 from relstream.llm.media_sniff import op4_media
 from relstream.llm.quality import op5_quality
-from relstream.llm.secrets import op6_secrets
+from relstream.llm.secrets import ALLOW, HEX_BITS, WIDE_BITS, WINDOW, op6_secrets
 from relstream.llm.toxicity import op9_toxicity
 from relstream.llm.unigram_codec import op3_sentencepiece
 from relstream.llm.url_filter import op8_url_filter
@@ -63,7 +63,51 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+_KEYWORD = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"({_KEYWORD})[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
+
+
+def _places(rank: int, pattern: str, keep: str = "true") -> str:
+    """SQL: matches of a pattern with their places, from the pieces between them."""
+    return f"""SELECT rid, {rank} AS rank, m, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM (
+    SELECT rid, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d) p, unnest(range(1, len(ms) + 1)) u(i)) WHERE {keep}"""
+
+
+_HARMLESS = " OR ".join(f"regexp_matches(m, '{p}')" for p in ALLOW)
+
+_OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_places(0, _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6")}
+    UNION ALL {_places(1, "AKIA[A-Z0-9]+", "length(m) >= 20")} UNION ALL {_places(2, "[0-9a-f]+", "length(m) >= 24")}),
+candidates AS ({_places(3, "[A-Za-z0-9+/_=-]{20,}", f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT ({_HARMLESS})")}),
+dense AS (SELECT rid, s + min(w) AS s, s + max(w) + {WINDOW} AS e FROM candidates c, unnest(range(0, length(m) - {WINDOW - 1})) u(w)
+    WHERE list_entropy(string_split(substring(m, w + 1, {WINDOW}), '')) >= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN {HEX_BITS} ELSE {WIDE_BITS} END
+    GROUP BY rid, m, c.s),
+spans AS (SELECT rid, rank, s, e FROM base UNION ALL
+    SELECT rid, 3, s, e FROM dense x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.s <= x.s AND x.e <= b.e)),
+named AS (SELECT rid, rank, s, (['assign', 'access', 'hex', 'entropy'])[rank + 1] || ':' || s || ':' || e AS one FROM spans),
+lists AS (SELECT rid, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS k, count(*) FILTER (rank = 2) AS h,
+    string_agg(one, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(one, ',' ORDER BY s, rank) AS everything FROM named GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(everything, '') AS spans FROM d LEFT JOIN lists USING (rid)
+"""
+
+_OP10 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(2, len(ws) - 3))) u(i) WHERE len(ws) > 0
+    UNION ALL SELECT rid, chr(1) || t FROM d WHERE len(ws) = 0),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+near AS (SELECT x.rid AS a, y.rid AS b FROM sh x JOIN sh y ON x.g = y.g AND x.rid <> y.rid JOIN n nx ON nx.rid = x.rid JOIN n ny ON ny.rid = y.rid
+    GROUP BY ALL HAVING 5 * count(*) >= 4 * (any_value(nx.n) + any_value(ny.n) - count(*))),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+class AS (SELECT reach.a AS rid, min(d.doc_id) AS class_id FROM reach JOIN d ON d.rid = reach.b GROUP BY reach.a)
+SELECT doc_id, class_id, doc_id IS NOT DISTINCT FROM class_id AS kept FROM d JOIN class USING (rid)
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_secrets": _OP6,
     "op7_chat": _OP7,
+    "op10_near_dedup": _OP10,
     "op1_decontamination": _OP1,
 }
