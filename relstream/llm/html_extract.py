@@ -104,8 +104,10 @@ def blocks(page: str) -> list[Block]:
         if end:
             if tag == "a":
                 links = 0
-            elif tag in INLINE:
-                pass
+            if tag in INLINE:
+                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                if k is not None and all(s[0] in INLINE for s in stack[k:]):
+                    del stack[k:]
             else:
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 flush()
@@ -123,8 +125,11 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             links = 1
         if tag in INLINE:
-            # an inline element that is hidden or an advert leaves its text out
+            if attributes and _unwanted(tag, attributes, True):  # left out up to its end, or to the next block
+                stack.append((tag, tag, True))
             continue
+        while stack and stack[-1][0] in INLINE:
+            stack.pop()
         k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
         if k is not None:
             close(k)

@@ -26,7 +26,6 @@ DIMS = 1 << 18
 TRAIN_ROWS = 8_000
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.01
-_GRAMS = 5
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
@@ -58,7 +57,7 @@ _TOKENS = _Tokens({"": 0})
 
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all tokens (one row each, _GRAMS columns), and each text's first row (one more entry: the end)."""
+    """Feature numbers of all tokens (a row of five each), and each text's first row (one more entry: the end)."""
     tokens = [["", *t.split()] if t else [""] for t in texts]
     at = np.cumsum([0, *map(len, tokens)])
     packed = np.fromiter(map(_TOKENS.__getitem__, chain.from_iterable(tokens)), np.uint64, at[-1])
