@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -56,6 +57,17 @@ def steps(x: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[list[str | None]]:
         if not len(x):
             return
         start = end
+    trim()
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are kept for later stages, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

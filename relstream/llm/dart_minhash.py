@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relstream.llm.common import chunks, cut, hash_words, mix, shared_dir, steps, table
+from relstream.llm.common import chunks, cut, hash_words, mix, shared_dir, steps, table, trim
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -242,6 +242,7 @@ def _links(threshold: float, weighted: bool, sides: bool):
             near &= (side[:, None] != side[None, :]) & (nid[:, None] != nid[None, :])
         pairs = _forest(near)
         a, b = nid[[i for i, _ in pairs]], nid[[j for _, j in pairs]]
+        trim()
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return run

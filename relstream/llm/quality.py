@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relstream.llm.common import chunks, fold, mix, steps, table
+from relstream.llm.common import chunks, fold, mix, steps, table, trim
 
 #: Weights of the hashed features; the last one is the bias.
 DIMS = 1 << 18
@@ -118,6 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndar
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = ftrl((b.column(0)[i].as_py(), b.column(1)[i].as_py()) for b in batches for i in range(b.num_rows))
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
     one = sample.repartition(1).sortWithinPartitions("h", "doc_id", "text", "y").select("text", "y")
