@@ -8,7 +8,8 @@ and written in 32 symbols (a-z, five classes of other letters, and one for all e
 
 Counts cover every labelled training row: tasks emit summed counts of the grams they saw and Spark adds them up.
 Scores compare length-normalised log-likelihoods of the two models over the whole text and over all windows of three
-lengths; a logistic link from these to the label is fitted on a bounded sample of training rows kept out of the counts.
+lengths; a logistic link from these to the label is fitted on a bounded sample of training rows from a hashed quarter,
+whose features come from the counts of the other three quarters (cross-fitting); the counts of all rows then score.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relstream.llm.common import chunks, fold, steps, table
@@ -31,6 +32,8 @@ WINDOWS = (8, 16, 32)
 STEP = 0.1
 #: Rows at most, smallest hash first, on which the logistic link is fitted.
 LINK_ROWS = 6000
+#: Counts of a gram: toxic and ordinary, over all rows and over those outside the link's quarter.
+COUNTS = ("t", "o", "rest_t", "rest_o")
 
 
 def _symbols() -> np.ndarray:
@@ -62,35 +65,35 @@ def grams(sym: np.ndarray) -> np.ndarray:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (gram, toxic count, ordinary count), summed over the task."""
+    """(text, toxic, link) to (gram, toxic count, ordinary count, both again without the rows marked link), summed over the task."""
     keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for b in batches:
-        texts, cls = b.column(0).to_pylist(), b.column(1).to_pylist()
+        texts, cls = b.column(0).to_pylist(), [y + 2 * k for y, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         for lo, hi in chunks(texts):
-            for c in (0, 1):
+            for c in range(4):
                 own = [t for t, x in zip(texts[lo:hi], cls[lo:hi], strict=True) if x == c]
                 sym, at = encode(own)
                 inside = np.ones(len(sym), bool)  # grams that end in a text, not in the blanks before one
                 inside[(at[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
                 g, m = np.unique(grams(sym)[inside[ORDER - 1 :]], return_counts=True)
-                keys, n = np.concatenate([keys, g.astype(np.int64) << 1 | c]), np.concatenate([n, m])
+                keys, n = np.concatenate([keys, g.astype(np.int64) << 2 | c]), np.concatenate([n, m])
             keys, back = np.unique(keys, return_inverse=True)
             n = np.bincount(back, n, len(keys)).astype(np.int64)
-    gram, at = np.unique(keys >> 1, return_inverse=True)
-    t = np.bincount(at, n * (keys & 1), len(gram)).astype(np.int64)
-    o = np.bincount(at, n * (1 - (keys & 1)), len(gram)).astype(np.int64)
+    gram, at = np.unique(keys >> 2, return_inverse=True)
+    by = [np.bincount(at, n * (keys & 3 == c), len(gram)).astype(np.int64) for c in range(4)]
+    t, o, rest_t, rest_o = by[1] + by[3], by[0] + by[2], by[1], by[0]
     for i in range(0, len(gram), 1 << 17):
         s = slice(i, i + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(gram[s].astype(np.int32)), pa.array(t[s]), pa.array(o[s])], ["gram", "t", "o"])
+        yield pa.RecordBatch.from_arrays([pa.array(gram[s].astype(np.int32)), *(pa.array(x[s]) for x in (t, o, rest_t, rest_o))], ["gram", *COUNTS])
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """Gram counts by class over all rows of (text, toxic 0/1)."""
+def count_grams(rows: DataFrame, link: Column | None = None) -> DataFrame:
+    """Gram counts by class over all rows of (text, toxic 0/1): t and o, and rest_t and rest_o without the rows where ``link`` holds."""
     return (
-        rows.select("text", F.col("toxic").cast("int"))
-        .mapInArrow(count_batches, "gram int, t long, o long")
+        rows.select("text", F.col("toxic").cast("int"), (F.lit(False) if link is None else link).cast("int").alias("link"))
+        .mapInArrow(count_batches, "gram int, " + ", ".join(f"{c} long" for c in COUNTS))
         .groupBy("gram")
-        .agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+        .agg(*(F.sum(c).alias(c) for c in COUNTS))
     )
 
 
@@ -176,8 +179,8 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Fit on the labelled rows outside the held-out fold: gram counts over all of them but a hashed quarter, the link
-    on LINK_ROWS rows of that quarter.
+    """Fit on the labelled rows outside the held-out fold: gram counts over all of them, the link on LINK_ROWS rows of
+    a hashed quarter, seen through the counts of the other three.
 
     Counting joins texts to labels by a merge join at any size: neither side has a bound. The link's rows are picked
     from the labels and broadcast. Rows whose label is null are left out. With rows of one class only, every score is
@@ -186,11 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     known = labels.where(fold() != 1).where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("toxic"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0
     texts = docs.where(fold() != 1).select("doc_id", "text")
-    got = count_grams(texts.where(~part).join(known.where(~part).hint("merge"), "doc_id")).toArrow()
-    gram, t, o = (got.column(c).to_numpy() for c in ("gram", "t", "o"))
+    got = count_grams(texts.join(known.hint("merge"), "doc_id"), part).toArrow()
+    gram = got.column("gram").to_numpy()
     order = np.argsort(gram)
-    ratio = ratios(gram[order].astype(np.int64), t[order].astype(np.float64), o[order].astype(np.float64))
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    gram = gram[order].astype(np.int64)
+    t, o, rest_t, rest_o = (got.column(c).to_numpy()[order].astype(np.float64) for c in COUNTS)
+    seen = rest_t + rest_o > 0
+    shared = docs.sparkSession.sparkContext.broadcast(ratios(gram[seen], rest_t[seen], rest_o[seen]))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     sample = texts.join(F.broadcast(pick), "doc_id").select("text", "toxic")
     fit = sample.mapInArrow(link, "y int, x array<double>").toArrow().to_pydict()
     shared.unpersist()
+    ratio = ratios(gram, t, o)
     y, x = np.array(fit["y"], np.float64), np.array(fit["x"], np.float64).reshape(len(fit["y"]), 1 + 2 * len(WINDOWS))
     if len(y) == 0 or y.min() == y.max():
         rate = float(y[0]) if len(y) else 0.0

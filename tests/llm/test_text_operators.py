@@ -286,6 +286,21 @@ def test_gram_counts_equal_brute_force(spark):
     assert got == {g: (want[g, 1], want[g, 0]) for g, _ in want}
 
 
+def test_toxicity_counts_every_training_row(spark, monkeypatch):
+    ids = spark.range(400).where(common.fold("id") != 1).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(4)) == 0).alias("part"))
+    docs = ids.select("doc_id", F.when(F.col("part"), "zqxjk").otherwise("plain words").alias("text"))
+    labels = ids.select("doc_id", F.col("part").cast("int").alias("toxic"))
+    met = []
+    own = toxicity.ratios
+    monkeypatch.setattr(toxicity, "ratios", lambda g, t, o: met.append((set(g.tolist()), t.sum())) or own(g, t, o))
+    model = toxicity.train(docs, labels)
+    sym, _ = toxicity.encode(["zqxjk"])
+    (rest, none), (every, toxic) = met
+    word = int(toxicity.grams(sym)[-1])
+    assert word not in rest and none == 0 and word in every and toxic == 5 * ids.where("part").count()
+    assert model.ratio[word] > 0
+
+
 # ---- 6 secrets ---------------------------------------------------------------------------------------------------
 
 
