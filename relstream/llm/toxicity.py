@@ -141,8 +141,9 @@ def features(texts: list[str | None], ratio: np.ndarray) -> np.ndarray:
             r[x:e] = 0
         cum = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
         out[lo:hi, 0] = (cum[end] - cum[start]) / np.maximum(end - start, 1)
+        own_start = np.repeat(start, np.diff(at))
         for k, w in enumerate(WINDOWS):
-            first = np.maximum(np.arange(1, len(sym) + 1) - w, 0)
+            first = np.maximum(np.arange(1, len(sym) + 1) - w, own_start)  # a window never reaches into the text before
             win = cum[1:] - cum[first]
             for j, (s, e) in enumerate(zip(start, end, strict=True)):
                 if s == e:

@@ -301,6 +301,15 @@ def test_toxicity_counts_every_training_row(spark, monkeypatch):
     assert model.ratio[word] > 0
 
 
+def test_toxicity_windows_end_at_text_borders():
+    ratio = np.random.default_rng(4).integers(-100, 127, toxicity.GRAMS).astype(np.int8)
+    texts = ["clean", "", "words that are long enough for every window of the three", None, "a", "toxic end"]
+    alone = np.vstack([toxicity.features([t], ratio) for t in texts])
+    assert np.array_equal(toxicity.features(texts, ratio), alone)
+    full = np.full(toxicity.GRAMS, 127, np.int8)
+    assert np.array_equal(toxicity.features(["very toxic phrase at the end", "ok"], full)[1], toxicity.features(["ok"], full)[0])
+
+
 # ---- 6 secrets ---------------------------------------------------------------------------------------------------
 
 
