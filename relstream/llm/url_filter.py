@@ -1,7 +1,8 @@
 """URL filters: fixed rules first, then a classifier over segmented host words.
 
 A host's labels are split into words by unigram Viterbi (``cheappills`` to ``cheap pills``) over word frequencies
-counted in all URLs; host and path words then go through multinomial naive Bayes. The classifier's training labels come
+counted in all URLs' paths and in the pieces of labels that hyphens or digits delimit: a name in one piece, which may be
+words run together, does not vouch for itself. Host and path words then go through multinomial naive Bayes. The classifier's training labels come
 from a short seed list: a URL whose host holds a seed word is an example of what to block, any other of what to allow.
 From these, naive Bayes learns the words that go along with the seeds.
 """
@@ -60,6 +61,12 @@ def raw_words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def lexicon_words(host: str, path: str) -> list[str]:
+    """Words that count for the segmenter: those of the path, and a host label's if it has several."""
+    pieces = [raw_words(label) for label in host.split(":")[0].split(".")]
+    return [w for own in pieces if len(own) > 1 for w in own] + raw_words(path)
+
+
 class Segmenter:
     """Unigram Viterbi: unknown words cost by length, known ones by their frequency."""
 
@@ -70,7 +77,7 @@ class Segmenter:
         self.split = lru_cache(50_000)(self._split)
 
     def _split(self, word: str) -> tuple[str, ...]:
-        if word in self.cost and self.cost[word] < self.unknown / 3 or len(word) > LONGEST_LABEL or len(word) < 4:
+        if len(word) > LONGEST_LABEL or len(word) < 4:
             return (word,)
         best, prev = [0.0] + [math.inf] * len(word), [0] * (len(word) + 1)
         for end in range(1, len(word) + 1):
@@ -132,7 +139,7 @@ def train(urls: DataFrame, seeds: frozenset[str] = SEEDS) -> Model:
     Both tables keep the VOCABULARY most frequent words, which bounds what is sent to tasks; totals cover all words.
     Without rows, or without a blocked example, only seed words speak.
     """
-    plain = lambda host, path: (raw_words(host) + raw_words(path), False)
+    plain = lambda host, path: (lexicon_words(host, path), False)
     top = _counted(urls, plain).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word", "n").toArrow().to_pydict()
     words = dict(zip(top["word"], top["n"], strict=True))
     words |= {s: max(words.get(s, 0), 1) for s in seeds}

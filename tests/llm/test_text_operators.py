@@ -415,6 +415,19 @@ def test_url_segmentation_and_verdicts(spark):
     assert [r.verdict for r in url_filter.judged(new, empty).collect()] == ["block", "allow", "allow"]
 
 
+@pytest.mark.parametrize("times", [1, 200])
+def test_url_names_in_training_are_split(spark, times):
+    """A concatenated host among the training pages, once or as a third of all rows, does not vouch for itself."""
+    good = [f"http://site{i % 7}.org/news/{w}" for i, w in enumerate(["river", "garden", "music", "notes"] * 100)]
+    urls = spark.createDataFrame([(u,) for u in [*good, *["http://www.cheappills.org/win"] * times]], "url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    model = url_filter.train(urls.select(host.alias("host"), path.alias("path")))
+    s = url_filter.Segmenter(model.words)
+    assert s.split("cheappills") == ("cheap", "pills") and s.split("rivermusic") == ("river", "music") and s.split("garden") == ("garden",)
+    got = {(r.host, r.verdict) for r in url_filter.judged(urls, model).collect()}
+    assert got == {("www.cheappills.org", "block"), *((f"site{i}.org", "allow") for i in range(7))}
+
+
 def test_best_split_equals_all_splits():
     s = url_filter.Segmenter({"cheap": 50, "pills": 30, "che": 2, "appills": 1, "a": 9})
     cost = lambda w: s.cost.get(w, s.unknown + 3.0 * len(w)) + (4.0 if len(w) < 3 else 0.0)
