@@ -14,8 +14,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +35,6 @@ RULES = (
 SEEDS = frozenset(
     "ads adserver adult bet bets betting casino cheap clickbait fakes gambling hentai loan loans lottery malware payday pharma pills phishing poker porn replica sex slots spam track tracker viagra virus warez xxx".split()
 )
-#: Words the segmenter knows: the most frequent ones of all URLs.
-VOCABULARY = 100_000
 #: A label longer than this is split at its digits and hyphens only.
 LONGEST_LABEL, LONGEST_WORD = 63, 20
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -67,12 +67,42 @@ def lexicon_words(host: str, path: str) -> list[str]:
     return [w for own in pieces if len(own) > 1 for w in own] + raw_words(path)
 
 
+def word_hash(word: str) -> int:
+    """Signed 64-bit hash of a word."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Lookup(NamedTuple):
+    """Numbers of words, kept as sorted 64-bit hashes: 16 bytes a word, however many there are."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Lookup:
+        order = np.argsort(keys)
+        return cls(keys[order], values[order])
+
+    def get(self, word: str, default: float = 0.0) -> float:
+        h = np.int64(word_hash(word))
+        i = int(np.searchsorted(self.keys, h))
+        return float(self.values[i]) if i < len(self.keys) and self.keys[i] == h else default
+
+    def with_words(self, words: dict[str, float]) -> Lookup:
+        """Also the numbers of ``words`` that are not there yet."""
+        new = {word_hash(w): x for w, x in words.items() if self.get(w, math.nan) != self.get(w, math.nan)}
+        keys, values = np.fromiter(new.keys(), np.int64, len(new)), np.fromiter(new.values(), self.values.dtype, len(new))
+        return Lookup.of(np.r_[self.keys, keys], np.r_[self.values, values])
+
+
 class Segmenter:
     """Unigram Viterbi: unknown words cost by length, known ones by their frequency."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + len(counts) + 1
-        self.cost = {w: math.log(total / (n + 1)) for w, n in counts.items()}
+    def __init__(self, counts: Lookup | dict[str, int]):
+        if isinstance(counts, dict):
+            counts = Lookup(np.zeros(0, np.int64), np.zeros(0, np.int64)).with_words(counts)
+        total = int(counts.values.sum()) + len(counts.keys) + 1
+        self.cost = Lookup(counts.keys, np.log(total / (counts.values + 1)))
         self.unknown = math.log(total) + 2.0
         self.split = lru_cache(50_000)(self._split)
 
@@ -101,19 +131,18 @@ class Segmenter:
 
 
 class Model(NamedTuple):
-    words: dict[str, int]
-    #: log P(token | block) - log P(token | allow), and the same for a token never seen
-    ratio: dict[str, float]
-    unseen: float
+    words: Lookup
+    #: log P(token | block) - log P(token | allow) of every token seen
+    ratio: Lookup
     prior: float
 
 
 def _count(of):
-    """Task function: (host, path) rows to (word, blocked, n), summed over the task. ``of`` gives (words, blocked) of a row."""
+    """Task function: (host, path) rows to (word's hash, blocked, n), summed over the task. ``of`` gives (words, blocked) of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        give = lambda: pa.RecordBatch.from_arrays([pa.array([w for w, _ in total]), pa.array([b for _, b in total]), pa.array(list(total.values()))], ["word", "blocked", "n"])
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w, _ in total], pa.int64()), pa.array([b for _, b in total]), pa.array(list(total.values()))], ["word", "blocked", "n"])
         for b in batches:
             for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words, blocked = of(host, path)
@@ -129,20 +158,19 @@ def _count(of):
 
 
 def _counted(urls: DataFrame, of) -> DataFrame:
-    rows = urls.select("host", "path").mapInArrow(_count(of), "word string, blocked boolean, n long")
+    rows = urls.select("host", "path").mapInArrow(_count(of), "word long, blocked boolean, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("bad"))
 
 
 def train(urls: DataFrame, seeds: frozenset[str] = SEEDS) -> Model:
     """Word frequencies and naive Bayes counts over all rows of (host, path).
 
-    Both tables keep the VOCABULARY most frequent words, which bounds what is sent to tasks; totals cover all words.
+    Both tables hold every word, as 16 bytes, and are broadcast: what is sent to tasks grows with the distinct words.
     Without rows, or without a blocked example, only seed words speak.
     """
     plain = lambda host, path: (lexicon_words(host, path), False)
-    top = _counted(urls, plain).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word", "n").toArrow().to_pydict()
-    words = dict(zip(top["word"], top["n"], strict=True))
-    words |= {s: max(words.get(s, 0), 1) for s in seeds}
+    got = _counted(urls, plain).select("word", "n").toArrow()
+    words = Lookup.of(*(got.column(c).to_numpy() for c in ("word", "n"))).with_words(dict.fromkeys(seeds, 1))
     sc = urls.sparkSession.sparkContext
     shared = sc.broadcast(words)
 
@@ -150,14 +178,14 @@ def train(urls: DataFrame, seeds: frozenset[str] = SEEDS) -> Model:
         own = segmenter(shared).tokens(host, path)
         return [*own, ""], any(t[:2] == "h:" and t[2:] in seeds for t in own)
 
-    counted = _counted(urls, judged)
-    sums = counted.agg(F.sum(F.when(F.col("word") != "", F.col("n"))), F.sum(F.when(F.col("word") != "", F.col("bad"))), F.count(F.lit(1)), F.sum(F.when(F.col("word") == "", F.col("n"))), F.sum(F.when(F.col("word") == "", F.col("bad")))).collect()[0]
-    n, bad, kinds, rows, rows_bad = (int(x or 0) for x in sums)
-    got = counted.where("word <> ''").orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow().to_pydict()
-    ratio = {w: math.log((b + 1) / (bad + kinds + 1)) - math.log((a - b + 1) / (n - bad + kinds + 1)) for w, a, b in zip(got["word"], got["n"], got["bad"], strict=True)}
-    floor = math.log(1 / (bad + kinds + 1)) - math.log(1 / (n - bad + kinds + 1))
-    ratio |= {f"h:{s}": max(ratio.get(f"h:{s}", 0.0), 8.0) for s in seeds if f"h:{s}" not in ratio}
-    return Model(words, ratio, min(0.0, floor), math.log((rows_bad + 1) / (rows - rows_bad + 1)))
+    got = _counted(urls, judged).toArrow()
+    key, a, b = (got.column(c).to_numpy() for c in ("word", "n", "bad"))
+    row = key == word_hash("")  # each row counts once under the empty word
+    rows, rows_bad, kinds = int(a[row].sum()), int(b[row].sum()), len(key)
+    key, a, b = key[~row], a[~row], b[~row]
+    n, bad = int(a.sum()), int(b.sum())
+    ratio = Lookup.of(key, np.log((b + 1) / (bad + kinds + 1)) - np.log((a - b + 1) / (n - bad + kinds + 1)))
+    return Model(words, ratio.with_words({f"h:{s}": 8.0 for s in seeds}), math.log((rows_bad + 1) / (rows - rows_bad + 1)))
 
 
 _SEGMENTERS: dict[int, Segmenter] = {}

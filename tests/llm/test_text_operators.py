@@ -428,6 +428,18 @@ def test_url_names_in_training_are_split(spark, times):
     assert got == {("www.cheappills.org", "block"), *((f"site{i}.org", "allow") for i in range(7))}
 
 
+def test_url_tables_hold_rare_words(spark):
+    """A word behind 100,000 more frequent ones still splits hosts and speaks for a verdict."""
+    name = F.translate(F.lpad((F.col("id") % 101_000).cast("string"), 6, "0"), "0123456789", "abcdefghij")
+    often = spark.range(202_000).select(F.lit("site.org").alias("host"), F.concat(F.lit("/"), name).alias("path"))
+    model = url_filter.train(often.union(spark.createDataFrame([("casino-zzzz.org", "/zzzyyy")], often.schema)))
+    s = url_filter.Segmenter(model.words)
+    assert s.cost.get("zzzyyy", 0.0) > s.cost.get("abcdef", 99.0) and s.split("zzzyyybcdefg") == ("zzzyyy", "bcdefg")
+    bad, kinds, n = 3, 101_005, 404_003  # tokens of the one blocked row, distinct ones with the row mark, all
+    assert model.ratio.get("p:zzzyyy", 0.0) == pytest.approx(math.log(2 / (bad + kinds + 1)) - math.log(1 / (n - bad + kinds + 1)))
+    assert model.ratio.get("p:never", 0.0) == 0
+
+
 def test_best_split_equals_all_splits():
     s = url_filter.Segmenter({"cheap": 50, "pills": 30, "che": 2, "appills": 1, "a": 9})
     cost = lambda w: s.cost.get(w, s.unknown + 3.0 * len(w)) + (4.0 if len(w) < 3 else 0.0)
