@@ -2,8 +2,8 @@
 
 A page's text falls into blocks, each under a path of tags from the root. Per path, text length and punctuation of all
 its blocks are added up and divided by their number; both ratios are fused, smoothed over the blocks in page order and
-held against a threshold taken from the page itself. The container of the best path and blocks that pass the threshold
-are content. Elements that are never article text (scripts, menus, forms and the like, by tag or by the words in their
+held against a threshold taken from the page itself. Blocks that pass it are content; the container of the best path is
+a prior that lowers it for the blocks inside, where an unbroken list counts as one text. Elements that are never article text (scripts, menus, forms and the like, by tag or by the words in their
 class and id) are not scored at all.
 """
 
@@ -13,6 +13,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +39,9 @@ MARKS = frozenset(
 )
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd".split())
+#: Share of the best path's ratio that a block inside its container needs; more than one neighbour's weight in smoothing.
+INSIDE = 0.3
 #: Elements that an opening block tag ends, as a paragraph's end tag may be left out.
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -166,6 +170,10 @@ def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: math.sqrt(n / c * (1 + marks / c)) for p, (n, marks, c) in sums.items()}
 
 
+def _in_content(path: tuple[str, ...]) -> bool:
+    return any(s.split(".")[0] in CONTENT for s in path)
+
+
 def _container(path: tuple[str, ...]) -> tuple[str, ...]:
     """The innermost article or main of a path, else the parent of its last step."""
     for i in range(len(path) - 1, -1, -1):
@@ -177,6 +185,17 @@ def _container(path: tuple[str, ...]) -> tuple[str, ...]:
     return path[:k] if k else path
 
 
+def _list_ratios(found: list[Block]) -> list[float]:
+    """Per block: the ratio of the unbroken run of list items it is in, taken as one text; 0 for others."""
+    out: list[float] = []
+    for path, run in groupby(found, key=lambda b: b.path):
+        own = list(run)
+        whole = Block(path, " ".join(b.text for b in own), sum(b.linked for b in own))
+        item = path and path[-1].split(".")[0] in ITEMS
+        out += [path_ratios([whole])[path] if item else 0.0] * len(own)
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text, blocks joined by newlines; empty for null and for pages without text."""
     found = blocks(page) if page else []
@@ -190,7 +209,7 @@ def extract(page: str | None) -> str:
     for b in found:
         mass[b.path] = mass.get(b.path, 0.0) + ratio[b.path] ** 2
     best = max(mass, key=lambda p: (mass[p], ratio[p]))
-    inside = [b for b in found if any(s.split(".")[0] in CONTENT for s in b.path)]
+    inside = [b for b in found if _in_content(b.path)]
     if inside:
         best = max((b.path for b in inside), key=lambda p: (mass[p], ratio[p]))
     home = _container(best)
@@ -200,9 +219,15 @@ def extract(page: str | None) -> str:
         not inside and b.path[-1:] and b.path[-1].split(".")[0] in HEADINGS and len(b.path) - 1 > top and home[: len(b.path) - 1] == b.path[:-1]
         for b in found
     ]  # headings on the way to the container belong to it
+    low = INSIDE * ratio[best]
     keep = [
-        h or b.path[: len(home)] == home or not inside and s >= limit and b.linked < len(b.text) / 2 and b.path[:-1] != home[:-1]
-        for b, s, h in zip(found, smooth, heads, strict=True)
+        h
+        or (s >= low or u >= low or b.path[-1:] and b.path[-1].split(".")[0] in HEADINGS)
+        if b.path[: len(home)] == home
+        else h
+        or b.linked < len(b.text) / 2
+        and (s >= 0.5 * ratio[best] if _in_content(b.path) else s >= limit and b.path[:-1] != home[:-1])
+        for b, s, u, h in zip(found, smooth, _list_ratios(found), heads, strict=True)
     ]
     keep = [
         k and not ("header" in (s.split(".")[0] for s in b.path) and b.path[-1].split(".")[0] not in HEADINGS)

@@ -125,6 +125,20 @@ def test_html_main_text():
     html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 3000)
 
 
+def test_html_ratios_select_inside_articles():
+    para = "<p>" + "A sentence, and another one; it goes on. " * 6 + "</p>"
+    items = "".join(f"<li>Part {i}, weighed and cut.</li>" for i in range(6))
+    text = f"<h1>Title</h1>{para}<h2>Parts</h2><ul>{items}</ul>{para}<p>Short.</p>"
+    low = "<div>Print</div><div><a href=x>Mail this to a friend</a></div><div>Top</div>"
+    for tag in ("article", "main", 'div class="post"'):
+        page = f"<body><{tag}>{{}}</{tag.split()[0]}></body>"
+        want = html_extract.extract(page.format(text))
+        assert want.count("Part ") == 6 and want.startswith("Title\n") and "\nParts\n" in want and want.endswith("\nShort.")
+        assert html_extract.extract(page.format(text + low)) == want
+    two = html_extract.extract(f"<body><article class=a>{para * 3}</article><p>Menu</p><p>Shop</p><section><article class=b>{para * 2}</article></section><p>More</p><p>Less</p></body>")
+    assert two.count("A sentence") == 30 and not re.search("Menu|Shop|More|Less", two)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet='<>/abp "=&;!-ndiv\n', max_size=80))
 def test_html_takes_anything(page):
