@@ -47,7 +47,7 @@ class _Tokens(dict):
         if len(self.shape) > 20_000:
             self.shape.clear()
         raw = token.encode("utf-8", "surrogatepass")
-        form = _RUNS.sub(r"\1", token[:200].translate(self.shape))
+        form = _RUNS.sub(r"\1", token.translate(self.shape))
         h = zlib.crc32(raw) << 8 | (zlib.adler32(raw) ^ len(raw)) & 0xFF
         self[token] = out = h << 24 | zlib.crc32(form.encode("utf-8", "surrogatepass")) >> 8
         return out

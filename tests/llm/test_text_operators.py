@@ -289,6 +289,11 @@ def test_ftrl_separates_and_kneser_ney_sums_to_one():
     assert np.allclose(toxicity._shared(types, 2).reshape(-1, 32).sum(1), 1)
 
 
+def test_shapes_are_of_whole_tokens():
+    shapes = [quality.hashed([t])[0][1, 2] for t in ("x" * 200, "x" * 5000, "x" * 200 + "A0!", "x" * 5000 + "A0!")]
+    assert shapes[0] == shapes[1] != shapes[2] == shapes[3]
+
+
 def test_gram_counts_equal_brute_force(spark):
     rows = [("Abc é!", 1), ("abc", 0), (None, 0), ("", 1)]
     got = {r.gram: (r.t, r.o) for r in toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic int")).collect()}
