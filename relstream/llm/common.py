@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters that one vectorised step holds; a longer text is a step of its own.
 CHUNK_CHARS = 1 << 19
+#: A key is hot from this share of all rows on (one over it); so there are fewer hot keys than this.
+HOT_KEYS = 64
 
 #: ``bytes.translate`` table: A-Z lower-cased, a-z, 0-9 and all bytes of non-ASCII characters kept, the rest a space.
 _WORD_TABLE = bytes(
@@ -81,12 +84,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's ``spark.checkpoint.dir`` wins; else one under the warehouse."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all machines share: the cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset a local session takes one under its warehouse; on a cluster that is an error, as no folder is known
+    to be shared there.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(conf or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -95,6 +105,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written to the shared folder to cut lineage: they survive lost executors, and ``clear`` deletes them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.written = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read back. Files hold what they hold: rows are not computed again."""
+        self.written += 1
+        path = f"{self.folder}/{self.written}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the files of one table that ``cut`` gave."""
+        own = {f.rsplit("/", 1)[0] for f in df.inputFiles() if self.folder.rsplit("/", 1)[1] in f}
+        for path in own:
+            self._delete(path)
+
+    def clear(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, on: Sequence[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``facts`` (one row a key, with column ``size``, the key's number of rows; ``total``: all rows).
+
+    Keys that hold more than 1/HOT_KEYS of all rows are fewer than HOT_KEYS, so their facts are broadcast and their rows
+    never meet in one task; the rows of all other keys are shuffled. ``size`` is not in the result. ``how``: inner or
+    left. Keys are not null.
+    """
+    on, hot = list(on), F.col(size) * HOT_KEYS > F.lit(total)
+    few, rest = F.broadcast(facts.where(hot).drop(size)), facts.where(~hot).drop(size)
+    often = rows.join(few, on)
+    others = rows.join(F.broadcast(facts.where(hot).select(*on)), on, "left_anti").join(rest, on, how)
+    return often.unionByName(others)
+
+
 def fold(doc_id: str = "doc_id"):
     """``crc32(doc_id as text) mod 3``; 1 is the held-out part. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3

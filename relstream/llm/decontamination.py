@@ -1,18 +1,19 @@
 """Benchmark decontamination by suffix arrays.
 
 Every batch of training texts is a shard. Words become benchmark vocabulary numbers (0 for other words), and the shard's
-suffix array holds, sorted by their first ``WINDOW`` words, the suffixes that can start a match at all: those whose first
-words are a benchmark gram as long as the shortest window (four words at most). Every benchmark suffix is searched in it
-by bisection, which gives all its places in the shard; runs of hits along a diagonal give longest verbatim matches.
-
-The benchmark is the query side. It is read in blocks of a fixed size in words, each broadcast for one pass over the
-documents; hit words of several blocks are united per document.
+suffix array holds all suffixes that can match a test suffix at all (those that start with as many vocabulary words as a
+window has), sorted by as many words as a window has. Every test suffix is searched in it by bisection, which gives all
+its places in the shard; runs of hits along a diagonal of text and item give longest verbatim matches and their places,
+beyond the depth to which the array is sorted.
+
+The benchmark is the query side. It is read in blocks of at most BLOCK_WORDS words (or one longer item), and every block
+is broadcast for a pass of its own over the documents; between passes the documents lie in the shared folder. So a
+benchmark of any size is searched whole, and no task holds more than one block.
 """
 
 from __future__ import annotations
 
-import bisect
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,34 +22,50 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relstream.llm.common import chunks, hash_words, steps, table, words
+from relstream.llm.common import Scratch, chunks, hash_words, steps, table, words
 
 WINDOW = 13
-#: Benchmark words in one broadcast block (about 40 bytes each).
-BLOCK_WORDS = 2_000_000
+#: Benchmark words in one broadcast block, about 80 bytes each in a worker.
+BLOCK_WORDS = 1_000_000
+#: Hits times items that one step of the longest-match search holds; a text with more is a step of its own.
+STEP_HITS = 1 << 21
+
+
+def _keys(numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` words from each place as one string of big-endian numbers, so that strings sort like word sequences."""
+    if not len(at):
+        return np.zeros(0, f"S{4 * n}")
+    rows = np.lib.stride_tricks.sliding_window_view(numbers.astype(">u4"), n)[at]
+    return np.ascontiguousarray(rows).view(f"S{4 * n}").ravel()
+
+
+class Windows:
+    """The distinct windows of one length, sorted, and where in the items each of them lies."""
+
+    def __init__(self, numbers: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, n: int):
+        keys = _keys(numbers, at, n)
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.edges = np.r_[first, len(order)]
+        self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
 
 
 class Block:
-    """Windows of some benchmark items, as vocabulary numbers, and the items of each window."""
+    """Some benchmark items: their vocabulary, and their windows by length."""
 
     def __init__(self, items: list[tuple[str | None, str | None]]):
         hashes, at, _ = hash_words([t for _, t in items])
+        self.items = [item for item, _ in items]
         self.vocabulary, numbers = np.unique(hashes, return_inverse=True)
         numbers = numbers + 1
-        found: dict[bytes, list[tuple[int, int]]] = {}
-        shortest = WINDOW
-        self.items = [item for item, _ in items]
-        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            n = min(WINDOW, b - a)
-            if n:
-                shortest = min(shortest, n)
-                for i in range(a, b - n + 1):
-                    found.setdefault(numbers[i : i + n].astype(">u4").tobytes(), []).append((k, i - a))
-        self.windows = found  # window to (item, place in it)
-        self.keys = sorted(found)
-        self.lengths = {len(w) // 4 for w in found}
-        self.prefix = min(shortest, 4)
-        self.grams = np.unique(_gram_hash(numbers, self.prefix)) if found else np.zeros(0, np.uint64)
+        size = np.diff(at)
+        length = np.minimum(size, WINDOW)
+        self.windows: dict[int, Windows] = {}
+        for n in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == n)
+            count = size[own] - n + 1
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            self.windows[n] = Windows(numbers, np.repeat(at[own], count) + place, np.repeat(own, count), place, n)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word hash, 0 if it is none of the benchmark's."""
@@ -58,47 +75,30 @@ class Block:
         return np.where(self.vocabulary[i] == hashes, i + 1, 0)
 
 
-def _gram_hash(numbers: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(0, len(numbers) - n + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + numbers[k : k + len(out)].astype(np.uint64)
-    return out
-
-
-def suffix_array(numbers: np.ndarray, block: Block) -> tuple[list[bytes], np.ndarray]:
-    """Sorted first-WINDOW-word keys of the shard's suffixes that start with a benchmark gram, and their places."""
-    n = block.prefix
-    inside = np.lib.stride_tricks.sliding_window_view(numbers > 0, n).all(1) if len(numbers) >= n else np.zeros(0, bool)
-    at = np.flatnonzero(inside)
-    if len(at):
-        at = at[np.isin(_gram_hash(numbers, n)[at], block.grams)]
-    raw = np.r_[numbers, np.zeros(WINDOW, numbers.dtype)].astype(">u4").tobytes()
-    keys = [raw[4 * i : 4 * (i + WINDOW)] for i in at.tolist()]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    return [keys[i] for i in order], at[order] if len(at) else at
-
-
-def search(numbers: np.ndarray, block: Block) -> Iterator[tuple[bytes, np.ndarray]]:
-    """Every benchmark window that occurs in the shard, with the places of all its occurrences."""
-    keys, places = suffix_array(numbers, block)
-    if not keys:
-        return
-    lo = 0
-    if len(block.keys) > 8 * len(keys):  # few suffixes: search them among the windows instead
-        for w in {k[: 4 * n] for k in keys for n in block.lengths}:
-            if w in block.windows:
-                a = bisect.bisect_left(keys, w)
-                b = bisect.bisect_left(keys, w + b"\xff" * 4)
-                yield w, places[a:b]
-        return
-    for w in block.keys:  # both sides are sorted, so each search goes on where the last one ended
-        lo = bisect.bisect_left(keys, w, lo)
-        if lo == len(keys):
-            return
-        if keys[lo].startswith(w):
-            hi = bisect.bisect_left(keys, w + b"\xff" * 4, lo)
-            yield w, places[lo:hi]
+def suffix_array(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's suffixes that start with ``n`` vocabulary words, sorted by these: their keys and their places."""
+    if len(numbers) < n:
+        return np.zeros(0, f"S{4 * n}"), np.zeros(0, np.int64)
+    gaps = np.r_[0, np.cumsum(numbers == 0)]
+    at = np.flatnonzero(gaps[n:] == gaps[:-n])
+    keys = _keys(numbers, at, n)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], at[order]
+
+
+def search(numbers: np.ndarray, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By window length: the places in the shard at which a test suffix was found, and which window it is."""
+    for n, own in block.windows.items():
+        keys, places = suffix_array(numbers, n)
+        low, high = np.searchsorted(keys, own.keys, "left"), np.searchsorted(keys, own.keys, "right")
+        met = np.flatnonzero(high > low)
+        count = high[met] - low[met]
+        yield n, places[np.repeat(low[met] - (np.cumsum(count) - count), count) + np.arange(count.sum())], np.repeat(met, count)
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def _match(texts: list[str | None], block: Block) -> Iterator[dict]:
@@ -112,16 +112,13 @@ def _match(texts: list[str | None], block: Block) -> Iterator[dict]:
         first = at[:-1] + np.arange(n)
         hit = np.zeros(len(numbers) + 1, np.int32)
         items: dict[int, set[str]] = {}
-        met: list[tuple[np.ndarray, int, int, int]] = []
-        for w, places in search(numbers, block):
-            length = len(w) // 4
-            np.add.at(hit, places, 1)
-            np.add.at(hit, places + length, -1)
-            own = {block.items[k] for k, _ in block.windows[w]} - {None}
-            for d in np.unique(np.searchsorted(first, places, "right") - 1).tolist():
-                items.setdefault(d, set()).update(own)
-            met += [(places, k, j, length) for k, j in block.windows[w]]
-        longest = _longest(met, first)
+        longest: dict[int, tuple[int, int, int]] = {}
+        found = [(length, place, window) for length, place, window in search(numbers, block) if len(place)]
+        for length, place, _ in found:
+            np.add.at(hit, place, 1)
+            np.add.at(hit, place + length, -1)
+        for length, place, window in found:
+            _items(block, length, place, window, first, items, longest)
         on = np.r_[False, np.cumsum(hit[:-1]) > 0, False]
         edge = np.flatnonzero(on[1:] != on[:-1])
         doc = np.searchsorted(first, edge, "right") - 1
@@ -137,21 +134,51 @@ def _match(texts: list[str | None], block: Block) -> Iterator[dict]:
             }
 
 
-def _longest(met: list[tuple[np.ndarray, int, int, int]], first: np.ndarray) -> dict[int, tuple[int, int, int]]:
+def _items(block: Block, length: int, place: np.ndarray, window: np.ndarray, first: np.ndarray, items: dict[int, set[str]], longest: dict[int, tuple[int, int, int]]) -> None:
+    """Add the items of all hits of one window length to ``items``, and longer matches than are known to ``longest``.
+
+    Hits are multiplied by the items that hold them some texts at a time.
+    """
+    own = block.windows[length]
+    order = np.argsort(place, kind="stable")
+    place, window = place[order], window[order]
+    doc = np.searchsorted(first, place, "right") - 1
+    count = own.edges[window + 1] - own.edges[window]
+    heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    total = np.r_[0, np.cumsum(count)]
+    i = 0
+    while i < len(heads):
+        a = heads[i]
+        j = max(i + 1, int(np.searchsorted(total[np.r_[heads, len(doc)]], total[a] + STEP_HITS, "right")) - 1)
+        b = heads[j] if j < len(heads) else len(doc)
+        at = _ranges(own.edges[window[a:b]], count[a:b])
+        p, k, x = np.repeat(place[a:b], count[a:b]), own.item[at], own.place[at]
+        d = np.repeat(doc[a:b], count[a:b])
+        for one in np.unique(d * len(block.items) + k).tolist():
+            name = block.items[one % len(block.items)]
+            if name is not None:
+                items.setdefault(one // len(block.items), set()).add(name)
+        for text, best in _longest(p, k, x, length, d, first).items():
+            old = longest.get(text)
+            if old is None or (-best[0], best[1], best[2]) < (-old[0], old[1], old[2]):
+                longest[text] = best
+        i = j
+
+
+def _longest(place: np.ndarray, item: np.ndarray, at: np.ndarray, length: int, doc: np.ndarray, first: np.ndarray) -> dict[int, tuple[int, int, int]]:
     """By text: the longest run of hits on one diagonal of text and item, as (words, start in the text, item); the earliest of equals."""
-    if not met:
-        return {}
-    place, item, at, length = (np.concatenate([np.broadcast_to(m[i], len(m[0])) for m in met]) for i in range(4))
     order = np.lexsort((place, place - at, item))
-    place, item, at, length = place[order], item[order], at[order], length[order]
+    place, item, at, doc = place[order], item[order], at[order], doc[order]
     new = np.r_[True, (np.diff(place) != 1) | (np.diff(place - at) != 0) | (np.diff(item) != 0)]
     head = np.flatnonzero(new)
-    size = np.diff(np.r_[head, len(place)]) - 1 + length[head]
-    doc = np.searchsorted(first, place[head], "right") - 1
-    out: dict[int, tuple[int, int, int]] = {}
-    for i in np.lexsort((item[head], place[head], -size)).tolist():
-        out.setdefault(int(doc[i]), (int(size[i]), int(place[head[i]] - first[doc[i]]), int(item[head[i]])))
-    return out
+    size = np.diff(np.r_[head, len(place)]) - 1 + length
+    order = np.lexsort((item[head], place[head], -size, doc[head]))
+    order = order[np.r_[True, np.diff(doc[head][order]) != 0]]
+    head, size = head[order], size[order]
+    return {
+        d: (n, p, k)
+        for d, n, p, k in zip(doc[head].tolist(), size.tolist(), (place[head] - first[doc[head]]).tolist(), item[head].tolist(), strict=True)
+    }
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", limit: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -209,17 +236,29 @@ def united(parts: list[Column]) -> Column:
     return run(*parts)
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "match") -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "match", limit: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with struct column ``out``: n_words, runs (hit word ranges, flat), items, and the longest
     verbatim match (longest in words, longest_at its first word, longest_item).
 
     Words and windows are as in ``op1_decontamination``. A null text has no words; an empty benchmark hits nothing;
-    items without words have no window; an item with a null id hits but is not listed; repeated items count once. No
-    rows of ``docs`` move; the benchmark reaches tasks in broadcast blocks of bounded size.
+    items without words have no window; an item with a null id hits but is not listed; repeated items count once; an
+    empty table stays empty; a column already named ``out`` is replaced, others keep names and values. No rows of
+    ``docs`` are shuffled. A benchmark of several blocks of ``limit`` words takes a pass and a written copy of ``docs``
+    for each but the last one.
     """
-    sc = docs.sparkSession.sparkContext
-    parts = [match(F.col(text), sc.broadcast(b)) for b in blocks(benchmark)]
-    return docs.withColumn(out, united(parts))
+    spark = docs.sparkSession
+    found, scratch, shared = docs.drop(out), None, None
+    for block in blocks(benchmark, limit=limit):
+        past, shared = shared, spark.sparkContext.broadcast(block)
+        own = match(F.col(text), shared)
+        if past is None:
+            found = found.withColumn(out, own)
+            continue
+        scratch = scratch or Scratch(spark, "decontamination")
+        found = scratch.cut(found)
+        past.destroy()
+        found = found.withColumn(out, united([F.col(out), own]))
+    return found
 
 
 def is_contaminated(m: str = "match") -> tuple[Column, Column]:
@@ -232,10 +271,14 @@ def is_contaminated(m: str = "match") -> tuple[Column, Column]:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows of contaminated texts; columns stay as they are."""
-    name = "_match_" + hashlib.md5(",".join(docs.columns).encode()).hexdigest()[:8]
+    """``docs`` without the affected rows: those whose text holds a window of the benchmark, however long the text is.
+
+    Columns stay as they are. Null, empty and wordless texts stay; repeated rows stay or go together; an empty benchmark
+    removes nothing.
+    """
+    name = "_match_" + uuid.uuid4().hex[:8]
     found = matched(docs, benchmark, text, name)
-    return found.where(~is_contaminated(name)[1]).drop(name)
+    return found.where(is_contaminated(name)[0] == 0).drop(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,29 @@ def test_decontamination_odd_inputs(spark, odd, none):
     assert decontamination.remove_contaminated(none, bench).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1000, 5])
+def test_decontamination_passes(spark, limit):
+    """Blocks of the benchmark go one pass at a time; every affected text goes, a long one with one hit, too."""
+    texts = [*TEXTS, "a short item here " + "word " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("match", F.lit("clash"))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontamination.matched(docs, bench, limit=limit).select("doc_id", "match", decontamination.is_contaminated()[0].alias("n")).collect()
+    assert [(r.match.n_words, r.n, r.match["items"]) for r in sorted(found)] == [brute_hits(t, ITEMS) for t in texts]
+    kept = decontamination.remove_contaminated(docs, bench)
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, ITEMS)[1]} and kept.columns == docs.columns
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=25), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("abcd"), max_size=40), max_size=4))
+def test_longest_matches_equal_brute_force(items, texts):
+    block = decontamination.Block([(str(i), " ".join(t)) for i, t in enumerate(items)])
+    for w, r in zip(texts, decontamination._match([" ".join(t) for t in texts], block), strict=True):
+        best = max((n, -i) for i in range(len(w) + 1) for n in range(len(w) - i + 1) if n == 0 or any(len(v) >= n >= min(13, len(v)) and w[i : i + n] in [v[j : j + n] for j in range(len(v))] for v in items if v))
+        assert (r["longest"], r["longest_at"]) == (best[0], -best[1] if best[0] else None)
+        _, hit, found = brute_hits(" ".join(w), [(i, " ".join(v)) for i, v in enumerate(items)])
+        assert (sum(b - a for a, b in zip(r["runs"][::2], r["runs"][1::2])), r["items"]) == (hit, found)
+
+
 # ---- 2 HTML ------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
