@@ -19,29 +19,39 @@ MIN_QUALITY = 0.5
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text scores as good by the classifier, which is fitted on labelled rows of ``docs`` itself."""
+    """Rows whose text scores as good by the classifier, which is fitted on labelled rows of ``docs`` itself.
+
+    A null text scores like the empty one; a score of exactly MIN_QUALITY stays, so without labels all rows stay; repeated
+    rows stay or go together.
+    """
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
     name = "_score" + uuid.uuid4().hex[:8]
     return quality.score(docs, weights, out=name).where(F.col(name) >= MIN_QUALITY).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: the one with the least id."""
+    """One row of each class of near duplicates: the one with the least id, null ids last; of repeated rows any one.
+
+    Null texts count as empty; texts without words are duplicates only of identical ones.
+    """
     return dart_minhash.dedup(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which less than a twentieth of the words lies in benchmark windows."""
+    """Rows whose text holds no window of the benchmark: every affected document goes, however long it is.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together.
+    """
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, secrets in their texts masked, n_chars counted anew."""
+    """All rows, secrets in their texts masked, n_chars counted anew. Null texts stay null; repeated rows stay repeated."""
     return secrets.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and whether decoding gives back the text."""
+    """doc_id, n_tokens, ids and whether decoding gives back the text. Null and empty texts have no ids; all rows stay."""
     done = unigram_codec.round_trip(docs.select("doc_id", "text"))
     return done.select("doc_id", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", "coded.lossless")
 
@@ -64,8 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     A stage's table is deleted once its successor is written; the last one stays, as the result reads it.
     """
     docs = table(spark, sf_dir, "documents")
-    shared_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     past = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
