@@ -1,14 +1,19 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-Everything is a DataFrame expression. Places come from splitting a text at a pattern: the pieces between matches and
-the matches themselves add up to code-point offsets. Candidates are maximal runs of token characters; a window slides
-over each and the entropy of the window follows from counts that change by the character that enters and the one that
-leaves. A candidate's threshold depends on its character class (hex, or wider alphabets); an allow-list suppresses
-well-known harmless strings. Entropy only ever adds spans to those of the patterns.
+Everything is a DataFrame expression. Places come from splitting a text at a pattern: running sums over the lengths of the
+pieces between matches and of the matches themselves are code-point offsets. Candidates are maximal runs of token
+characters; a window slides over each, and its entropy follows from counts per character that are carried along and
+changed by the character that enters and the one that leaves. A candidate's threshold depends on its character class
+(hex, or wider alphabets); an allow-list suppresses well-known harmless strings. Entropy only ever adds spans to those of
+the patterns.
+
+Work is linear in the text and in a candidate; running sums over many matches go in blocks of BLOCK, so that arrays grow
+by copying in short pieces only.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,71 +43,80 @@ ALLOW = (
     r"^[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{0,4}$",
 )
 
-_SPAN = "struct<start:int,rank:int,end:int>"
-_NO_SPANS = f"cast(array() as array<{_SPAN}>)"
+#: Parts of ALLOW that the regex engine would walk by recursion, and the same without steps back, which it walks in a loop.
+IN_A_LOOP = {"([-_/=+][A-Za-z]+)*": "(?:[-_/=+][A-Za-z]++)*+"}
+#: Elements in one block of a running fold.
+BLOCK = 64
+#: n log2 n for the counts of a window, as whole multiples of 2**-40, so that adding and taking off leaves no error.
+_WEIGHTS = [round(n * math.log2(n) * 2**40) if n else 0 for n in range(WINDOW + 2)]
+#: Candidates' characters lie from + to z.
+_FIRST, _SYMBOLS = ord("+"), ord("z") - ord("+") + 1
 
 
-def _places(found: str, gaps: str, rank: int, keep: str = "true") -> str:
-    """SQL: spans of the matches ``found``, which lie between the pieces ``gaps``; ``keep`` may use the index i."""
-    start = f"(a.at + length(element_at({gaps}, i)))"
-    return f"""if(size({found}) = 0, {_NO_SPANS}, aggregate(sequence(1, size({found})),
-        named_struct('at', 0, 'out', {_NO_SPANS}),
-        (a, i) -> named_struct(
-            'at', {start} + length(element_at({found}, i)),
-            'out', if({keep}, concat(a.out, array(named_struct('start', {start}, 'rank', {rank}, 'end', {start} + length(element_at({found}, i))))), a.out)),
-        a -> a.out))"""
+def _running(array: str, step: str) -> str:
+    """SQL: the running folds of an int array by ``step`` (of s and x, from 0), in two levels of blocks."""
+    blocks = f"transform(sequence(0, (size({array}) - 1) div {BLOCK}), k -> slice({array}, k * {BLOCK} + 1, {BLOCK}))"
+    none = "cast(array() as array<int>)"
+    before = f"""aggregate(transform({blocks}, b -> aggregate(b, 0, (s, x) -> {step})), named_struct('s', 0, 'out', {none}),
+        (a, x) -> named_struct('s', transform(array(a.s), s -> {step})[0], 'out', concat(a.out, array(a.s))), a -> a.out)"""
+    return f"""flatten(zip_with({blocks}, {before}, (b, o) -> aggregate(b, named_struct('s', o, 'out', {none}),
+        (a, x) -> transform(array(transform(array(a.s), s -> {step})[0]), s -> named_struct('s', s, 'out', concat(a.out, array(s))))[0], a -> a.out)))"""
 
 
-def _weighed(n: str) -> str:
-    return f"if(({n}) < 2, 0D, ({n}) * log2(cast({n} as double)))"
-
-
-def _entropy(c: str, window: int) -> str:
+def _entropy(c: str) -> str:
     """SQL: struct (first, last) of the window starts in candidate ``c`` whose entropy reaches its class's bits, 0-based; first -1 if none."""
-    within = f"substring({c}, greatest(1, i - {window}), least(i - 1, {window}))"
-    enter, leave = f"substring({c}, i, 1)", f"substring({c}, i - {window}, 1)"
-    rest = f"substring({c}, i - {window} + 1, {window} - 1)"
-    count = lambda s, x: f"(length({s}) - length(replace({s}, {x}, '')))"
-    # s is the sum of n log2 n over the counts n of the window before i; first the oldest character leaves, then c[i] enters
-    left = f"if(i <= {window}, a.s, a.s - {_weighed(count(within, leave))} + {_weighed(count(within, leave) + ' - 1')})"
-    base = f"if(i <= {window}, {within}, {rest})"
-    added = f"{left} - {_weighed(count(base, enter))} + {_weighed(count(base, enter) + ' + 1')}"
-    bits = f"if({c} rlike '^[0-9a-fA-F]+$', {HEX_BITS}D, {WIDE_BITS}D)"
-    return f"""aggregate(sequence(1, length({c})),
-        named_struct('s', 0D, 'first', -1, 'last', -1, 'bits', {bits}),
-        (a, i) -> transform(array({added}), s -> named_struct(
-            's', s,
-            'first', if(a.first < 0 and i >= {window} and log2({window}D) - s / {window} >= a.bits, i - {window}, a.first),
-            'last', if(i >= {window} and log2({window}D) - s / {window} >= a.bits, i - {window}, a.last),
-            'bits', a.bits))[0])"""
+    most = lambda bits: int(WINDOW * (math.log2(WINDOW) - bits) * 2**40)
+    weights = f"array({', '.join(f'{w}L' for w in _WEIGHTS)})"
+    count, weight = "coalesce(a.n[{}], 0)".format, f"{weights}[{{}}]".format
+    gain = f"({weight(count('o.x') + ' + 1')} - {weight(count('o.x'))} + if(o.y < 0, 0L, {weight('greatest(0, ' + count('o.y') + ' - 1)')} - {weight(count('o.y'))}))"
+    # n: counts in the window; s: the sum of n log2 n over them; x enters, y leaves (-1 while the window fills)
+    return f"""transform(array(transform(split({c}, ''), x -> ascii(x) - {_FIRST})), h -> aggregate(
+        sequence(0, size(h) - 1),
+        named_struct('n', array_repeat(0, {_SYMBOLS}), 's', 0L, 'first', -1, 'last', -1, 'most', if({c} rlike '^[0-9a-fA-F]+$', {most(HEX_BITS)}L, {most(WIDE_BITS)}L)),
+        (a, i) -> transform(array(named_struct('x', h[i], 'y', if(i < {WINDOW}, -1, h[greatest(0, i - {WINDOW})]))),
+            o -> transform(array(if(o.x = o.y, a.s, a.s + {gain})), s -> named_struct(
+                'n', if(o.x = o.y, a.n, transform(a.n, (n, k) -> if(k = o.x, n + 1, if(k = o.y, n - 1, n)))),
+                's', s,
+                'first', if(a.first < 0 and i >= {WINDOW - 1} and s <= a.most, i - {WINDOW - 1}, a.first),
+                'last', if(i >= {WINDOW - 1} and s <= a.most, i - {WINDOW - 1}, a.last),
+                'most', a.most))[0])[0]))[0]"""
 
 
 def _sql_text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _looped(pattern: str) -> str:
+    for part, same in IN_A_LOOP.items():
+        pattern = pattern.replace(part, same)
+    return pattern
+
+
 def scanned(docs: DataFrame, text: str = "text", out: str = "spans", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``docs`` with ``out``: array of (start, rank, end), sorted; ranks number KINDS, ends are exclusive code points.
 
-    Null text has no spans. No rows move and no Python runs. Other columns stay, whatever their names.
+    Null and empty texts have no spans; a text of any length is scanned whole; spans of equal starts come by rank;
+    repeated rows get equal spans; an empty table stays empty. No rows move and no Python runs. Other columns stay,
+    whatever their names; a column already named ``out`` is replaced.
     """
     tag = "_s" + uuid.uuid4().hex[:8]
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    t, none = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.array().cast("array<string>")
     parts = docs
-    patterns = {"a": ASSIGN, "k": ACCESS, "h": HEX, "e": CANDIDATE}
-    for k, p in patterns.items():
-        hit, none = t.rlike(p), F.array().cast("array<string>")
-        parts = parts.withColumn(f"{tag}{k}", F.when(hit, F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none))
-        parts = parts.withColumn(f"{tag}{k}g", F.when(hit, F.split(t, p, -1)).otherwise(none))
-    parts = parts.withColumn(f"{tag}a2", F.when(t.rlike(ASSIGN), F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>")))
-    e = f"element_at({tag}e, i)"
-    harmless = " or ".join(f"{e} rlike {_sql_text(x)}" for x in allow) or "false"
-    candidates = f"""filter({_places(f'{tag}e', f'{tag}eg', 3, f"{e} rlike {_sql_text(MIXED)} and not ({harmless})")}, s -> true)"""
-    base = f"concat({_places(f'{tag}a', f'{tag}ag', 0, f'length(element_at({tag}a2, i)) >= {ASSIGN_MIN}')}, {_places(f'{tag}k', f'{tag}kg', 1)}, {_places(f'{tag}h', f'{tag}hg', 2)})"
-    parts = parts.withColumn(f"{tag}b", F.expr(f"array_sort({base})")).withColumn(f"{tag}c", F.expr(candidates))
+    for rank, (k, p) in enumerate({"a": ASSIGN, "k": ACCESS, "h": HEX, "e": CANDIDATE}.items()):
+        found, gaps = f"{tag}{k}", f"{tag}{k}g"
+        parts = parts.withColumn(found, F.regexp_extract_all(t, F.lit(p), F.lit(0)))
+        parts = parts.withColumn(gaps, F.when(F.size(found) > 0, F.split(t, p, -1)).otherwise(none))
+        parts = parts.withColumn(f"{tag}{k}n", F.expr(f"zip_with(slice({gaps}, 1, size({found})), {found}, (x, y) -> length(x) + length(y))"))
+        ends = f"if(size({found}) = 0, cast(array() as array<int>), {_running(f'{tag}{k}n', 's + x')})"
+        parts = parts.withColumn(f"{tag}{k}s", F.expr(f"zip_with({ends}, {found}, (e, m) -> named_struct('start', e - length(m), 'rank', {rank}, 'end', e, 'm', m))"))
+    harmless = " or ".join(f"x.m rlike {_sql_text(_looped(p))}" for p in allow) or "false"
+    long_enough = f"length(regexp_extract(x.m, {_sql_text(ASSIGN)}, 2)) >= {ASSIGN_MIN}"
+    plain = "x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end)"
+    parts = parts.withColumn(f"{tag}b", F.expr(f"array_sort(transform(concat(filter({tag}as, x -> {long_enough}), {tag}ks, {tag}hs), {plain}))"))
+    parts = parts.withColumn(f"{tag}c", F.expr(f"filter({tag}es, x -> x.m rlike {_sql_text(MIXED)} and not ({harmless}))"))
     # of each candidate the part that high-entropy windows cover, unless the patterns have it already
-    found = f"""filter(transform({tag}c, x -> transform(array(substring(coalesce(`{text}`, ''), x.start + 1, x.end - x.start)),
-        c -> transform(array({_entropy('c', WINDOW)}), w -> named_struct('start', x.start + w.first, 'rank', if(w.first < 0, -1, 3), 'end', x.start + w.last + {WINDOW}))[0])[0]),
+    found = f"""filter(transform({tag}c, x -> transform(array({_entropy('x.m')}), w ->
+        named_struct('start', x.start + w.first, 'rank', if(w.first < 0, -1, 3), 'end', x.start + w.last + {WINDOW}))[0]),
         y -> y.rank >= 0 and not exists({tag}b, z -> z.start <= y.start and y.end <= z.end))"""
     parts = parts.withColumn(out, F.when(F.size(f"{tag}c") == 0, F.col(f"{tag}b")).otherwise(F.expr(f"array_sort(concat({tag}b, {found}))")))
     return parts.drop(*[c for c in parts.columns if c.startswith(tag)])
@@ -117,18 +131,24 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mark``; ``n_chars``, if there, is counted anew.
 
-    A null text stays null. Rows without secrets stay as they are.
+    A null text stays null. Rows without secrets stay as they are, repeated rows stay repeated.
     """
-    name = "_spans" + uuid.uuid4().hex[:8]
-    found = scanned(docs, text, name)
-    cut = f"""aggregate({name}, named_struct('at', 0, 'out', ''),
-        (a, s) -> named_struct('at', greatest(a.at, s.end),
-            'out', concat(a.out, if(s.start >= a.at, concat(substring(`{text}`, a.at + 1, s.start - a.at), '{mark}'), ''))),
-        a -> concat(a.out, substring(`{text}`, a.at + 1)))"""
-    done = found.withColumn(text, F.when(F.size(name) == 0, F.col(text)).otherwise(F.expr(cut))).drop(name)
+    tag = "_r" + uuid.uuid4().hex[:8]
+    spans, ends, cuts = f"{tag}s", f"{tag}e", f"{tag}c"
+    done = scanned(docs, text, spans)
+    done = done.withColumn(ends, F.transform(spans, lambda s: s["end"]))
+    # a span begins behind all that ended before it, or lies in what is masked already
+    done = done.withColumn(ends, F.expr(f"if(size({spans}) = 0, {ends}, {_running(ends, 'greatest(s, x)')})"))
+    done = done.withColumn(cuts, F.expr(f"zip_with({spans}, zip_with(concat(array(0), slice({ends}, 1, greatest(0, size({ends}) - 1))), {ends}, (p, e) -> named_struct('p', p, 'e', e)), (s, z) -> named_struct('start', s.start, 'past', z.p, 'upto', z.e))"))
+    # texts are cut block by block, as a place in a text is found by walking to it
+    masked = f"""concat(array_join(transform(sequence(0, (size({cuts}) - 1) div {BLOCK}), k -> transform(array(slice({cuts}, k * {BLOCK} + 1, {BLOCK})), b ->
+        transform(array(substring(`{text}`, b[0].past + 1, element_at(b, -1).upto - b[0].past)), own -> array_join(transform(b, c ->
+            if(c.start >= c.past, concat(substring(own, c.past - b[0].past + 1, c.start - c.past), {_sql_text(mark)}), '')), ''))[0])[0]), ''),
+        substring(`{text}`, element_at({cuts}, -1).upto + 1))"""
+    done = done.withColumn(text, F.when(F.size(spans) == 0, F.col(f"`{text}`")).otherwise(F.expr(masked)))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return done.select(*docs.columns)
+        done = done.withColumn("n_chars", F.when(F.col(f"`{text}`").isNull(), F.col("n_chars")).otherwise(F.length(f"`{text}`").cast(docs.schema["n_chars"].dataType)))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
