@@ -51,6 +51,8 @@ BLOCK = 64
 _WEIGHTS = [round(n * math.log2(n) * 2**40) if n else 0 for n in range(WINDOW + 2)]
 #: Candidates' characters lie from + to z.
 _FIRST, _SYMBOLS = ord("+"), ord("z") - ord("+") + 1
+#: Counts of a window, at most WINDOW < 32, in one long.
+_PACKED = 12
 
 
 def _running(array: str, step: str) -> str:
@@ -67,19 +69,21 @@ def _entropy(c: str) -> str:
     """SQL: struct (first, last) of the window starts in candidate ``c`` whose entropy reaches its class's bits, 0-based; first -1 if none."""
     most = lambda bits: int(WINDOW * (math.log2(WINDOW) - bits) * 2**40)
     weights = f"array({', '.join(f'{w}L' for w in _WEIGHTS)})"
-    count, weight = "coalesce(a.n[{}], 0)".format, f"{weights}[{{}}]".format
-    gain = f"({weight(count('o.x') + ' + 1')} - {weight(count('o.x'))} + if(o.y < 0, 0L, {weight('greatest(0, ' + count('o.y') + ' - 1)')} - {weight(count('o.y'))}))"
-    # n: counts in the window; s: the sum of n log2 n over them; x enters, y leaves (-1 while the window fills)
+    weight = lambda n: f"{weights}[{n}]"
+    count = lambda v: f"cast(shiftrightunsigned(a.n[o.{v} div {_PACKED}], 5 * (o.{v} % {_PACKED})) & 31L as int)"
+    one = lambda v: f"if(k = o.{v} div {_PACKED}, shiftleft(1L, 5 * (o.{v} % {_PACKED})), 0L)"
+    # n: counts in the window, in fields of five bits; s: the sum of n log2 n over them; x enters, y leaves (-1 while the window fills)
     return f"""transform(array(transform(split({c}, ''), x -> ascii(x) - {_FIRST})), h -> aggregate(
         sequence(0, size(h) - 1),
-        named_struct('n', array_repeat(0, {_SYMBOLS}), 's', 0L, 'first', -1, 'last', -1, 'most', if({c} rlike '^[0-9a-fA-F]+$', {most(HEX_BITS)}L, {most(WIDE_BITS)}L)),
-        (a, i) -> transform(array(named_struct('x', h[i], 'y', if(i < {WINDOW}, -1, h[greatest(0, i - {WINDOW})]))),
-            o -> transform(array(if(o.x = o.y, a.s, a.s + {gain})), s -> named_struct(
-                'n', if(o.x = o.y, a.n, transform(a.n, (n, k) -> if(k = o.x, n + 1, if(k = o.y, n - 1, n)))),
-                's', s,
-                'first', if(a.first < 0 and i >= {WINDOW - 1} and s <= a.most, i - {WINDOW - 1}, a.first),
-                'last', if(i >= {WINDOW - 1} and s <= a.most, i - {WINDOW - 1}, a.last),
-                'most', a.most))[0])[0]))[0]"""
+        named_struct('n', array_repeat(0L, {_SYMBOLS // _PACKED + 1}), 's', 0L, 'first', -1, 'last', -1, 'most', if({c} rlike '^[0-9a-fA-F]+$', {most(HEX_BITS)}L, {most(WIDE_BITS)}L)),
+        (a, i) -> transform(transform(array(named_struct('x', h[i], 'y', if(i < {WINDOW}, -1, h[greatest(0, i - {WINDOW})]))),
+            o -> if(o.x = o.y, named_struct('n', a.n, 's', a.s), transform(array(named_struct('x', {count('x')}, 'y', if(o.y < 0, 0, {count('y')}))), m -> named_struct(
+                'n', transform(a.n, (n, k) -> n + {one('x')} - if(o.y < 0, 0L, {one('y')})),
+                's', a.s + {weight('m.x + 1')} - {weight('m.x')} + if(o.y < 0, 0L, {weight('greatest(0, m.y - 1)')} - {weight('m.y')})))[0])), z -> named_struct(
+            'n', z.n, 's', z.s,
+            'first', if(a.first < 0 and i >= {WINDOW - 1} and z.s <= a.most, i - {WINDOW - 1}, a.first),
+            'last', if(i >= {WINDOW - 1} and z.s <= a.most, i - {WINDOW - 1}, a.last),
+            'most', a.most))[0]))[0]"""
 
 
 def _sql_text(s: str) -> str:
