@@ -99,12 +99,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the shared folder: lineage ends there and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage: they survive lost executors, and ``clear`` deletes them."""
 

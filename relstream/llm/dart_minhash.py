@@ -7,12 +7,14 @@ keeps the earliest dart of each of ``k`` coordinates; two documents share a coor
 weighted Jaccard similarity of their sets. Bands of coordinates make buckets; candidates from buckets are verified on
 the exact shingle sets.
 
-Plan: exact copies (same words) collapse first, in a partially aggregated group-by. Documents that meet in buckets form
-families (components of the graph of buckets). A family is dealt to blocks of bounded size; every block also holds the
-family's hub, the member that meets most others. A block's shingle sets are intersected all at once by matrix products
-over the shingles that occur twice, and only a spanning forest of its links leaves the task. In families of several
-blocks, the members that the first round left outside the largest component are compared with all members, again block
-by block, so no pair of a family is left undecided. Components are found by contracting edges to the least neighbour.
+Plan: exact copies (same words) collapse first, in a partially aggregated group-by. Candidates are documents that meet in
+a bucket. First every document goes to one star: the centre is the least document of the bucket group it meets most. A
+star is dealt to blocks of bounded size, each with a copy of the centre; a block's shingle sets are intersected all at
+once by matrix products, and only a spanning forest of its verified links leaves the task, at most one link a block to
+the centre. Components of verified links are found by contracting edges to the least neighbour. Then every bucket whose
+members are still in several components is settled: its members outside the bucket's largest component meet all its
+members, again in blocks, so that no pair that shares a bucket stays undecided unless its two ends are linked anyway.
+Buckets never join up: what is compared follows from shared buckets and verified links alone.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relstream.llm.common import chunks, cut, hash_words, mix, shared_dir, steps, table, trim
+from relstream.llm.common import Scratch, chunks, hash_words, hot_join, mix, steps, table, trim
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,8 +39,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 #: Members and shingles of a block at most, on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 96, 1 << 16
-#: Keys that the rows of one family are dealt over where facts of the family are joined to them.
-SALTS = 16
+#: Characters whose darts are thrown together: some thousand bytes for each short text.
+SKETCH_CHARS = 1 << 17
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = [np.uint64(int(sum(math.exp(-1) / math.factorial(i) for i in range(j + 1)) * (1 << 64)) - 1) for j in range(9)]
@@ -140,10 +142,11 @@ def _throw(element: np.ndarray, weight: np.ndarray | None, start: np.ndarray, li
 
 
 def _sketch_batch(texts: list[str | None], weighted: bool) -> pa.StructArray:
-    keys, bands = [], []
-    for lo, hi in chunks(texts):
+    keys, bands, size = [], [], []
+    for lo, hi in chunks(texts, SKETCH_CHARS):
         element, start, own = shingles(texts[lo:hi])
         keys += own
+        size += np.diff(start).tolist()
         weight = None
         if weighted:
             doc = np.repeat(np.arange(hi - lo), np.diff(start))
@@ -155,13 +158,14 @@ def _sketch_batch(texts: list[str | None], weighted: bool) -> pa.StructArray:
             h = reduce(lambda a, r: a * _K + sig[:, :, r], range(ROWS), np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((hi - lo, 1), np.uint64))
         h = mix(h.reshape(-1)).view(np.int64).reshape(hi - lo, BANDS)
         bands += [None if a == b else x for x, a, b in zip(h, start[:-1], start[1:], strict=True)]
-    return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "bands"])
+    return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["key", "size", "bands"])
 
 
 def sketch(text: Column, weighted: bool = False) -> Column:
-    """Struct (key binary, bands array<long>) of a text; ``bands`` is null for a text without words."""
+    """Struct (key binary, size long, bands array<long>) of a text: its number of shingles, repeats among them; ``bands``
+    is null for a text without words."""
 
-    @F.arrow_udf("key binary, bands array<long>")
+    @F.arrow_udf("key binary, size bigint, bands array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             yield pa.concat_arrays([_sketch_batch(own, weighted) for own in steps(x)])
@@ -169,24 +173,20 @@ def sketch(text: Column, weighted: bool = False) -> Column:
     return run(text)
 
 
-@F.arrow_udf(T.BinaryType())
-def content_key(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for x in batches:
-        yield pa.array([k for own in steps(x) for k in shingles(own)[2]], pa.binary())
+def shingle_set(text: Column, weighted: bool = False) -> Column:
+    """Struct (elements, counts): the distinct shingle hashes of a text and, if ``weighted``, how often each occurs (else null)."""
 
+    @F.arrow_udf(T.StructType([T.StructField("elements", T.BinaryType()), T.StructField("counts", T.BinaryType())]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in batches:
+            sets, counts = [], []
+            for t in (t for own in steps(x) for t in own):
+                u, n = np.unique(shingles([t])[0], return_counts=True)
+                sets.append(u.tobytes())
+                counts.append(n.astype(np.uint32).tobytes() if weighted else None)
+            yield pa.StructArray.from_arrays([pa.array(v, pa.binary()) for v in (sets, counts)], ["elements", "counts"])
 
-@F.arrow_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("elements", T.BinaryType()), T.StructField("counts", T.BinaryType())]))
-def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Key, distinct shingle hashes and their counts of each text."""
-    for x in batches:
-        keys, sets, counts = [], [], []
-        for t in (t for own in steps(x) for t in own):
-            e, _, key = shingles([t])
-            u, n = np.unique(e, return_counts=True)
-            keys += key
-            sets.append(u.tobytes())
-            counts.append(n.astype(np.uint32).tobytes())
-        yield pa.StructArray.from_arrays([pa.array(v, pa.binary()) for v in (keys, sets, counts)], ["key", "elements", "counts"])
+    return run(text)
 
 
 def overlaps(sets: list[np.ndarray], counts: list[np.ndarray] | None) -> np.ndarray:
@@ -217,22 +217,30 @@ def overlaps(sets: list[np.ndarray], counts: list[np.ndarray] | None) -> np.ndar
     return both / np.maximum(size[:, None] + size[None, :] - both, 1)
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the graph given by a boolean matrix."""
-    root = np.arange(len(near))
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        if root[i] != root[j]:
-            out.append((int(i), int(j)))
-            root[root == root[j]] = root[i]
-    return out
+def _parts(near: np.ndarray) -> np.ndarray:
+    """The component of every node of the graph given by a symmetric boolean matrix."""
+    part = np.full(len(near), -1)
+    for i in range(len(near)):
+        if part[i] < 0:
+            own = near[i].copy()
+            own[i] = True
+            while (more := near[own].any(0) | own).sum() > own.sum():
+                own = more
+            part[own] = i
+    return part
 
 
 def _links(threshold: float, weighted: bool, sides: bool):
-    """Grouped function: a block's rows (nid, elements, counts, side) to links (a, b); with ``sides``, only between side 0 and side 1."""
+    """Grouped function: a block's rows (g, nid, side, elements, counts) to links (a, b) that span its components; with
+    ``sides``, only pairs of side 0 and side 1 count.
+
+    A component's members are linked to the least of them, the group's centre (nid = g) aside, and that one to the
+    centre: so a centre has one link a block, however large its group is.
+    """
 
     def run(block: pa.Table) -> pa.Table:
         nid, side = block.column("nid").to_numpy(), block.column("side").to_numpy()
+        centre = block.column("g")[0].as_py()
         _, one = np.unique(nid * 2 + side, return_index=True)
         nid, side = nid[one], side[one]
         sets = [np.frombuffer(x, np.uint64) for x in block.column("elements").take(pa.array(one)).to_pylist()]
@@ -240,123 +248,184 @@ def _links(threshold: float, weighted: bool, sides: bool):
         near = overlaps(sets, counts) >= threshold - 1e-12
         if sides:
             near &= (side[:, None] != side[None, :]) & (nid[:, None] != nid[None, :])
-        pairs = _forest(near)
-        a, b = nid[[i for i, _ in pairs]], nid[[j for _, j in pairs]]
+        part = _parts(near)
+        links = set()
+        for p in np.unique(part).tolist():
+            own = sorted(set(nid[part == p].tolist()), key=lambda n: (n == centre, n))
+            links.update((min(own[0], n), max(own[0], n)) for n in own[1:])
         trim()
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        a, b = zip(*sorted(links), strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b): every node of a component gets the same root, a node of it.
 
     Each round maps nodes to their least neighbour and contracts the edges; rounds follow the logarithm of the longest
-    path. Nothing but a yes or no per round reaches the driver.
+    path. Nothing but a number and a yes or no per round reaches the driver. Nodes of few links are assumed; a component
+    of any size is not dealt by its root where its nodes are relabelled.
     """
     root = None
     while True:
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        least = cut(least)
+        least = scratch.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
         if root is None:
             root = least.select(F.col("n").alias("node"), F.col("m").alias("root"))
         else:
-            root = root.join(least, root["root"] == least["n"], "left").select("node", F.coalesce("m", "root").alias("root"))
-        root = cut(root)
+            sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+            facts = sizes.join(least, sizes["root"] == least["n"]).select("root", "m", "size")
+            root = scratch.cut(hot_join(root, facts, ["root"], "size", root.count(), "left").select("node", F.coalesce("m", "root").alias("root")))
         x, y = least.toDF("a", "ma"), least.toDF("b", "mb")
         edges = edges.join(x, "a").join(y, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-        edges = cut(edges)
+        edges = scratch.cut(edges)
         if edges.isEmpty():
             return root
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate classes of ``docs``: rows (doc_id, key) as they came, and nodes (key, class_id, class_key).
+def _identity(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell a row (id and text) from others; never null."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(doc_id, doc_id.isNull(), text), F.xxhash64(text)
+
+
+def _share(n: Column, size: Column) -> Column:
+    """Blocks for ``n`` documents of ``size`` shingles."""
+    return F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _place(n: Column) -> Column:
+    return F.pmod(F.xxhash64("nid"), n).cast("int")
+
+
+def _steps_to(n: Column) -> Column:
+    """0 to n - 1; nothing for null or 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    A node is a distinct word sequence; ``class_id`` is the least id in its class, ``class_key`` the key of the document
-    that has it. Similarity is the Jaccard index of five-word shingle sets (of multisets if ``weighted``). A null text
-    counts as empty; texts without words are in one class only if identical; a class whose ids are all null has a null
-    class_id. Repeated rows are exact copies.
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicate classes of ``docs``: rows (doc_id, key, rid, h) as they came, and nodes (key, class_id, class_key,
+    class_rid, class_h, copies).
+
+    A node is a distinct word sequence with its number of rows; ``class_id`` is the least id in its class, the other
+    class columns tell which document has it. Similarity is the Jaccard index of five-word shingle sets (of multisets if
+    ``weighted``). A null text counts as empty; texts without words are in one class only if identical; a class whose ids
+    are all null has a null class_id. Repeated rows are exact copies; of rows of equal ids and different texts in a class
+    the one with the least key stands for it. An empty table gives empty tables. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(base.select("doc_id", sketch(F.col("text"), weighted).alias("s")).select("doc_id", "s.key", "s.bands"))
-    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    spark, one = docs.sparkSession, F.lit(1)
+    results, scratch = Scratch(spark, "near"), Scratch(spark, "near-work")
+    rid, h = _identity(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), rid.alias("rid"), h.alias("h"))
+    rows = results.cut(base.select("doc_id", "rid", "h", sketch(F.col("text"), weighted).alias("s")).select("doc_id", "rid", "h", "s.*"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "h")).alias("m")
+    nodes = rows.groupBy("key").agg(first, F.count(one).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = scratch.cut(nodes.select("key", F.col("m.doc_id").alias("id"), "m.rid", "m.h", "copies", "size", "bands", F.monotonically_increasing_id().alias("nid")))
+
+    # which documents meet where, and one star for each
     every = nodes.select("nid", F.explode("bands").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.min("nid").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = every.join(shared, "bucket").groupBy("nid", "lo").agg(F.sum("n").alias("n"))
-    met = cut(met)
-    family = components(met.where("nid <> lo").select(F.col("lo").alias("a"), F.col("nid").alias("b")))
-    family = family.join(met.groupBy("nid").agg(F.sum("n").alias("meets")), family["node"] == F.col("nid")).select("nid", F.col("root").alias("family"), "meets")
-
-    shared_dir(spark)
-    store = f"{spark.sparkContext.getCheckpointDir()}/sets-{uuid.uuid4().hex}"
-    wanted = family.join(nodes.select("nid", "id", F.col("key").alias("own")), "nid")
-    found = base.join(wanted, base["doc_id"].eqNullSafe(wanted["id"])).select("nid", "family", "meets", "own", shingle_set("text").alias("s"))
-    found = found.where("s.key = own").dropDuplicates(["nid"])
-    found.select("nid", "family", "meets", "s.elements", "s.counts", (F.octet_length("s.elements") / 8).cast("long").alias("size")).write.parquet(store)
-    sets = spark.read.schema("nid long, family long, meets long, elements binary, counts binary, size long").parquet(store)
-
-    share = lambda n, s: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    place = lambda n: F.pmod(F.xxhash64("nid"), n).cast("int")
-    sizes = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.max(F.struct("meets", "nid"))["nid"].alias("hub"))
-    sizes = cut(sizes.select("family", share(F.col("n"), F.col("s")).alias("blocks"), "hub"))
-    # a family may hold a third of all rows: its facts are copied to SALTS keys, rows pick theirs by hash
-    salted = lambda f: f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = sets.withColumn("salt", place(F.lit(SALTS)))
-    dealt = spread.join(salted(sizes), ["family", "salt"]).withColumn("i", F.when(F.col("nid") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place(F.col("blocks")))))
-    dealt = dealt.select("family", F.explode("i").alias("i"), "nid", F.lit(0).alias("side"), "elements", "counts")
-    edges = cut(dealt.groupBy("family", "i").applyInArrow(_links(threshold, weighted, False), "a long, b long"))
-    roots = components(edges)
-
-    # families of several blocks: members outside the largest component against all
-    wide = sizes.where("blocks > 1")
-    if not wide.isEmpty():
-        held = spread.select("nid", "family", "salt", "size").join(salted(wide.select("family", "blocks")), ["family", "salt"])
-        held = held.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        held = cut(held)
-        main = held.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-        main = cut(main)
-        outer = held.join(salted(main), ["family", "salt"]).where("root <> main")
-        out = outer.groupBy("family").agg(share(F.count(F.lit(1)), F.sum("size")).alias("parts"))
-        facts = cut(wide.join(main, "family").join(out, "family").select("family", "blocks", "main", "parts"))
-        every_row = spread.join(salted(facts), ["family", "salt"]).join(held.select("nid", "root"), "nid")
-        every_row = every_row.select("family", "nid", "elements", "counts", "parts", "blocks", (F.col("root") != F.col("main")).alias("outside"))
-        # an outside member goes to all blocks of the family as side 0, every member to all parts as side 1
-        copies = F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("i"), place(F.col("blocks")).alias("j"), F.lit(1).alias("side"))),
-            F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(place(F.col("parts")).alias("i"), j.alias("j"), F.lit(0).alias("side")))).otherwise(F.array()),
-        )
-        more = every_row.withColumn("c", F.explode(copies)).select("family", "c.*", "nid", "elements", "counts")
-        edges = cut(edges.union(more.groupBy("family", "i", "j").applyInArrow(_links(threshold, weighted, True), "a long, b long")))
-        roots = components(edges)
-
-    full = nodes.select("key", "id", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "id", F.coalesce("root", "nid").alias("root"))
-    best = full.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.hex("key").alias("hex"))).alias("m"))
-    full = cut(full.join(best, "root").select("key", F.col("m.id").alias("class_id"), F.unhex("m.hex").alias("class_key")))
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return rows.select("doc_id", "key"), full
+    shared = scratch.cut(every.groupBy("bucket").agg(F.min("nid").alias("lo"), F.count(one).alias("n")).where("n > 1"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = scratch.cut(hot_join(every, shared, ["bucket"], "n", total).select("bucket", "nid", "lo"))
+    meets = pairs.where("nid <> lo").groupBy("nid", "lo").agg(F.count(one).alias("n"))
+    pick = meets.groupBy("nid").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m")).select("nid", (-F.col("m.lo")).alias("star"))
+    pick = scratch.cut(pick.join(nodes.select("nid", "size"), "nid"))
+    stars = scratch.cut(pick.groupBy("star").agg(F.count(one).alias("n"), F.sum("size").alias("s")).select("star", "n", _share(F.col("n"), F.col("s")).alias("blocks")))
+    placed = hot_join(pick, stars, ["star"], "n", pick.count()).select("nid", "star", _place(F.col("blocks")).alias("i"))
+    wanted = placed.join(stars.select(F.col("star").alias("nid"), F.col("blocks").alias("own")), "nid", "full")
+    wanted = scratch.cut(wanted.join(nodes.select("nid", "rid", "h"), "nid"))
+
+    # shingle sets of all documents that meet another, each read once
+    again = scratch.cut(rows.groupBy("rid", "h").count().where("count > 1").select("rid", "h"))
+    texts = lambda w: base.select("rid", "h", "text").join(w, ["rid", "h"]).select("nid", "star", "i", "own", "text")
+    if again.isEmpty():
+        found = texts(wanted)
+    else:
+        found = texts(wanted.join(again, ["rid", "h"], "left_anti")).union(texts(wanted.join(again, ["rid", "h"], "left_semi")).dropDuplicates(["nid"]))
+    sets = scratch.cut(found.select("nid", "star", "i", "own", shingle_set(F.col("text"), weighted).alias("s")).select("nid", "star", "i", "own", "s.*"))
+    to = F.concat(
+        F.when(F.col("star").isNotNull(), F.array(F.struct(F.col("star").alias("g"), F.col("i").alias("i")))).otherwise(F.array().cast("array<struct<g:bigint,i:int>>")),
+        F.transform(_steps_to(F.col("own")), lambda j: F.struct(F.col("nid").alias("g"), j.alias("i"))),
+    )
+    dealt = sets.select("nid", "elements", "counts", F.lit(0).alias("side"), F.explode(to).alias("to")).select("to.*", "nid", "side", "elements", "counts")
+    edges = scratch.cut(dealt.groupBy("g", "i").applyInArrow(_links(threshold, weighted, False), "a long, b long"))
+    roots = components(edges, scratch)
+    more = _open_buckets(pairs, roots, nodes, sets, scratch, threshold, weighted)
+    if more is not None and not more.isEmpty():
+        roots = components(scratch.cut(edges.union(more)), scratch)
+
+    member = scratch.cut(nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "id", "rid", "h", "copies", "root"))
+    linked = member.where("root is not null")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.hex("key").alias("hex"), "rid", "h")).alias("m")
+    best = scratch.cut(linked.groupBy("root").agg(best, F.count(one).alias("n")))
+    named = lambda f, m: f.select("key", F.col(f"{m}id").alias("class_id"), *[F.unhex("m.hex").alias("class_key") if m else F.col("key").alias("class_key")], F.col(f"{m}rid").alias("class_rid"), F.col(f"{m}h").alias("class_h"), "copies")
+    full = named(hot_join(linked.select("key", "copies", "root"), best, ["root"], "n", linked.count()), "m.").union(named(member.where("root is null"), ""))
+    full = results.cut(full)
+    scratch.clear()
+    return rows.select("doc_id", "key", "rid", "h"), full
+
+
+def _open_buckets(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, weighted: bool) -> DataFrame | None:
+    """Links between the members of buckets that hold several components; None if no bucket does.
+
+    Members outside a bucket's largest component go to all blocks of the bucket, each member to all parts of these. Of
+    buckets with the same members one is enough.
+    """
+    one = F.lit(1)
+    held = pairs.select("bucket", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    held = scratch.cut(held)
+    same = ["x", "n", "low", "high", "least"]
+    several = held.groupBy("bucket").agg(
+        F.bit_xor(F.xxhash64("nid")).alias("x"), F.count(one).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("nid").alias("least")
+    )
+    several = scratch.cut(several.where("low <> high").groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
+    if several.isEmpty():
+        return None
+    total = several.agg(F.sum("n")).first()[0]
+    held = hot_join(held, several, ["bucket"], "n", total)
+    held = scratch.cut(held.join(nodes.select("nid", "size"), "nid"))
+    parts = held.groupBy("bucket", "root").agg(F.count(one).alias("n"), F.sum("size").alias("s"))
+    facts = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "root")).alias("m"))
+    facts = facts.select(
+        "bucket", "n", F.col("m.root").alias("main"), _share(F.col("n"), F.col("s")).alias("blocks"),
+        _share(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("parts"),
+    )
+    dealt = hot_join(held, scratch.cut(facts), ["bucket"], "n", total)
+    to = F.concat(
+        F.transform(_steps_to(F.col("parts")), lambda i: F.struct(i.alias("i"), _place(F.col("blocks")).alias("j"), F.lit(1).alias("side"))),
+        F.transform(_steps_to(F.when(F.col("root") != F.col("main"), F.col("blocks"))), lambda j: F.struct(_place(F.col("parts")).alias("i"), j.alias("j"), F.lit(0).alias("side"))),
+    )
+    dealt = scratch.cut(dealt.select("bucket", "nid", F.explode(to).alias("to")).select(F.col("bucket").alias("g"), "nid", "to.*"))
+    full = dealt.join(sets.select("nid", "elements", "counts"), "nid")
+    return scratch.cut(full.groupBy("g", "i", "j").applyInArrow(_links(threshold, weighted, True), "a long, b long"))
+
+
+def labelled(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The two results of ``classes`` joined: every row with its class."""
+    return hot_join(rows, nodes, ["key"], "copies", rows.count())
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class of ``docs``, with all its columns: the one with the least id (of repeated rows, any one)."""
+    """One row of each class of ``docs``, with all its columns: the one with the least id (of repeated rows, any one).
+
+    Null ids come last; null texts count as empty; an empty table stays empty; columns keep names, order and values.
+    """
     rows, nodes = classes(docs, doc_id, text, threshold)
-    best = nodes.select(F.col("class_id").alias("_win_id"), F.col("class_key").alias("_win_key")).distinct()
-    keyed = docs.withColumn("_win_own", content_key(F.col(text)))
-    kept = keyed.join(best, (keyed["_win_own"] == best["_win_key"]) & keyed[doc_id].eqNullSafe(best["_win_id"]), "left_semi")
-    again = cut(rows.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_win_id"), F.col("key").alias("_win_key")))
-    if again.isEmpty():
-        return kept.drop("_win_own")
-    same = (kept["_win_own"] == again["_win_key"]) & kept[doc_id].eqNullSafe(again["_win_id"])
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([doc_id, "_win_own"])).drop("_win_own")
+    r, h = (f"_{c}{uuid.uuid4().hex[:8]}" for c in "rh")
+    best = nodes.select(F.col("class_rid").alias(r), F.col("class_h").alias(h)).distinct()
+    rid, own = _identity(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    kept = docs.withColumn(r, rid).withColumn(h, own).join(best, [r, h], "left_semi")
+    again = rows.groupBy("rid", "h").count().where("count > 1").select(F.col("rid").alias(r), F.col("h").alias(h))
+    again = Scratch(docs.sparkSession, "near").cut(again)
+    if not again.isEmpty():
+        kept = kept.join(again, [r, h], "left_anti").union(kept.join(again, [r, h], "left_semi").dropDuplicates([r, h]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, class_id, kept (it is its class's representative)."""
     rows, nodes = classes(table(spark, sf_dir, "documents"))
-    return rows.join(nodes, "key").select(
+    return labelled(rows, nodes).select(
         "doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))).alias("kept")
     )
