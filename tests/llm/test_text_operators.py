@@ -163,6 +163,63 @@ def test_html_ratios_select_inside_articles():
     assert two.count("A sentence") == 30 and not re.search("Menu|Shop|More|Less", two)
 
 
+PARA = "A sentence, and another one; it goes on. " * 6
+BODY = f"<h1>T</h1><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="layout has-sidebar"><div class=post>{BODY}</div><div class="sidebar"><p>Side, note.</p></div></div>',
+    f'<div class="page-sidebar-layout"><div class=post>{BODY}</div><div class="sidebar"><p>Side, note.</p></div></div>',
+    f'<form id=all><div class=post>{BODY}</div><nav>x</nav><form><p>Name, please.</p></form><div class=comments><p>{PARA}</p></div></form>',
+    f'<header><h1>Site</h1></header><article><div class="entry-header"><h1>T</h1><span>by me</span></div>{BODY[10:]}</article>',
+    f'<header><h1>Site</h1></header><div class=post><div class="entry-header"><h1>T</h1><span>by me</span></div>{BODY[10:]}</div>',
+    f'<div data-id="menu" data-role=nav><div class=post>{BODY}</div></div>',
+    f'<div class=post><h1>T</h1><p>{PARA}<p><a href=x></p><p>{PARA}</p><p>{PARA}</p></div>',
+])
+def test_marks_are_evidence(page):
+    assert html_extract.extract(f"<body>{page}</body>") == "\n".join(["T"] + [PARA.strip()] * 3)
+
+
+def test_marked_texts_stay_out():
+    assert html_extract.extract(f"<body><div class=post><p>Tiny, article.</p></div><div class=comments><p>{PARA}</p></div></body>") == "Tiny, article."
+    assert html_extract.extract("<body><div class=cookie><p>We, use cookies.</p></div><nav>Menu, of it.</nav></body>") == ""
+
+
+def test_html_is_linear_in_depth_and_odd_markup():
+    began = time.time()
+    n = 30_000
+    for page in ("<div>" * n + "deep" + "</div>" * n, '<a "' * n, "<i class=ad>" * n + "</b>" * n, "<li><ul><div>" * n, "</script " * n, "<script>" + "</script " * n, "<!--" * n, "<p><form>" * n):
+        html_extract.extract(page)
+    assert time.time() - began < 30
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["div", "ul", "section"]), max_size=3), st.sampled_from(["p", "li", "h2"]), st.text(alphabet="ab,. ", max_size=30)), max_size=8))
+def test_path_ratios_equal_brute_force(parts):
+    """Every path's length and punctuation per block, from the page itself; smoothing over blocks in page order."""
+    page = "".join("".join(f"<{t}>" for t in path) + f"<{tag}>{text}</{tag}>" + "".join(f"</{t}>" for t in path[::-1]) for path, tag, text in parts)
+    met = [((*path, tag), " ".join(text.split())) for path, tag, text in parts]
+    met = [(path, text) for path, text in met if text]
+    got = html_extract.parse(page)
+    ratio = html_extract.path_ratios(got.blocks)
+    want = []
+    for path, _ in met:
+        own = [t for p, t in met if p == path]
+        want.append(math.sqrt(sum(map(len, own)) / len(own) * (1 + sum(len(re.findall("[,.]", t)) for t in own) / len(own))))
+    assert [b.text for b in got.blocks] == [t for _, t in met] and [ratio[b.path] for b in got.blocks] == pytest.approx(want)
+    if met:
+        soft = [(want[max(0, i - 1)] + 2 * want[i] + want[min(len(want) - 1, i + 1)]) / 4 for i in range(len(want))]
+        assert html_extract.smoothed(got.blocks, ratio).tolist() == pytest.approx(soft)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
+@pytest.mark.parametrize("tag", ["main", 'div class="post"'])
+def test_html_on_driver_pages_of_other_tags(tag):
+    for (h,) in duckdb.sql(f"SELECT html FROM '{BIGGER if os.path.isdir(BIGGER) else FOLDER}/pages.parquet'").fetchall()[:500]:
+        other = h.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+        assert html_extract.extract(other) == html_extract.extract(h)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet='<>/abp "=&;!-ndiv\n', max_size=80))
 def test_html_takes_anything(page):
