@@ -566,6 +566,34 @@ def test_url_tables_hold_rare_words(spark):
     assert model.ratio.get("p:never", 0.0) == 0
 
 
+def test_url_verdicts_on_held_out_hosts(spark):
+    """Labels come from the pages' texts, hosts are without seed words; hosts never trained on are judged by their words."""
+    rng = np.random.default_rng(6)
+    lucky, calm = "spin luck jackpot roulette royale fortune".split(), "river garden music school library bakery".split()
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        a, b, c = rng.choice(lucky if bad else calm, 3, replace=False)
+        host = f"{a}-{b}.org" if i % 2 else f"{a}{b}{c}.org"
+        text = "casino bets poker slots " * 5 if bad else "bread and songs and books " * 5
+        rows.append((f"http://{host}/{c}/{i}", f"<script>casino bets poker</script><p class='casino poker bets'>{text}</p>", bad, host))
+    df = spark.createDataFrame(rows, "url string, html string, bad boolean, h string").withColumn("out", F.crc32("h") % 3 == 1)
+    host, path = url_filter.host_and_path(F.col("url"))
+    seen = df.where("not out")
+    assert seen.where(url_filter.spoken(F.col("html")) != F.col("bad")).count() == 0
+    model = url_filter.train(seen.select(host.alias("host"), path.alias("path"), url_filter.spoken(F.col("html")).alias("evidence")))
+    got = url_filter.judged(df.where("out"), model).select("bad", (F.col("verdict") == "block").alias("blocked")).collect()
+    assert len(got) > 100 and sum(r.bad == r.blocked for r in got) >= 0.95 * len(got)
+    assert url_filter.Segmenter(model.words).split("jackpotfortune") == ("jackpot", "fortune")
+
+
+def test_labels_of_any_length_are_split():
+    s = url_filter.Segmenter({"cheap": 50, "pills": 30, "incomprehensibilitiesandmore": 40})
+    word = "cheapincomprehensibilitiesandmorepills"
+    assert s.split(word * 3) == ("cheap", "incomprehensibilitiesandmore", "pills") * 3
+    assert s.split("q" * 100) == ("q" * 100,) and s.split("pills" + "q" * 40) == ("pills", "q" * 40)
+
+
 def test_best_split_equals_all_splits():
     s = url_filter.Segmenter({"cheap": 50, "pills": 30, "che": 2, "appills": 1, "a": 9})
     cost = lambda w: s.cost.get(w, s.unknown + 3.0 * len(w)) + (4.0 if len(w) < 3 else 0.0)
