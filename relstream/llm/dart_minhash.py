@@ -338,7 +338,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
     # shingle sets of all documents that meet another, each read once
     again = scratch.cut(rows.groupBy("rid", "h").count().where("count > 1").select("rid", "h"))
-    texts = lambda w: base.select("rid", "h", "text").join(w, ["rid", "h"]).select("nid", "star", "i", "own", "text")
+    # texts meet rows in a merge join at every size, as neither side has a bound
+    texts = lambda w: base.select("rid", "h", "text").join(w.hint("merge"), ["rid", "h"]).select("nid", "star", "i", "own", "text")
     if again.isEmpty():
         found = texts(wanted)
     else:
@@ -351,7 +352,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     dealt = sets.select("nid", "elements", "counts", F.lit(0).alias("side"), F.explode(to).alias("to")).select("to.*", "nid", "side", "elements", "counts")
     edges = scratch.cut(dealt.groupBy("g", "i").applyInArrow(_links(threshold, weighted, False), "a long, b long"))
     roots = components(edges, scratch)
-    more = _open_buckets(pairs, roots, nodes, sets, scratch, threshold, weighted)
+    more = _open_buckets(pairs, roots, nodes, wanted, sets, scratch, threshold, weighted)
     if more is not None and not more.isEmpty():
         roots = components(scratch.cut(edges.union(more)), scratch)
 
@@ -366,24 +367,28 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     return rows.select("doc_id", "key", "rid", "h"), full
 
 
-def _open_buckets(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, weighted: bool) -> DataFrame | None:
-    """Links between the members of buckets that hold several components; None if no bucket does.
+def _open_buckets(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, placed: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, weighted: bool) -> DataFrame | None:
+    """Links between the members of buckets that hold several components and did not all meet in one block of a star;
+    None if there is no such bucket.
 
     Members outside a bucket's largest component go to all blocks of the bucket, each member to all parts of these. Of
     buckets with the same members one is enough.
     """
     one = F.lit(1)
-    held = pairs.select("bucket", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    held = scratch.cut(held)
-    same = ["x", "n", "low", "high", "least"]
-    several = held.groupBy("bucket").agg(
-        F.bit_xor(F.xxhash64("nid")).alias("x"), F.count(one).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("nid").alias("least")
+    held = pairs.join(placed.select("nid", F.struct("star", "i").alias("block")), "nid", "left").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    held = scratch.cut(held.withColumn("root", F.coalesce("root", "nid")))
+    same = ["x", "n", "low", "high", "lo"]
+    rest, first = F.when(F.col("nid") != F.col("lo"), F.col("block")), F.when(F.col("nid") == F.col("lo"), F.col("block"))
+    several = held.groupBy("bucket", "lo").agg(
+        F.bit_xor(F.xxhash64("nid")).alias("x"), F.count(one).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.min(rest).alias("from"), F.max(rest).alias("upto"), F.max(first).alias("own"),
     )
-    several = scratch.cut(several.where("low <> high").groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
+    met = (F.col("from") == F.col("upto")) & ((F.col("lo") == F.col("from.star")) | F.col("own").eqNullSafe(F.col("from")))
+    several = scratch.cut(several.where("low <> high").where(~met).groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
     if several.isEmpty():
         return None
     total = several.agg(F.sum("n")).first()[0]
-    held = hot_join(held, several, ["bucket"], "n", total)
+    held = hot_join(held.select("bucket", "nid", "root"), several, ["bucket"], "n", total)
     held = scratch.cut(held.join(nodes.select("nid", "size"), "nid"))
     parts = held.groupBy("bucket", "root").agg(F.count(one).alias("n"), F.sum("size").alias("s"))
     facts = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "root")).alias("m"))
