@@ -2,150 +2,227 @@
 
 Two character 5-gram models, one of toxic and one of ordinary text, share every order below the highest: the backoff
 probabilities are Kneser-Ney continuation counts pooled over both classes, so a rare expression (a stem with an ending
-never seen before) is smoothed alike on both sides and only evidence of the class moves the ratio. Text is lower-cased
-and written in 32 symbols (a-z, five classes of other letters, and one for all else), so a 5-gram is a number below
-2**25 and the log-ratio table has a fixed size of 32 MiB, whatever the corpus holds.
+never seen before) is smoothed alike on both sides and only evidence of the class moves the ratio. Text is lower-cased;
+its characters are taken as they are, of whatever script, so expressions spelled with digits or signs stay apart.
+
+Counts cover every labelled training row: tasks emit summed counts of the grams they saw and Spark adds them up; the
+probabilities of all orders are formed by grouping and joining that table. So the model grows with the labelled text. It
+is kept as log-ratios of the grams that differ from what their context gives to unseen ones, and is broadcast up to
+MODEL_ROWS of these (9 bytes each); a larger one stays a table, and groups of documents are joined to the part of it
+that they need.
 
-Counts cover every labelled training row: tasks emit summed counts of the grams they saw and Spark adds them up.
 Scores compare length-normalised log-likelihoods of the two models over the whole text and over all windows of three
 lengths; a logistic link from these to the label is fitted on a bounded sample of training rows from a hashed quarter,
-whose features come from the counts of the other three quarters (cross-fitting); the counts of all rows then score.
+whose features come from the counts of the other three quarters (cross-fitting), and its ridge is chosen by
+cross-validation inside that sample. The counts of all rows then score. Held-out rows are used for nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from relstream.llm.common import chunks, fold, steps, table
+from relstream.llm.common import Scratch, chunks, fold, mix, steps, table
 
-ORDER, BITS = 5, 5
-GRAMS = 1 << (ORDER * BITS)
+ORDER = 5
+#: Bits of a character in packed grams.
+BITS = 21
 #: Window lengths in characters over which log-likelihoods are compared, besides the whole text.
 WINDOWS = (8, 16, 32)
+FEATURES = 1 + 2 * len(WINDOWS)
 #: Steps of the stored log-ratios: an int8 covers +-12.7 nats.
 STEP = 0.1
-#: Rows at most, smallest hash first, on which the logistic link is fitted.
+#: Rows of a model at most that is broadcast (9 bytes each).
+MODEL_ROWS = 1 << 24
+#: Documents that share one look into a model that is not broadcast.
+TOGETHER = 256
+#: Grams that a counting task holds before it gives them out.
+HELD_GRAMS = 1 << 20
+#: Rows at most, smallest hash first, on which the logistic link is fitted, and the ridges it is chosen from.
 LINK_ROWS = 6000
+RIDGES = (0.01, 0.1, 1.0, 10.0, 100.0)
 #: Counts of a gram: toxic and ordinary, over all rows and over those outside the link's quarter.
 COUNTS = ("t", "o", "rest_t", "rest_o")
-
-
-def _symbols() -> np.ndarray:
-    cp = np.arange(1 << 16)
-    out = np.where(cp >= 128, 27 + cp % 5, 0).astype(np.uint8)
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return out
-
-
-_SYMBOLS = _symbols()
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each preceded by ORDER-1 blanks, and each text's start (one more entry: the end)."""
+    """Code points of all texts in lower case, each preceded by ORDER-1 blanks, and each text's start (one more entry: the end)."""
     pad = " " * (ORDER - 1)
     low = [pad + t.lower() if t else pad for t in texts]
-    raw = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sym = _SYMBOLS[raw & 0xFFFF]
-    return sym, np.cumsum([0, *map(len, low)])
+    return np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), np.cumsum([0, *map(len, low)])
+
+
+def grams(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 5-gram that ends at each character from the fifth on: its first three characters packed, the fourth, the fifth."""
+    n = max(0, len(cp) - ORDER + 1)
+    return cp[:n] << 2 * BITS | cp[1 : n + 1] << BITS | cp[2 : n + 2], cp[3 : n + 3], cp[4 : n + 4]
 
 
-def grams(sym: np.ndarray) -> np.ndarray:
-    """The 5-gram that ends at each symbol from the fifth on."""
-    g = np.zeros(max(0, len(sym) - ORDER + 1), np.int32)
-    for k in range(ORDER):
-        g <<= BITS
-        g |= sym[k : k + len(g)]
-    return g
+def key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """64-bit hash of a gram; with c = -1, of its context."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a) + ((b << BITS) + c + 1).astype(np.uint64) * _K)
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic, link) to (gram, toxic count, ordinary count, both again without the rows marked link), summed over the task."""
-    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for b in batches:
-        texts, cls = b.column(0).to_pylist(), [y + 2 * k for y, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    """(text, toxic, link) to (a, b, c, toxic count, ordinary count, both again without the rows marked link), summed over the task."""
+    none = np.zeros(0, np.int64)
+    held = [none] * 5  # a, b, c, class, n
+
+    def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        a, b, c, kind, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, back = np.unique(key(a, b, c) + kind.astype(np.uint64) * _K, return_index=True, return_inverse=True)
+        return [a[first], b[first], c[first], kind[first], np.bincount(back, n, len(first)).astype(np.int64)]
+
+    def give() -> Iterator[pa.RecordBatch]:
+        a, b, c, kind, n = held
+        _, first, back = np.unique(key(a, b, c), return_index=True, return_inverse=True)
+        by = [np.bincount(back, n * (kind == k), len(first)).astype(np.int64) for k in range(4)]
+        cols = [a[first], b[first], c[first], by[1] + by[3], by[0] + by[2], by[1], by[0]]
+        for i in range(0, len(first), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in cols], ["a", "b", "c", *COUNTS])
+
+    for batch in batches:
+        texts, kinds = batch.column(0).to_pylist(), [y + 2 * k for y, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         for lo, hi in chunks(texts):
-            for c in range(4):
-                own = [t for t, x in zip(texts[lo:hi], cls[lo:hi], strict=True) if x == c]
-                sym, at = encode(own)
-                inside = np.ones(len(sym), bool)  # grams that end in a text, not in the blanks before one
-                inside[(at[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
-                g, m = np.unique(grams(sym)[inside[ORDER - 1 :]], return_counts=True)
-                keys, n = np.concatenate([keys, g.astype(np.int64) << 2 | c]), np.concatenate([n, m])
-            keys, back = np.unique(keys, return_inverse=True)
-            n = np.bincount(back, n, len(keys)).astype(np.int64)
-    gram, at = np.unique(keys >> 2, return_inverse=True)
-    by = [np.bincount(at, n * (keys & 3 == c), len(gram)).astype(np.int64) for c in range(4)]
-    t, o, rest_t, rest_o = by[1] + by[3], by[0] + by[2], by[1], by[0]
-    for i in range(0, len(gram), 1 << 17):
-        s = slice(i, i + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(gram[s].astype(np.int32)), *(pa.array(x[s]) for x in (t, o, rest_t, rest_o))], ["gram", *COUNTS])
+            cp, at = encode(texts[lo:hi])
+            inside = np.ones(len(cp), bool)  # grams that end in a text, not in the blanks before one
+            inside[(at[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
+            kind = np.repeat(np.array(kinds[lo:hi], np.int64), np.diff(at))
+            own = [x[inside[ORDER - 1 :]] for x in (*grams(cp), kind[ORDER - 1 :])]
+            held = summed([held, summed([[*own, np.ones(len(own[0]), np.int64)]])])
+            if len(held[0]) > HELD_GRAMS:
+                yield from give()
+                held = [none] * 5
+    if len(held[0]):
+        yield from give()
 
 
 def count_grams(rows: DataFrame, link: Column | None = None) -> DataFrame:
     """Gram counts by class over all rows of (text, toxic 0/1): t and o, and rest_t and rest_o without the rows where ``link`` holds."""
     return (
         rows.select("text", F.col("toxic").cast("int"), (F.lit(False) if link is None else link).cast("int").alias("link"))
-        .mapInArrow(count_batches, "gram int, " + ", ".join(f"{c} long" for c in COUNTS))
-        .groupBy("gram")
+        .mapInArrow(count_batches, "a long, b long, c long, " + ", ".join(f"{c} long" for c in COUNTS))
+        .groupBy("a", "b", "c")
         .agg(*(F.sum(c).alias(c) for c in COUNTS))
     )
 
 
-def _shared(types: np.ndarray, order: int) -> np.ndarray:
-    """Kneser-Ney probability of the last symbol of every ``order``-gram from counts of distinct left extensions."""
-    if order == 0:
-        return np.full(1, 1.0 / (1 << BITS))
-    lower = _shared((types > 0).reshape(1 << BITS, -1).sum(0), order - 1) if order > 1 else _shared(types, 0)
-    by = types.reshape(-1, 1 << BITS).astype(np.float64)
-    total, kinds = by.sum(1, keepdims=True), (by > 0).sum(1, keepdims=True)
-    once, twice = (types == 1).sum(), (types == 2).sum()
-    d = once / (once + 2 * twice) if once else 0.5
-    low = np.resize(lower, types.size).reshape(by.shape)
-    p = np.where(total > 0, (np.maximum(by - d, 0) + d * kinds * low) / np.maximum(total, 1), low)
-    return p.reshape(-1)
-
-
-def ratios(gram: np.ndarray, t: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """log P(toxic) - log P(ordinary) of the last symbol of every 5-gram, as int8 steps."""
-    top, low = gram >> BITS, gram & ((1 << (ORDER - 1) * BITS) - 1)
-    contexts = 1 << (ORDER - 1) * BITS
-    p_low = np.maximum(_shared(np.bincount(low, minlength=contexts), ORDER - 1), 1e-9)
-    back, seen = [], []
-    for c in (t, o):
-        once, twice = (c == 1).sum(), (c == 2).sum()
-        d = once / (once + 2 * twice) if once else 0.5
-        total = np.bincount(top, c, contexts)
-        lam = np.where(total > 0, d * np.bincount(top[c > 0], minlength=contexts) / np.maximum(total, 1), 1.0)
-        back.append(np.log(np.maximum(lam, 1e-9)))
-        seen.append(np.log(np.maximum(c - d, 0) / np.maximum(total[top], 1) + lam[top] * p_low[low]))
-    table8 = np.repeat(np.clip(np.rint((back[0] - back[1]) / STEP), -127, 127).astype(np.int8), 1 << BITS)
-    table8[gram] = np.clip(np.rint((seen[0] - seen[1]) / STEP), -127, 127).astype(np.int8)
-    return table8
-
-
-def features(texts: list[str | None], ratio: np.ndarray) -> np.ndarray:
+def _suffix(x: Column, n: int) -> Column:
+    """The last ``n`` of the characters packed in ``x``."""
+    return x.bitwiseAND(F.lit((1 << BITS * n) - 1))
+
+
+def _levels(counts: DataFrame) -> list[DataFrame]:
+    """Types (x, c, n) of orders 4 to 1: c after the packed characters x, and its number of distinct left extensions."""
+    x = F.shiftleft(_suffix(F.col("a"), 2), BITS).bitwiseOR(F.col("b"))
+    out = [counts.groupBy(x.alias("x"), "c").agg(F.count(F.lit(1)).alias("n"))]
+    for n in (2, 1, 0):
+        out.append(out[-1].groupBy(_suffix(F.col("x"), n).alias("x"), "c").agg(F.count(F.lit(1)).alias("n")))
+    return out
+
+
+def _discounts(counts: DataFrame, levels: list[DataFrame]) -> list[float]:
+    """Absolute discounts from how many counts are one and two: of both classes' 5-grams, then of orders 4 to 1."""
+    pair = lambda c: (F.sum((F.col(c) == 1).cast("long")).alias("one"), F.sum((F.col(c) == 2).cast("long")).alias("two"))
+    every = [counts.agg(*pair("t")), counts.agg(*pair("o")), *(x.agg(*pair("n")) for x in levels)]
+    got = reduce(DataFrame.union, [e.select(F.lit(i).alias("i"), "one", "two") for i, e in enumerate(every)]).collect()
+    return [r.one / (r.one + 2 * r.two) if r.one else 0.5 for r in sorted(got, key=lambda r: r.i)]
+
+
+def shared_backoff(levels: list[DataFrame], discounts: list[float], characters: int) -> DataFrame:
+    """(x, c, p): the Kneser-Ney probability of c after the three characters x, from types pooled over both classes."""
+    low = None
+    for n, (own, d) in enumerate(zip(levels[::-1], discounts[::-1], strict=True)):
+        w = Window.partitionBy("x")
+        own = own.withColumn("total", F.sum("n").over(w)).withColumn("kinds", F.count(F.lit(1)).over(w))
+        if low is None:
+            below = F.lit(1.0 / characters)
+        else:
+            own = own.withColumn("y", _suffix(F.col("x"), n - 1)).join(low.select(F.col("x").alias("y"), "c", F.col("p").alias("below")), ["y", "c"])
+            below = F.col("below")
+        low = own.select("x", "c", ((F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * below) / F.col("total")).alias("p"))
+    return low
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """Steps of log P(toxic) - log P(ordinary), (a, b, c, step): of every 5-gram whose step is not its context's, and, with
+    c = -1, of contexts whose unseen followers have one that is not 0. ``counts``: (a, b, c, t, o).
+    """
+    levels = _levels(counts)
+    d_t, d_o, *rest = _discounts(counts, levels)
+    characters = levels[-1].count() + 1
+    low = shared_backoff(levels, rest, characters)
+    x = F.shiftleft(_suffix(F.col("a"), 2), BITS).bitwiseOR(F.col("b"))
+    w = Window.partitionBy("a", "b")
+    for c, d in (("t", d_t), ("o", d_o)):
+        counts = counts.withColumn(f"sum_{c}", F.sum(c).over(w))
+        kinds = F.sum((F.col(c) > 0).cast("long")).over(w)
+        counts = counts.withColumn(f"back_{c}", F.when(F.col(f"sum_{c}") > 0, d * kinds / F.greatest(F.col(f"sum_{c}"), F.lit(1))).otherwise(1.0))
+    joined = counts.withColumn("x", x).join(low, ["x", "c"])
+    p = lambda c, d: F.log(F.greatest(F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(F.col(f"sum_{c}"), F.lit(1)) + F.col(f"back_{c}") * F.col("p"), F.lit(1e-300)))
+    step = lambda r: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(r / STEP))).cast("byte")
+    back = step(F.log("back_t") - F.log("back_o"))
+    found = joined.select("a", "b", "c", step(p("t", d_t) - p("o", d_o)).alias("step"), back.alias("back"))
+    contexts = found.groupBy("a", "b").agg(F.first("back").alias("step")).where("step <> 0")
+    return found.where("step <> back").drop("back").unionByName(contexts.withColumn("c", F.lit(-1).cast("long")))
+
+
+class Lookup:
+    """Log-ratio steps by hashed gram: two sorted arrays."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, step: np.ndarray):
+        keys = key(a, b, c)
+        order = np.argsort(keys)
+        self.keys, self.steps = keys[order], step[order].astype(np.int8)
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Lookup:
+        return cls(*(rows.column(c).to_numpy() for c in ("a", "b", "c", "step")))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int8), np.zeros(len(keys), bool)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.steps[i], self.keys[i] == keys
+
+    def get(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Steps of grams; one that is not there has its context's, and 0 without that."""
+        keys, first, back = np.unique(key(a, b, c), return_index=True, return_inverse=True)
+        step, known = self._find(keys)
+        un = first[~known]
+        low, there = self._find(key(a[un], b[un], np.full(len(un), -1)))
+        step = step.copy()
+        step[~known] = np.where(there, low, 0)
+        return step[back]
+
+
+def features(texts: list[str | None], lookup: Lookup) -> np.ndarray:
     """Per text: mean log-ratio per character, then the largest window sums (their share that is the best window's and the next disjoint one's)."""
-    out = np.zeros((len(texts), 1 + 2 * len(WINDOWS)), np.float64)
+    out = np.zeros((len(texts), FEATURES), np.float64)
     for lo, hi in chunks(texts):
-        sym, at = encode(texts[lo:hi])
-        r = np.zeros(len(sym), np.float32)
-        r[ORDER - 1 :] = ratio[grams(sym)]
+        cp, at = encode(texts[lo:hi])
+        r = np.zeros(len(cp), np.float32)
+        r[ORDER - 1 :] = lookup.get(*grams(cp))
         start, end = at[:-1] + ORDER - 1, at[1:]
-        for x, e in zip(at[:-1], start, strict=True):
-            r[x:e] = 0
+        r[(at[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = 0
         cum = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
         out[lo:hi, 0] = (cum[end] - cum[start]) / np.maximum(end - start, 1)
         own_start = np.repeat(start, np.diff(at))
         for k, w in enumerate(WINDOWS):
-            first = np.maximum(np.arange(1, len(sym) + 1) - w, own_start)  # a window never reaches into the text before
+            first = np.maximum(np.arange(1, len(cp) + 1) - w, own_start)  # a window never reaches into the text before
             win = cum[1:] - cum[first]
-            for j, (s, e) in enumerate(zip(start, end, strict=True)):
+            for j, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
                 if s == e:
                     continue
                 own = win[s:e]
@@ -155,28 +232,78 @@ def features(texts: list[str | None], ratio: np.ndarray) -> np.ndarray:
     return out * STEP
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Newton steps of a ridge logistic regression on standardised columns: mean, scale, weights (bias first)."""
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Newton steps of a ridge logistic regression with a free bias, which comes first."""
+    z = np.hstack([np.ones((len(x), 1)), x])
     w, reg = np.zeros(z.shape[1]), ridge * np.r_[0.0, np.ones(z.shape[1] - 1)]
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(reg + 1e-6)
         w = w - np.linalg.solve(h, z.T @ (p - y) + reg * w)
-    return mean, scale, w
+    return w
+
+
+def choose_ridge(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> float:
+    """The ridge of RIDGES with the least log-loss over rows left out in turn by ``part``; parts must not follow labels."""
+    def loss(ridge: float) -> float:
+        total = 0.0
+        for p in np.unique(part):
+            rest, own = part != p, part == p
+            w = _logistic(x[rest], y[rest], ridge)
+            odds = np.clip(w[0] + x[own] @ w[1:], -30, 30)
+            total += np.logaddexp(0, np.where(y[own] == 1, -odds, odds)).sum()
+        return total
+
+    return min(RIDGES, key=loss)
 
 
 @dataclass
 class Model:
-    ratio: np.ndarray
+    """Log-ratios, broadcast as ``lookup`` or as the table ``rows``, and the link: mean and scale of the features, weights (bias first)."""
+
+    lookup: Broadcast | None
+    rows: DataFrame | None
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = (features(texts, self.ratio) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30)))
+
+def _held(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[Broadcast | None, DataFrame | None]:
+    """A model's log-ratios, broadcast if they are few enough."""
+    rows = scratch.cut(rows)
+    if rows.count() > MODEL_ROWS:
+        return None, rows
+    return spark.sparkContext.broadcast(Lookup.of(rows.toArrow())), None
+
+
+def featured(docs: DataFrame, lookup: Broadcast | None, rows: DataFrame | None, text: str, out: str) -> DataFrame:
+    """``docs`` with array column ``out``: the features of each text."""
+    if lookup is not None:
+
+        @F.arrow_udf("array<double>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for x in batches:
+                yield pa.array([f for own in steps(x) for f in features(own, lookup.value)], pa.list_(pa.float64()))
+
+        return docs.withColumn(out, run(F.col(f"`{text}`")))
+    group = "_g" + uuid.uuid4().hex[:8]
+    tagged = Scratch(docs.sparkSession, "toxicity").cut(docs.withColumn(group, F.floor(F.monotonically_increasing_id() / TOGETHER)))
+
+    def needed(own: pa.Table) -> pa.Table:
+        a, b, c = grams(encode(own.column(text).to_pylist())[0])
+        _, first = np.unique(key(a, b, c), return_index=True)
+        _, context = np.unique(key(a, b, c * 0 - 1), return_index=True)
+        cols = np.r_[a[first], a[context]], np.r_[b[first], b[context]], np.r_[c[first], np.full(len(context), -1)]
+        g = own.column(group)[0].as_py()
+        return pa.table([pa.array(np.full(len(cols[0]), g)), *map(pa.array, cols)], [group, "a", "b", "c"])
+
+    def joined(own: pa.Table, part: pa.Table) -> pa.Table:
+        x = features(own.column(text).to_pylist(), Lookup.of(part))
+        return own.drop_columns([group]).append_column(out, pa.array(list(x), pa.list_(pa.float64())))
+
+    part = tagged.select(group, text).groupBy(group).applyInArrow(needed, f"{group} long, a long, b long, c long").join(rows, ["a", "b", "c"])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return tagged.groupBy(group).cogroup(part.groupBy(group)).applyInArrow(joined, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -184,50 +311,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     a hashed quarter, seen through the counts of the other three.
 
     Counting joins texts to labels by a merge join at any size: neither side has a bound. The link's rows are picked
-    from the labels and broadcast. Rows whose label is null are left out. With rows of one class only, every score is
-    0 or 1. Scores never see ids.
+    from the labels and broadcast. Rows whose label is null are left out, null and empty texts hold no gram; repeated ids
+    give all their pairs of text and label. With rows of one class only, or none, every score is 0 or 1. Scores never
+    see ids.
     """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
     known = labels.where(fold() != 1).where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("toxic"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0
+    mark = F.xxhash64("doc_id", F.lit(9))
+    part = F.pmod(mark, F.lit(4)) == 0
     texts = docs.where(fold() != 1).select("doc_id", "text")
-    got = count_grams(texts.join(known.hint("merge"), "doc_id"), part).toArrow()
-    gram = got.column("gram").to_numpy()
-    order = np.argsort(gram)
-    gram = gram[order].astype(np.int64)
-    t, o, rest_t, rest_o = (got.column(c).to_numpy()[order].astype(np.float64) for c in COUNTS)
-    seen = rest_t + rest_o > 0
-    shared = docs.sparkSession.sparkContext.broadcast(ratios(gram[seen], rest_t[seen], rest_o[seen]))
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = features(b.column(0).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
-
-    pick = known.where(part).withColumn("h", F.xxhash64("doc_id", F.lit(9))).orderBy("h", "doc_id", "toxic").limit(LINK_ROWS)
-    sample = texts.join(F.broadcast(pick), "doc_id").select("text", "toxic")
-    fit = sample.mapInArrow(link, "y int, x array<double>").toArrow().to_pydict()
-    shared.unpersist()
-    ratio = ratios(gram, t, o)
-    y, x = np.array(fit["y"], np.float64), np.array(fit["x"], np.float64).reshape(len(fit["y"]), 1 + 2 * len(WINDOWS))
+    counts = scratch.cut(count_grams(texts.join(known.hint("merge"), "doc_id"), part))
+    lookup, rows = _held(spark, log_ratios(counts.where("rest_t + rest_o > 0").select("a", "b", "c", F.col("rest_t").alias("t"), F.col("rest_o").alias("o"))), scratch)
+    pick = known.where(part).withColumn("h", mark).orderBy("h", "doc_id", "toxic").limit(LINK_ROWS)
+    sample = texts.join(F.broadcast(pick), "doc_id").select("h", "toxic", "text")
+    fit = featured(sample, lookup, rows, "text", "x").select("h", "toxic", "x").toArrow()
+    if lookup is not None:
+        lookup.destroy()
+    held = _held(spark, log_ratios(counts.select("a", "b", "c", "t", "o")), scratch)
+    if held[0] is not None:
+        scratch.clear()
+    y, h = fit.column("toxic").to_numpy().astype(np.float64), fit.column("h").to_numpy()
+    x = np.array(fit.column("x").to_pylist(), np.float64).reshape(len(y), FEATURES)
+    order = np.lexsort((*x.T, y, h))  # sums do not depend on the order in which rows came
+    x, y, h = x[order], y[order], h[order]
     if len(y) == 0 or y.min() == y.max():
         rate = float(y[0]) if len(y) else 0.0
-        return Model(ratio, np.zeros(x.shape[1]), np.ones(x.shape[1]), np.r_[30.0 if rate else -30.0, np.zeros(x.shape[1])])
-    return Model(ratio, *_logistic(x, y))
+        return Model(*held, np.zeros(FEATURES), np.ones(FEATURES), np.r_[30.0 if rate else -30.0, np.zeros(FEATURES)])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = (x - mean) / scale
+    return Model(*held, mean, scale, _logistic(z, y, choose_ridge(z, y, mix(h.view(np.uint64)) % np.uint64(5))))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with column ``out``: toxicity from 0 to 1. Null and empty texts get the score of a text without evidence.
 
-    The model is 32 MiB plus a few numbers and is broadcast; no rows move. A column already named ``out`` is replaced.
+    Texts are read whole; equal texts get equal scores, alone or beside others; an empty table stays empty. No rows move
+    unless the model is too large to be broadcast. A column already named ``out`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(np.concatenate([shared.value.scores(own) for own in steps(texts)]), pa.float64())
-
-    return docs.withColumn(out, toxic(F.col(text)))
+    name = "_x" + uuid.uuid4().hex[:8]
+    w = model.weights[1:] / model.scale
+    bias = float(model.weights[0] - (w * model.mean).sum())
+    odds = reduce(Column.__add__, [F.get(F.col(name), i) * float(v) for i, v in enumerate(w)], F.lit(bias))
+    done = featured(docs, model.lookup, model.rows, text, name)
+    return done.withColumn(out, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))).drop(name)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

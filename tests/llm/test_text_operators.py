@@ -362,12 +362,39 @@ def test_classifiers_odd_inputs(spark, odd, none):
     assert quality.score(odd, np.zeros(quality.DIMS + 1, np.float32)).columns == odd.columns
 
 
-def test_ftrl_separates_and_kneser_ney_sums_to_one():
+def test_ftrl_separates():
     w = quality.ftrl((t, y) for _ in range(40) for t, y in (("good plain text here", 1), ("BAD!!! JUNK!!! TEXT!!!", 0)))
     assert quality.dot(["good text"], w)[0] > 0 > quality.dot(["JUNK!!! BAD!!!"], w)[0]
-    types = np.zeros(1 << 10, np.int64)
-    types[[1, 5, 40, 41, 1000]] = [1, 2, 3, 1, 1]
-    assert np.allclose(toxicity._shared(types, 2).reshape(-1, 32).sum(1), 1)
+
+
+def plain_ftrl(examples):
+    """FTRL-proximal one feature at a time."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == quality.DIMS else quality.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for text, y in examples:
+        rows = quality.hashed([text])[0][1:].tolist()
+        x = {i: c / max(1, len(rows)) for i, c in Counter(i for r in rows for i in r).items()} | {quality.DIMS: 1.0}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+        for i in x:
+            g = (p - y) * x[i]
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+            n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_plain_form():
+    rng = np.random.default_rng(9)
+    rows = [(" ".join(rng.choice(["aa", "Bb", "c1", "!!", "dd"], int(rng.integers(0, 9)))), int(rng.integers(0, 2))) for _ in range(60)] + [(None, 1), ("", 0)]
+    got, want = quality.ftrl(rows), plain_ftrl(rows)
+    assert np.allclose(got[list(want)], list(want.values()), atol=1e-6) and np.count_nonzero(got) == sum(w != 0 for w in want.values())
+    for t, _ in rows[:20]:
+        idx = quality.hashed([t])[0][1:].tolist()
+        assert quality.dot([t], got)[0] == pytest.approx(want[quality.DIMS] + sum(want.get(i, 0.0) for r in idx for i in r) / max(1, len(idx)), abs=1e-5)
 
 
 def test_shapes_are_of_whole_tokens():
@@ -375,15 +402,62 @@ def test_shapes_are_of_whole_tokens():
     assert shapes[0] == shapes[1] != shapes[2] == shapes[3]
 
 
-def test_gram_counts_equal_brute_force(spark):
-    rows = [("Abc é!", 1), ("abc", 0), (None, 0), ("", 1)]
-    got = {r.gram: (r.t, r.o) for r in toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic int")).collect()}
-    want = Counter()
-    for t, c in rows:
-        sym = [toxicity._SYMBOLS[ord(x)] for x in " " * 4 + (t or "").lower()]
-        for i in range(len(sym) - 4):
-            want[sum(int(s) << 5 * (4 - k) for k, s in enumerate(sym[i : i + 5])), c] += 1
-    assert got == {g: (want[g, 1], want[g, 0]) for g, _ in want}
+def brute_grams(texts):
+    return Counter(p[i : i + 5] for t in texts for p in [" " * 4 + (t or "").lower()] for i in range(len(p) - 4))
+
+
+def unpacked(r):
+    mask = (1 << toxicity.BITS) - 1
+    return "".join(map(chr, (r.a >> 2 * toxicity.BITS, r.a >> toxicity.BITS & mask, r.a & mask, r.b, r.c)))
+
+
+GRAM_ROWS = [("Abc é!", 1), ("abc", 0), (None, 0), ("", 1), ("ладно 4u 😀😀", 1), ("ладно 4y", 0), ("中文字符集", 0), ("a" * 40, 0)]
+
+
+def test_gram_counts_equal_brute_force(spark, monkeypatch):
+    """Characters of every script are counted as they are, whether or not a task gives its counts out in between."""
+    want = [brute_grams(t for t, c in GRAM_ROWS if c == k) for k in (1, 0)]
+    for held in (toxicity.HELD_GRAMS, 3):
+        monkeypatch.setattr(toxicity, "HELD_GRAMS", held)
+        got = {unpacked(r): (r.t, r.o) for r in toxicity.count_grams(spark.createDataFrame(GRAM_ROWS, "text string, toxic int")).collect()}
+        assert got == {g: (want[0][g], want[1][g]) for g in want[0] | want[1]}
+
+
+def brute_ratios(t, o):
+    """Kneser-Ney by the book over plain strings: log-ratio of the last character of a 5-gram, seen or not."""
+    types = {4: Counter(g[1:] for g in t | o)}
+    for n in (3, 2, 1):
+        types[n] = Counter(g[1:] for g in types[n + 1])
+    discount = lambda c: (lambda one, two: one / (one + 2 * two) if one else 0.5)(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values()))
+
+    def low(g):
+        if not g:
+            return 1 / (len(types[1]) + 1)
+        own = {x: v for x, v in types[len(g)].items() if x[:-1] == g[:-1]}
+        if not own:
+            return low(g[1:])
+        d = discount(types[len(g)])
+        return (max(types[len(g)][g] - d, 0) + d * len(own) * low(g[1:])) / sum(own.values())
+
+    def top(c, g):
+        own = [v for x, v in c.items() if x[:-1] == g[:-1]]
+        d = discount(c)
+        return (max(c[g] - d, 0) + d * len(own) * low(g[1:])) / sum(own) if own else low(g[1:])
+
+    assert sum(low("аб"[:0] + x) for x in {g[-1] for g in types[1]} | {"\0"}) == pytest.approx(1)
+    return lambda g: math.log(top(t, g) / top(o, g))
+
+
+def test_kneser_ney_equals_plain_form(spark):
+    t, o = (brute_grams(x for x, c in GRAM_ROWS if c == k) for k in (1, 0))
+    plain = brute_ratios(t, o)
+    counts = toxicity.count_grams(spark.createDataFrame(GRAM_ROWS, "text string, toxic int")).select("a", "b", "c", "t", "o")
+    lookup = toxicity.Lookup.of(toxicity.log_ratios(counts).toArrow())
+    for text in ("abc é!", "abd", "ладно 4z", "new words", "aaaaaaab", "中文字"):
+        cp, _ = toxicity.encode([text])
+        got = lookup.get(*toxicity.grams(cp)) * toxicity.STEP
+        padded = " " * 4 + text
+        assert got.tolist() == pytest.approx([plain(padded[i : i + 5]) for i in range(len(text))], abs=toxicity.STEP * 0.51), text
 
 
 def test_toxicity_counts_every_training_row(spark, monkeypatch):
@@ -391,22 +465,59 @@ def test_toxicity_counts_every_training_row(spark, monkeypatch):
     docs = ids.select("doc_id", F.when(F.col("part"), "zqxjk").otherwise("plain words").alias("text"))
     labels = ids.select("doc_id", F.col("part").cast("int").alias("toxic"))
     met = []
-    own = toxicity.ratios
-    monkeypatch.setattr(toxicity, "ratios", lambda g, t, o: met.append((set(g.tolist()), t.sum())) or own(g, t, o))
+    own = toxicity.log_ratios
+    monkeypatch.setattr(toxicity, "log_ratios", lambda c: met.append({unpacked(r): r.t for r in c.collect()}) or own(c))
     model = toxicity.train(docs, labels)
-    sym, _ = toxicity.encode(["zqxjk"])
-    (rest, none), (every, toxic) = met
-    word = int(toxicity.grams(sym)[-1])
-    assert word not in rest and none == 0 and word in every and toxic == 5 * ids.where("part").count()
-    assert model.ratio[word] > 0
+    rest, every = met
+    assert "zqxjk" not in rest and not any(rest.values()) and sum(every.values()) == 5 * ids.where("part").count()
+    assert model.lookup.value.get(*(x[-1:] for x in toxicity.grams(toxicity.encode(["zqxjk"])[0])))[0] > 0
+
+
+def test_toxicity_never_sees_held_out_labels(spark):
+    ids = spark.range(600).select(F.col("id").alias("doc_id"), (common.fold("id") == 1).alias("out"), (F.col("id") % 5 == 0).alias("bad"))
+    docs = ids.select("doc_id", F.when(F.col("bad"), F.concat(F.lit("such a nasty word "), "doc_id")).otherwise(F.concat(F.lit("such a fine word "), "doc_id")).alias("text"))
+    labels = ids.select("doc_id", F.col("bad").cast("int").alias("toxic"))
+    turned = ids.select("doc_id", F.when(F.col("out"), ~F.col("bad")).otherwise(F.col("bad")).cast("int").alias("toxic"))
+    models = [toxicity.train(docs, x) for x in (labels, turned)]
+    assert np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].lookup.value.steps, models[1].lookup.value.steps)
+    done = toxicity.score(docs, models[0]).join(ids, "doc_id").where("out")
+    assert done.where((F.col("score") >= 0.7) != F.col("bad")).count() == 0
+
+
+def test_toxicity_models_of_any_size(spark, odd, monkeypatch):
+    """A model that is too large to be broadcast is joined: same scores, same columns."""
+    docs = spark.createDataFrame([(i, t, 0) for i, (t, _) in enumerate(GRAM_ROWS * 5)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, c) for i, (_, c) in enumerate(GRAM_ROWS * 5)], "doc_id long, toxic int")
+    got = []
+    for rows in (toxicity.MODEL_ROWS, 0):
+        monkeypatch.setattr(toxicity, "MODEL_ROWS", rows)
+        monkeypatch.setattr(toxicity, "TOGETHER", 4)
+        model = toxicity.train(docs, labels)
+        assert (model.rows is None) == (rows > 0)
+        for df in (docs, odd):
+            done = toxicity.score(df, model)
+            assert done.columns == (df.columns if "score" in df.columns else [*df.columns, "score"])
+            got.append(sorted((repr(r.doc_id), r.text or "", round(r.score, 9)) for r in done.collect()))
+    assert got[:2] == got[2:]
+
+
+def test_ridge_is_chosen_by_rows_left_out():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 7))
+    clear, noise = (x[:, 0] > 0).astype(float), rng.integers(0, 2, 400).astype(float)
+    part = np.arange(400) % 5
+    assert toxicity.choose_ridge(x, clear, part) < toxicity.choose_ridge(x, noise, part)
 
 
 def test_toxicity_windows_end_at_text_borders():
-    ratio = np.random.default_rng(4).integers(-100, 127, toxicity.GRAMS).astype(np.int8)
     texts = ["clean", "", "words that are long enough for every window of the three", None, "a", "toxic end"]
-    alone = np.vstack([toxicity.features([t], ratio) for t in texts])
-    assert np.array_equal(toxicity.features(texts, ratio), alone)
-    full = np.full(toxicity.GRAMS, 127, np.int8)
+    rng = np.random.default_rng(4)
+    own = toxicity.grams(toxicity.encode(texts)[0])
+    lookup = toxicity.Lookup(*own, rng.integers(-100, 127, len(own[0])).astype(np.int8))
+    alone = np.vstack([toxicity.features([t], lookup) for t in texts])
+    assert np.array_equal(toxicity.features(texts, lookup), alone)
+    two = toxicity.grams(toxicity.encode(["very toxic phrase at the end", "ok"])[0])
+    full = toxicity.Lookup(*two, np.full(len(two[0]), 127, np.int8))
     assert np.array_equal(toxicity.features(["very toxic phrase at the end", "ok"], full)[1], toxicity.features(["ok"], full)[0])
 
 
@@ -496,6 +607,35 @@ def test_chat_reads_back(messages):
     assert chat.unescape(chat.escape(said)) == said and not re.search(r"(?<!\\)(\\\\)*(\[/?INST\]|</s>)", chat.escape(said))
 
 
+def test_windows_of_turns_equal_whole_prefixes(spark):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 15, 16, 17, 18, 100):
+        messages = [(str(rng.choice(["user", "assistant", "sys\n"[:3]])), "a[<\\" * int(rng.integers(0, 5)) + ("x" * chat.WINDOW_CHARS if n == 100 and i % 30 == 9 else "")) for i in range(n)]
+        own, digest, out = chat.Incremental(chat.instruct), chat.Digest(), []
+        for role, text in messages:
+            piece, changed = own.add(role, text)
+            digest.add(piece, changed)
+            out.append(piece)
+        want = chat.formatted_row(messages)
+        assert "".join(out) == want["formatted"] and [x for i, p in enumerate(out) for x in (sum(map(len, out[:i])), sum(map(len, out[: i + 1])))] == want["spans"]
+        assert digest.row() == [want[c] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewritten")]
+        if n:
+            df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(messages)], "conv_id long, turn long, role string, text string")
+            got = chat.formatted_turns(df).orderBy("place").collect()
+            assert "".join(r.formatted for r in got) == want["formatted"] and [x for r in got for x in (r.start, r.end)] == want["spans"] and [x for r in got for x in r.loss] == want["loss"]
+    began = time.time()
+    own = chat.Incremental(chat.instruct)
+    for i in range(50_000):
+        own.add("user", "word " * 10)
+    assert time.time() - began < 30
+
+
+def test_windows_find_rewrites():
+    last_only = lambda m: "".join(f"<{t}>" for _, t in m[:-1]) + (f"<<{m[-1][1]}>>" if m else "")
+    own = chat.Incremental(last_only)
+    assert [own.add("user", str(i))[1] for i in range(40)] == [False] + [True] * 39
+
+
 def test_templates_that_rewrite_are_found():
     last_only = lambda m: "".join(f"<{t}>" for _, t in m[:-1]) + (f"<<{m[-1][1]}>>" if m else "")
     got = chat.render(last_only, [("user", "a"), ("user", "b"), ("user", "c")])
