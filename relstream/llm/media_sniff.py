@@ -3,6 +3,9 @@
 One Aho-Corasick automaton over the magic bytes of all formats finds every place where media may start; a validator
 per format walks its structure there and gives the length, or rejects it. The media at the start of a value tells its
 true type, whatever was declared; media that start later, outside what is already carved, are embedded ones.
+
+Validators share what they learn about a value: ends that are searched for are found once, and a place from which a walk
+failed is not walked again, so many magics in one value do not multiply the work.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,109 +32,171 @@ class Found(NamedTuple):
     length: int
 
 
-def _png(b: bytes, at: int) -> int:
-    i, first = at + 8, True
-    while i + 12 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, i)
-        if i + 12 + n > len(b) or first and kind != b"IHDR" or zlib.crc32(b[i + 4 : i + 8 + n]) != struct.unpack_from(">I", b, i + 8 + n)[0]:
-            return 0
-        i, first = i + 12 + n, False
-        if kind == b"IEND":
-            return i - at
-    return 0
+class Value:
+    """The bytes of one value, with what validators have learned about them."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._places: dict[bytes, list[int]] = {}
+        self._dead: dict[str, set] = {}
+
+    def find(self, what: bytes, at: int) -> int:
+        """``data.find``: all places are looked up in one pass, the next one by bisection."""
+        if what not in self._places:
+            own, i = [], self.data.find(what)
+            while i >= 0:
+                own.append(i)
+                i = self.data.find(what, i + 1)
+            self._places[what] = own
+        own = self._places[what]
+        k = bisect_left(own, at)
+        return own[k] if k < len(own) else -1
+
+    def walk(self, name: str, at, step) -> int:
+        """The end of a structure that is walked from state ``at``: ``step`` gives (next state, end); -1 if neither or if
+        the walk comes to a state from which one failed before.
+        """
+        dead, met = self._dead.setdefault(name, set()), []
+        while at is not None and at not in dead:
+            met.append(at)
+            at, end = step(self.data, at)
+            if end is not None:
+                return end
+        dead.update(met)
+        return -1
+
+
+def _png_step(b: bytes, i: int) -> tuple[int | None, int | None]:
+    if i + 12 > len(b):
+        return None, None
+    n, kind = struct.unpack_from(">I4s", b, i)
+    if i + 12 + n > len(b) or zlib.crc32(memoryview(b)[i + 4 : i + 8 + n]) != struct.unpack_from(">I", b, i + 8 + n)[0]:
+        return None, None
+    return (None, i + 12 + n) if kind == b"IEND" else (i + 12 + n, None)
+
+
+def _png(v: Value, at: int) -> int:
+    return v.walk("png", at + 8, _png_step) - at if v.data[at + 12 : at + 16] == b"IHDR" else 0
+
+
+def _gif_step(b: bytes, at: tuple[int, bool]) -> tuple[tuple[int, bool] | None, int | None]:
+    """From a block, or from a sub-block in one."""
+    i, inside = at
+    if i >= len(b):
+        return None, None
+    mark = b[i]
+    if inside:
+        return (i + 1 + mark, mark > 0), None
+    if mark == 0x3B:
+        return None, i + 1
+    if mark == 0x2C and i + 10 <= len(b):
+        return (i + 10 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 128 else 0) + 1, True), None
+    return ((i + 2, True) if mark == 0x21 else None), None
+
+
+def _gif(v: Value, at: int) -> int:
+    if at + 13 > len(v.data):
+        return 0
+    flags = v.data[at + 10]
+    return v.walk("gif", (at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0), False), _gif_step) - at
 
 
-def _gif(b: bytes, at: int) -> int:
-    if at + 13 > len(b):
-        return 0
-    flags = b[at + 10]
-    i = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
-    while i < len(b):
-        mark = b[i]
-        if mark == 0x3B:
-            return i + 1 - at
-        if mark == 0x2C and i + 10 <= len(b):
-            i += 10 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 128 else 0) + 1
-        elif mark == 0x21:
-            i += 2
-        else:
-            return 0
-        while i < len(b) and b[i]:
-            i += b[i] + 1
-        i += 1
-    return 0
-
-
-def _jpeg(b: bytes, at: int) -> int:
-    i = at + 2
-    while i + 4 <= len(b) and b[i] == 0xFF:
-        mark = b[i + 1]
+def _jpeg(v: Value, at: int) -> int:
+    def step(b: bytes, i: int) -> tuple[int | None, int | None]:
+        if i + 4 > len(b) or b[i] != 0xFF:
+            return None, None
         n = struct.unpack_from(">H", b, i + 2)[0]
         if n < 2:
-            return 0
-        i += 2 + n
-        if mark == 0xDA:
-            end = b.find(b"\xff\xd9", i)
-            return end + 2 - at if end >= 0 else 0
-    return 0
+            return None, None
+        if b[i + 1] != 0xDA:
+            return i + 2 + n, None
+        end = v.find(b"\xff\xd9", i + 2 + n)
+        return None, end + 2 if end >= 0 else None
 
+    return v.walk("jpeg", at + 2, step) - at
 
-def _riff(b: bytes, at: int) -> int:
+
+def _riff(v: Value, at: int) -> int:
+    b = v.data
     if at + 12 > len(b) or b[at + 8 : at + 12] not in (b"WAVE", b"WEBP"):
         return 0
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    i = at + 12
-    if end > len(b) or end < i:
+    if end > len(b) or end < at + 12:
         return 0
-    while i + 8 <= end:
-        i += 8 + (n := struct.unpack_from("<I", b, i + 4)[0]) + n % 2
-    return end - at if i in (end, end + 1) else 0
 
+    def step(b: bytes, i: int) -> tuple[int | None, int | None]:
+        if i + 8 > end:
+            return None, end if i in (end, end + 1) else None
+        n = struct.unpack_from("<I", b, i + 4)[0]
+        return i + 8 + n + n % 2, None
+
+    return v.walk(f"riff{end}", at + 12, step) - at
 
-def _bmp(b: bytes, at: int) -> int:
-    if at + 26 > len(b):
+
+def _bmp(v: Value, at: int) -> int:
+    if at + 26 > len(v.data):
         return 0
-    size, _, pixels, head = struct.unpack_from("<IIII", b, at + 2)
-    return size if head in (12, 40, 52, 56, 108, 124) and 14 + head <= pixels <= size <= len(b) - at else 0
+    size, _, pixels, head = struct.unpack_from("<IIII", v.data, at + 2)
+    return size if head in (12, 40, 52, 56, 108, 124) and 14 + head <= pixels <= size <= len(v.data) - at else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    table_at = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", table_at) if table_at >= 0 else -1
+def _pdf(v: Value, at: int) -> int:
+    table_at = v.find(b"startxref", at)
+    end = v.find(b"%%EOF", table_at) if table_at >= 0 else -1
     return end + 5 - at if end >= 0 else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if at + offset + size == end and end + 22 + note <= len(b) else 0
-
-
-def _gzip(b: bytes, at: int) -> int:
-    d = zlib.decompressobj(31)
-    try:
-        i = at
-        while not d.eof and i < len(b):
-            d.decompress(b[i : i + 65536])
-            i += 65536
-    except zlib.error:
+def _zip(v: Value, at: int) -> int:
+    end = v.find(b"PK\x05\x06", at)
+    if end < 0 or end + 22 > len(v.data):
         return 0
-    return min(i, len(b)) - len(d.unused_data) - at if d.eof else 0
+    size, offset, note = struct.unpack_from("<IIH", v.data, end + 12)
+    return end + 22 + note - at if at + offset + size == end and end + 22 + note <= len(v.data) else 0
 
 
-def _ogg(b: bytes, at: int) -> int:
-    i = at
-    while b[i : i + 4] == b"OggS" and i + 27 <= len(b) and b[i + 4] == 0:
-        n = b[i + 26]
-        end = i + 27 + n + sum(b[i + 27 : i + 27 + n])
-        if i + 27 + n > len(b) or end > len(b):
-            return 0
-        last, i = b[i + 5] & 4, end
-        if last:
-            return i - at
-    return 0
+def _gzip(v: Value, at: int) -> int:
+    b = v.data
+    flags, i = (b[at + 3] if at + 10 <= len(b) else 0xFF), at + 10
+    if flags & 0xE0:
+        return 0
+    if flags & 4:
+        i += 2 + int.from_bytes(b[i : i + 2], "little")
+    for bit in (8, 16):  # name and comment end with a zero
+        if flags & bit:
+            i = v.find(b"\0", i) + 1
+            if not i:
+                return 0
+
+    def step(b: bytes, i: int) -> tuple[None, int | None]:
+        d = zlib.decompressobj(-15)
+        crc = size = 0
+        try:
+            while not d.eof and i < len(b):
+                got = d.decompress(d.unconsumed_tail or b[i : i + 65536], 1 << 20)
+                crc, size = zlib.crc32(got, crc), size + len(got)
+                if not d.unconsumed_tail:
+                    i = min(i + 65536, len(b))
+        except zlib.error:
+            return None, None
+        end = i - len(d.unused_data)
+        whole = d.eof and b[end : end + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF)
+        return None, end + 8 if whole else None
+
+    return v.walk("gzip", i + (2 if flags & 2 else 0), step) - at
+
+
+def _ogg_step(b: bytes, i: int) -> tuple[int | None, int | None]:
+    if b[i : i + 4] != b"OggS" or i + 27 > len(b) or b[i + 4] != 0:
+        return None, None
+    n = b[i + 26]
+    end = i + 27 + n + sum(b[i + 27 : i + 27 + n])
+    if i + 27 + n > len(b) or end > len(b):
+        return None, None
+    return (None, end) if b[i + 5] & 4 else (end, None)
+
+
+def _ogg(v: Value, at: int) -> int:
+    return v.walk("ogg", at, _ogg_step) - at
 
 
 #: Magic bytes, media type, validator.
@@ -162,11 +228,11 @@ _MAGIC = _automaton()
 def sniff(data: bytes) -> list[Found]:
     """All confirmed media in the bytes, by place; what lies inside another one found is left to a look into that one."""
     out: list[Found] = []
-    free = 0
+    value, free = Value(data), 0
     for end, k in _MAGIC.iter(data.decode("latin-1")):
         magic, kind, validate = FORMATS[k]
         at = end + 1 - len(magic)
-        if at >= free and (n := validate(data, at)):
+        if at >= free and (n := validate(value, at)) > 0:
             if kind == "riff":
                 kind = {b"WAVE": "audio/wav", b"WEBP": "image/webp"}[data[at + 8 : at + 12]]
             out.append(Found(kind, at, n))
@@ -203,27 +269,48 @@ def samples(media: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-def _row(text: str | None) -> dict:
+#: Types that stored values are declared to be, in turn by the checksum of the text: of a WAV file one is right.
+DECLARED = ("audio/wav", "image/png", "text/plain", "application/octet-stream")
+
+
+def stored(text: str | None) -> tuple[bytes, str, bytes]:
+    """A text's value in a media column: the payload as a WAV file, its declared type, and a bundle that has it embedded."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     media = wav(raw + b"\0" * (max(64, -len(raw) % 64 + len(raw)) - len(raw)))
-    found = sniff(media)
-    own = found[0]
-    payload = samples(media[own.start : own.start + own.length])
+    declared = DECLARED[zlib.crc32(raw) % len(DECLARED)]
+    return media, declared, b"type: " + declared.encode() + b"\n\n" + media + b"\n--\n"
+
+
+def _row(text: str | None) -> dict:
+    """Store, correct the declared type, carve the media out of the bundle and read all values from what was carved."""
+    media, declared, bundle = stored(text)
+    kind, found = true_type(media, declared), carve(bundle)
+    payload = samples(found[0])
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
     inner = sniff(payload)
     crossings = int(np.count_nonzero(np.diff(x >= 128)))
-    feature = f"{own.kind};samples={len(x)};sum={x.sum()};squares={(x * x).sum()};crossings={crossings};embedded=" + ",".join(f"{f.kind}@{f.start}+{f.length}" for f in inner)
+    feature = f"{kind};samples={len(x)};sum={x.sum()};squares={(x * x).sum()};crossings={crossings};embedded=" + ",".join(f"{f.kind}@{f.start}+{f.length}" for f in inner)
     return {
-        "n_bytes": len(raw), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
-        "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature,
+        "n_bytes": len((text or "").encode("utf-8", "surrogatepass")), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
+        "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(found[0]), "media_sha256": hashlib.sha256(found[0]).hexdigest(), "feature": feature,
+        "declared": declared, "true_type": kind, "n_carved": len(found), "embedded_bytes": sum(f.length for f in inner),
     }
 
 
+_KINDS = {
+    "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string",
+    "feature": "string", "declared": "string", "true_type": "string", "n_carved": "bigint", "embedded_bytes": "bigint",
+}
+
+
 def media_column(text: Column) -> Column:
-    """Struct of the contract's values for a text: stored as WAV, found again by its signature, read back. Null is empty."""
-    kind = pa.struct([(c, pa.int64() if c in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes") else pa.string()) for c in _row(None)])
+    """Struct of the contract's values for a text: stored as WAV under a declared type that may be wrong and in a bundle,
+    the type corrected and the media carved by signature, read back. Null is empty; a text of any length is stored whole;
+    equal texts give equal values.
+    """
+    kind = pa.struct([(c, pa.int64() if t == "bigint" else pa.string()) for c, t in _KINDS.items()])
 
-    @F.arrow_udf("n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    @F.arrow_udf(", ".join(f"{c} {t}" for c, t in _KINDS.items()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             yield pa.array([_row(t) for own in steps(x) for t in own], kind)

@@ -323,6 +323,36 @@ def test_sniffing_confirms_lengths_and_carves():
     assert media_sniff.sniff(b"GIF89a BM %PDF- PK\x03\x04 RIFF OggS") == []
 
 
+def test_sniffing_is_linear_in_magics():
+    import gzip
+
+    began = time.time()
+    n = 100_000
+    chunk = struct.pack(">I", 0) + b"abcd" + struct.pack(">I", zlib.crc32(b"abcd"))
+    page = b"OggS\0\0" + b"\0" * 20 + b"\0"
+    many = (
+        b"%PDF-startxref " * n, b"PK\x03\x04" * n, b"%PDF-" * n, page * n, b"\xff\xd8\xff\xe0\x00\x02" * n, b"GIF89a" + b"\0" * 7 + b"!\xf9\0" * n,
+        (b"GIF89a" + b"\0" * 7) * n, b"\x1f\x8b\x08" * n, b"RIFF\x08\0\0\0WAVE" * n, b"\xff\xd8\xff\xda\x00\x02" * n, b"\x89PNG\r\n\x1a\n" + chunk * n,
+    )
+    for data in many:
+        media_sniff.sniff(data)
+    assert time.time() - began < 30
+    assert [f.start for f in media_sniff.sniff(page * 5 + b"x" + gzip.compress(b"a") + GIF + b"%PDF-startxref %%EOF")][0] == 27 * 5 + 1
+
+
+def test_media_features_equal_plain_form():
+    for text in (None, "", "plain", "é" * 100 + "x", "a\0b" * 50, "RIFF GIF89a"):
+        row = media_sniff._row(text)
+        raw = (text or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        signs = [c >= 128 for c in payload]
+        crossings = sum(a != b for a, b in itertools.pairwise(signs))
+        assert row["feature"] == f"audio/wav;samples={len(payload)};sum={sum(payload)};squares={sum(c * c for c in payload)};crossings={crossings};embedded="
+        assert row["true_type"] == "audio/wav" and row["n_carved"] == 1 and row["embedded_bytes"] == 0 and row["declared"] in media_sniff.DECLARED
+    inside = media_sniff._row("%PDF-1 startxref %%EOF tail")
+    assert inside["feature"].endswith("embedded=application/pdf@0+22") and inside["embedded_bytes"] == 22
+
+
 def test_media_contract(spark, odd, none):
     got = odd.select("text", media_sniff.media_column(F.col("text")).alias("m")).collect()
     for r in got:
