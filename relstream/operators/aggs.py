@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relstream.schema import fresh
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -35,8 +37,8 @@ def count_rows() -> Column:
 
 
 def sum0(c: Column | str) -> Column:
-    """Sum as a long, nulls skipped, 0 for nothing."""
-    return F.coalesce(F.sum(_col(c).cast("long")), F.lit(0).cast("long"))
+    """Sum as a long, nulls skipped, 0 for nothing. Fractions are added up as they are; the sum is cut to a whole number."""
+    return F.coalesce(F.sum(_col(c)).cast("long"), F.lit(0).cast("long"))
 
 
 def sum0_double(c: Column | str) -> Column:
@@ -61,6 +63,6 @@ def top_n(df: DataFrame, n: int, order: Sequence[Column], partition: Sequence[st
     """
     if not partition and rank is None:
         return df.orderBy(*order).limit(n)
-    name = rank or "_rank"
+    name = rank or fresh("rank")
     done = df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).filter(F.col(name) <= n)
     return done.withColumn(name, F.col(name).cast("long")) if rank else done.drop(name)

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relstream.schema import check_columns, check_unique
+from relstream.schema import check_columns, check_unique, fresh
 
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str, rename: dict[str, str] | None, null_safe: bool, extra: str | None) -> DataFrame:
@@ -29,22 +29,27 @@ def inner(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], rena
 
 
 def left(left_side: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], rename: dict[str, str] | None = None, null_safe: bool = True, extra: str | None = None) -> DataFrame:
+    """All left rows; right columns are null where nothing matches. Names and null keys as in ``inner``."""
     return _join(left_side, right, on, "left", rename, null_safe, extra)
 
 
 def right(left_side: DataFrame, right_side: DataFrame, on: Sequence[tuple[str, str]], rename: dict[str, str] | None = None, null_safe: bool = True, extra: str | None = None) -> DataFrame:
+    """All right rows; left columns are null where nothing matches."""
     return _join(left_side, right_side, on, "right", rename, null_safe, extra)
 
 
 def full(left_side: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], rename: dict[str, str] | None = None, null_safe: bool = True, extra: str | None = None) -> DataFrame:
+    """All rows of both sides, nulls where nothing matches."""
     return _join(left_side, right, on, "full", rename, null_safe, extra)
 
 
 def semi(left_side: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], null_safe: bool = True) -> DataFrame:
+    """Left rows that have a match, each once."""
     return _join(left_side, right, on, "left_semi", None, null_safe, None)
 
 
 def anti(left_side: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], null_safe: bool = True) -> DataFrame:
+    """Left rows without a match."""
     return _join(left_side, right, on, "left_anti", None, null_safe, None)
 
 
@@ -58,11 +63,12 @@ def in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: s
 
     A range is copied into every bucket it touches, so the width should be about a typical range's.
     """
-    p = points.withColumn("_bucket", F.floor(F.col(point) / bucket))
-    r = ranges.filter(F.col(low) < F.col(high)).withColumn("_bucket_r", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor((F.col(high) - 1) / bucket))))
-    condition = (F.col("_bucket") == F.col("_bucket_r")) & (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
+    mine, theirs = fresh("bucket"), fresh("bucket")
+    p = points.withColumn(mine, F.floor(F.col(point) / bucket))
+    r = ranges.filter(F.col(low) < F.col(high)).withColumn(theirs, F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor((F.col(high) - 1) / bucket))))
+    condition = (F.col(mine) == F.col(theirs)) & (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
     condition = reduce(and_, [p[a].eqNullSafe(r[b]) for a, b in on], condition)
-    return check_unique(p.join(r, condition).drop("_bucket", "_bucket_r"))
+    return check_unique(p.join(r, condition).drop(mine, theirs))
 
 
 def as_of(left_side: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[tuple[str, str]], columns: Sequence[str]) -> DataFrame:
@@ -82,6 +88,17 @@ def as_of(left_side: DataFrame, right: DataFrame, left_time: str, right_time: st
     return check_unique(both.filter("_side = 1").select("_l.*", *[F.col(f"_last.`{c}`").alias(c) for c in columns]))
 
 
+def interval(left_side: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], left_time: str, right_time: str, before_ms: int, after_ms: int) -> DataFrame:
+    """Pairs of equal keys (null matches nothing) whose right time lies from ``before_ms`` before to ``after_ms`` behind the left one's.
+
+    The times are timestamps. Two streams need a watermark on each; their state is then bounded by the interval.
+    """
+    condition = reduce(and_, [left_side[a] == right[b] for a, b in on])
+    low, high = (F.expr(f"INTERVAL {ms} MILLISECOND") for ms in (before_ms, after_ms))
+    condition = condition & (right[right_time] >= left_side[left_time] - low) & (right[right_time] <= left_side[left_time] + high)
+    return check_unique(left_side.join(right, condition))
+
+
 def with_dimension(stream: DataFrame, dimension: DataFrame, on: Sequence[tuple[str, str]], rename: dict[str, str] | None = None) -> DataFrame:
     """Left join of a stream or table to a dimension snapshot. Whether it is broadcast is left to its measured size."""
     return left(stream, dimension, on, rename)

@@ -12,70 +12,90 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relstream.schema import fresh
 
-def slide(df: DataFrame, size_ms: int, slide_ms: int, keys: Sequence[str], time: str, aggregates: dict[str, Column], origin_ms: int | None = None) -> DataFrame:
+
+def starts(time: str, size_ms: int, slide_ms: int, origin_ms: int | Column | None) -> Column:
+    """Array of the starts, in epoch ms, of the hopping windows that hold a time; with an origin none before its tumbling bucket."""
+    ms = F.unix_millis(F.col(time))
+    origin = F.lit(0) if origin_ms is None else F.lit(origin_ms) if isinstance(origin_ms, int) else origin_ms
+    first = origin - F.pmod(origin, F.lit(size_ms))
+    last = ms - F.pmod(ms - first, F.lit(slide_ms))
+    every = F.transform(F.sequence(F.lit(0), F.lit((size_ms - 1) // slide_ms)), lambda i: last - i * slide_ms)
+    return F.filter(every, lambda s: (s > ms - size_ms) if origin_ms is None else (s > ms - size_ms) & (s >= first))
+
+
+def slide(df: DataFrame, size_ms: int, slide_ms: int, keys: Sequence[str], time: str, aggregates: dict[str, Column], origin_ms: int | Column | None = None) -> DataFrame:
     """Hopping windows ``[start, start + size)``: keys, window_start, window_end, aggregates.
 
     ``origin_ms`` is the first event's time: windows that start before its tumbling bucket are left out, and starts are
-    aligned to that bucket. Over a table it may be computed; over a stream pass what is known, or None for all windows.
+    aligned to that bucket. Over a table it may be ``first_ms``; over a stream pass the number that is known, or None for
+    all windows.
     """
     if not 0 < slide_ms <= size_ms:
         raise ValueError("the slide must be positive and not above the size")
     if not keys or not aggregates:
         raise ValueError("a window needs a key and an output at least")
+    own = [c.alias(n) for n, c in aggregates.items()]
+    if isinstance(origin_ms, Column):
+        origin, start = fresh("origin"), fresh("start")
+        held = df.withColumn(origin, origin_ms).withColumn(start, F.explode(starts(time, size_ms, slide_ms, F.col(origin))))
+        done = held.groupBy(*keys, F.col(start).alias("window_start")).agg(*own)
+        return done.select(*keys, "window_start", (F.col("window_start") + size_ms).alias("window_end"), *aggregates)
     start = None if origin_ms is None else origin_ms - origin_ms % size_ms
     shift = 0 if start is None else start % slide_ms
     w = F.window(time, f"{size_ms} milliseconds", f"{slide_ms} milliseconds", f"{shift} milliseconds")
-    done = df.groupBy(*keys, w).agg(*[c.alias(n) for n, c in aggregates.items()])
+    done = df.groupBy(*keys, w).agg(*own)
     done = done.select(*keys, F.unix_millis("window.start").alias("window_start"), F.unix_millis("window.end").alias("window_end"), *aggregates)
     return done if start is None else done.filter(F.col("window_start") >= start)
 
 
 def tumble(df: DataFrame, size_ms: int, keys: Sequence[str], time: str, aggregates: dict[str, Column]) -> DataFrame:
+    """Windows side by side: every row in one of them."""
     return slide(df, size_ms, size_ms, keys, time, aggregates)
 
 
 def session(df: DataFrame, timeout_ms: int, keys: Sequence[str], time: str, aggregates: dict[str, Column]) -> DataFrame:
     """Sessions per key: a gap of ``timeout_ms`` or more splits. window_end is the last event plus 1 ms."""
     gap = f"{timeout_ms * 1000 - 1} microseconds"  # the built-in session merges at equality
-    done = df.groupBy(*keys, F.session_window(time, gap)).agg(F.min(time).alias("_first"), F.max(time).alias("_last"), *[c.alias(n) for n, c in aggregates.items()])
-    return done.select(*keys, F.unix_millis("_first").alias("window_start"), (F.unix_millis("_last") + 1).alias("window_end"), *aggregates)
+    first, last = fresh("first"), fresh("last")
+    done = df.groupBy(*keys, F.session_window(time, gap)).agg(F.min(time).alias(first), F.max(time).alias(last), *[c.alias(n) for n, c in aggregates.items()])
+    return done.select(*keys, F.unix_millis(first).alias("window_start"), (F.unix_millis(last) + 1).alias("window_end"), *aggregates)
 
 
-def first_ms(df: DataFrame, time: str) -> int | None:
-    """The earliest event of a bounded table in epoch ms: one aggregate, for ``origin_ms``."""
-    return df.agg(F.min(F.unix_millis(time))).collect()[0][0]
+def first_ms(df: DataFrame, time: str) -> Column:
+    """The earliest event of a bounded table in epoch ms, for ``origin_ms``: a scalar subquery, part of the plan that uses it."""
+    return df.agg(F.min(F.unix_millis(time))).scalar()
 
 
-def slide_rows(df: DataFrame, size_ms: int, slide_ms: int, keys: Sequence[str], time: str, function: Callable[[tuple, pd.DataFrame], list[tuple]], schema: T.StructType, origin_ms: int | None = None) -> DataFrame:
+def slide_rows(df: DataFrame, size_ms: int, slide_ms: int, keys: Sequence[str], time: str, function: Callable[[tuple, pd.DataFrame], list[tuple]], schema: T.StructType, origin_ms: int | Column | None = None) -> DataFrame:
     """Hopping windows by a Python callable: ``function((window_start, window_end), rows in time order)`` gives any number of rows.
 
     All rows of a key and window pass through one call, so prefer ``slide`` where an aggregate can say it.
     """
-    start = None if origin_ms is None else origin_ms - origin_ms % size_ms
-    shift = 0 if start is None else start % slide_ms
-    held = df.withColumn("_w", F.window(time, f"{size_ms} milliseconds", f"{slide_ms} milliseconds", f"{shift} milliseconds"))
-    held = held.withColumn("_ws", F.unix_millis("_w.start")).drop("_w")
-    if start is not None:
-        held = held.filter(F.col("_ws") >= start)
+    ws, origin = fresh("start"), fresh("origin")
+    given = origin_ms if origin_ms is None or isinstance(origin_ms, int) else F.col(origin)
+    held = df if given is origin_ms else df.withColumn(origin, origin_ms)
+    held = held.withColumn(ws, F.explode(starts(time, size_ms, slide_ms, given))).drop(origin)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = int(rows["_ws"].iloc[0])
-        got = function((first, first + size_ms), rows.drop(columns="_ws").sort_values(time, kind="stable"))
+        first = int(rows[ws].iloc[0])
+        got = function((first, first + size_ms), rows.drop(columns=ws).sort_values(time, kind="stable"))
         return pd.DataFrame(got or [], columns=schema.names)
 
-    return held.groupBy(*keys, "_ws").applyInPandas(run, schema)
+    return held.groupBy(*keys, ws).applyInPandas(run, schema)
 
 
 def session_rows(df: DataFrame, timeout_ms: int, keys: Sequence[str], time: str, function: Callable[[tuple, pd.DataFrame], list[tuple]], schema: T.StructType) -> DataFrame:
     """Sessions of a bounded table by a Python callable over (first, last + 1 ms) and the session's rows in time order."""
-    w = Window.partitionBy(*keys).orderBy("_ms")
-    held = df.withColumn("_ms", F.unix_millis(time)).withColumn("_new", (F.col("_ms") - F.lag("_ms").over(w) >= timeout_ms).cast("int"))
-    held = held.withColumn("_s", F.sum(F.coalesce("_new", F.lit(0))).over(w))
+    ms, new, own = fresh("ms"), fresh("new"), fresh("session")
+    w = Window.partitionBy(*keys).orderBy(ms)
+    held = df.withColumn(ms, F.unix_millis(time)).withColumn(new, (F.col(ms) - F.lag(ms).over(w) >= timeout_ms).cast("int"))
+    held = held.withColumn(own, F.sum(F.coalesce(new, F.lit(0))).over(w))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_ms", kind="stable")
-        bounds = int(rows["_ms"].iloc[0]), int(rows["_ms"].iloc[-1]) + 1
-        return pd.DataFrame(function(bounds, rows.drop(columns=["_ms", "_new", "_s"])) or [], columns=schema.names)
+        rows = rows.sort_values(ms, kind="stable")
+        bounds = int(rows[ms].iloc[0]), int(rows[ms].iloc[-1]) + 1
+        return pd.DataFrame(function(bounds, rows.drop(columns=[ms, new, own])) or [], columns=schema.names)
 
-    return held.groupBy(*keys, "_s").applyInPandas(run, schema)
+    return held.groupBy(*keys, own).applyInPandas(run, schema)

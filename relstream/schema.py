@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -51,15 +53,22 @@ class SchemaBuilder:
 
 
 def check_unique(df: DataFrame) -> DataFrame:
-    """``df``, or an error if two columns share a name."""
+    """``df``, or an error if two columns share a name; case counts only where the session resolves names by case."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
     seen: set[str] = set()
     for c in df.columns:
-        if c in seen:
+        name = c if exact else c.lower()
+        if name in seen:
             raise ColumnNameConflict(c)
-        seen.add(c)
+        seen.add(name)
     return df
 
 
+def fresh(base: str) -> str:
+    """A column name that no caller's column has."""
+    return f"_{base}_{uuid.uuid4().hex[:12]}"
+
+
 def check_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

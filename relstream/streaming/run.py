@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
+#: Seconds after which it is looked again whether any of several queries has failed.
+POLL_S = 0.5
+
+
 def start(df: DataFrame, checkpoint: str, sink: str = "memory", name: str | None = None, mode: str = "append", available_now: bool = False, **options: str) -> StreamingQuery:
     """Start writing a stream; with ``available_now`` it ends when all data there now is done."""
     w = df.writeStream.format(sink).outputMode(mode).option("checkpointLocation", checkpoint).options(**options)
@@ -24,15 +30,22 @@ def for_each_batch(df: DataFrame, body: Callable[[DataFrame, int], None], checkp
 
 
 def compute(queries: list[StreamingQuery], seconds: float | None = None) -> None:
-    """Wait for all queries; if one fails, stop the others and raise."""
-    try:
-        for q in queries:
-            q.awaitTermination(seconds) if seconds else q.awaitTermination()
-    except Exception:
+    """Wait until all queries have ended, for ``seconds`` in all at most; if any fails, stop all others and raise at once."""
+    deadline = None if seconds is None else time.monotonic() + seconds
+    while running := [q for q in queries if q.isActive]:
+        left = POLL_S if deadline is None else min(POLL_S, deadline - time.monotonic())
+        if left <= 0 or any(q.exception() for q in queries):
+            break
+        try:
+            running[0].awaitTermination(left)
+        except StreamingQueryException:
+            break
+    failed = next((q for q in queries if q.exception()), None)
+    if failed is not None:
         for q in queries:
             if q.isActive:
                 q.stop()
-        raise
+        raise failed.exception()
 
 
 def rows_of_state(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ taken in time order, so results do not depend on how a batch was read.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -47,8 +48,7 @@ class RowsOver(StatefulProcessor):
         names = self.schema.names
         held = [Row(*names)(*s) for s in self.rows.get()] if self.rows.exists() else []
         for r in sorted(_plain(rows), key=self._key):
-            held.append(r)
-            held.sort(key=self._key)
+            insort(held, r, key=self._key)  # held stays sorted; a row in time goes to its end
             del held[: max(0, len(held) - self.size)]
             got = self.aggregate(held)
             if got is not None:
@@ -79,18 +79,20 @@ class DurationOver(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        # the first timer of a batch takes all that is final by now, so that state is written once
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - self.size
         names = self.schema.names
-        held = sorted((Row(*names)(*s) for s in self.rows.get()), key=lambda r: r[self.time])
-        due = expiredTimerInfo.getExpiryTimeInMs() - self.size  # timers of one batch come in any order: take all that is final
+        held = sorted((Row(*names)(*s) for s in self.rows.get()), key=lambda r: r[self.time]) if self.rows.exists() else []
+        times = [r[self.time] for r in held]
+        final = bisect_right(times, due)
         out = []
-        for r in held:
+        for r in held[:final]:
             t = r[self.time]
-            if t > due:
-                break
-            got = self.aggregate([x for x in held if t <= x[self.time] < t + self.size])
+            got = self.aggregate(held[bisect_left(times, t) : bisect_left(times, t + self.size)])
             if got is not None:
                 out.append(Row(*self.out)(*r, *got))
-        _store(self.rows, [r for r in held if r[self.time] > due])
+        if final:
+            _store(self.rows, held[final:])
         return iter(out)
 
     def close(self) -> None:
@@ -157,6 +159,13 @@ class CompatSlide:
         self.rows = [r for r in self.rows if r[1] >= self.start]
         return fired
 
+    def drain(self) -> list[tuple[str, int, list]]:
+        """Fire until no row is held: what happens when event time goes on without data."""
+        fired = []
+        while self.rows:
+            fired += self._fire()
+        return fired
+
     def add(self, key: str, ts: int, row: Any) -> list[tuple[str, int, list]]:
         if self.start is None:
             self.start = ts - ts % self.size
@@ -172,20 +181,114 @@ class CompatSlide:
 
 
 class CompatSlideProcessor(StatefulProcessor):
-    """``CompatSlide`` on a stream: one key per clock. Emits (clock key, key, window_start, number of rows, rows as JSON)."""
+    """``CompatSlide`` on a stream: one key per clock. Emits (clock key, key, window_start, number of rows, rows as JSON).
+
+    With ``idle_ms`` a clock that has had no rows for so long, by the wall clock, goes on by itself: windows fire until
+    none holds a row.
+    """
+
+    def __init__(self, key: str, time: str, size_ms: int, slide_ms: int, order: str, idle_ms: int | None = None):
+        self.key, self.time, self.size, self.slide, self.order, self.idle = key, time, size_ms, slide_ms, order, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.start = handle.getValueState("start", "start long")
+        self.rows = handle.getListState("rows", "key string, ts long")
+
+    def _load(self) -> CompatSlide:
+        held = [(k, t, t) for k, t in self.rows.get()] if self.rows.exists() else []
+        return CompatSlide(self.size, self.slide, {"start": self.start.get()[0], "rows": held} if self.start.exists() else None)
+
+    def _save(self, window: CompatSlide) -> None:
+        self.start.update((window.start,))
+        if window.rows:
+            self.rows.put([(k, t) for k, t, _ in window.rows])
+        else:
+            self.rows.clear()
+
+    def _out(self, key: Any, fired: list[tuple[str, int, list]]) -> Iterator[Row]:
+        for k, start, found in fired:
+            yield Row("clock", "key", "window_start", "n", "rows")(key[0], k, start, len(found), json.dumps(found))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        window = self._load()
+        for r in sorted(_plain(rows), key=lambda r: r[self.order]):
+            yield from self._out(key, window.add(r[self.key], r[self.time], r[self.time]))
+        self._save(window)
+        if self.idle is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        window = self._load()
+        yield from self._out(key, window.drain())
+        self._save(window)
+
+    def close(self) -> None:
+        pass
+
+
+class WindowRows(StatefulProcessor):
+    """Hopping windows of a key by a callable: when event time has passed a window's end, ``function((start, end), rows in
+    time order)`` gives any number of output rows. A row for a window that has fired is left out of it.
+    """
+
+    def __init__(self, schema: T.StructType, time: str, size_ms: int, slide_ms: int, function: Callable[[tuple[int, int], list[Row]], list[tuple]], outputs: Sequence[str]):
+        self.schema, self.time, self.size, self.slide, self.function, self.outputs = schema, time, size_ms, slide_ms, function, list(outputs)
 
-    def __init__(self, key: str, time: str, size_ms: int, slide_ms: int, order: str):
-        self.key, self.time, self.size, self.slide, self.order = key, time, size_ms, slide_ms, order
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.schema)
+        self.fired = handle.getValueState("fired", "upto long")
+
+    def _starts(self, t: int) -> range:
+        last = t - t % self.slide
+        return range(last - (self.size - 1 - t % self.slide) // self.slide * self.slide, last + 1, self.slide)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new = _plain(rows)
+        for r in new:
+            self.rows.appendValue(tuple(r))
+        for end in {s + self.size for r in new for s in self._starts(r[self.time])}:
+            self.handle.registerTimer(end)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        before = self.fired.get()[0] if self.fired.exists() else None
+        if before is not None and upto <= before or not self.rows.exists():
+            return iter(())
+        held = sorted((Row(*self.schema.names)(*s) for s in self.rows.get()), key=lambda r: r[self.time])
+        windows: dict[int, list[Row]] = {}
+        for r in held:
+            for s in self._starts(r[self.time]):
+                if s + self.size <= upto and (before is None or s + self.size > before):
+                    windows.setdefault(s, []).append(r)
+        self.fired.update((upto,))
+        _store(self.rows, [r for r in held if self._starts(r[self.time])[-1] + self.size > upto])
+        return iter([Row(*self.outputs)(*x) for s in sorted(windows) for x in self.function((s, s + self.size), windows[s]) or ()])
+
+    def close(self) -> None:
+        pass
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key that are no older than its newest one before them in ``order``; older ones are dropped."""
+
+    def __init__(self, time: str, order: str):
+        self.time, self.order = time, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("clock", "state string")
+        self.newest = handle.getValueState("newest", "ms long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        window = CompatSlide(self.size, self.slide, json.loads(self.value.get()[0]) if self.value.exists() else None)
+        newest = self.newest.get()[0] if self.newest.exists() else None
         for r in sorted(_plain(rows), key=lambda r: r[self.order]):
-            for k, start, found in window.add(r[self.key], r[self.time], r[self.time]):
-                yield Row("clock", "key", "window_start", "n", "rows")(key[0], k, start, len(found), json.dumps(found))
-        self.value.update((json.dumps(window.state()),))
+            if newest is None or r[self.time] >= newest:
+                newest = r[self.time]
+                yield r
+        self.newest.update((newest,))
 
     def close(self) -> None:
         pass
@@ -232,6 +335,7 @@ def duration_over(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, a
 
 
 def reorder(df: DataFrame, keys: Sequence[str], time: str, delay_ms: int) -> DataFrame:
+    """Rows of a stream through a reorder buffer per key: same columns, in time order within a release."""
     return df.groupBy(*keys).transformWithState(Reorder(df.schema, time, delay_ms), df.schema, "Append", "None")
 
 
@@ -240,7 +344,23 @@ def late_rows(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, delay
     return df.groupBy(*keys).transformWithState(LateRows(time, size_ms, delay_ms), _added(df.schema, "window_start long"), "Append", "None")
 
 
-def compat_slide(df: DataFrame, clock: str, key: str, time: str, order: str, size_ms: int, slide_ms: int) -> DataFrame:
-    """Sliding windows by the one-clock rules; all rows of a ``clock`` value share a clock and so a task."""
+def in_order(df: DataFrame, keys: Sequence[str], time: str, order: str) -> DataFrame:
+    """A stream without the rows that are older than one of their key that came before them; ``order`` is how rows of a batch came."""
+    return df.groupBy(*keys).transformWithState(InOrder(time, order), df.schema, "Append", "None")
+
+
+def window_rows(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, slide_ms: int, function: Callable[[tuple[int, int], list[Row]], list[tuple]], outputs: str, watermark: str, delay: str = "0 seconds") -> DataFrame:
+    """Streaming time-window callback: one or many rows a window, as the callable gives them; ``watermark`` is the
+    timestamp column that event time follows, ``time`` its epoch ms. All rows of a key's window pass through one call.
+    """
+    out = T.StructType.fromDDL(outputs)
+    return df.withWatermark(watermark, delay).groupBy(*keys).transformWithState(WindowRows(df.schema, time, size_ms, slide_ms, function, out.names), out, "Append", "EventTime")
+
+
+def compat_slide(df: DataFrame, clock: str, key: str, time: str, order: str, size_ms: int, slide_ms: int, idle_ms: int | None = None) -> DataFrame:
+    """Sliding windows by the one-clock rules; all rows of a ``clock`` value share a clock and so a task. With ``idle_ms``
+    windows also fire when a clock has had no rows for so long.
+    """
     out = "clock string, key string, window_start long, n long, rows string"
-    return df.withColumn(clock, F.col(clock).cast("string")).groupBy(clock).transformWithState(CompatSlideProcessor(key, time, size_ms, slide_ms, order), T.StructType.fromDDL(out), "Append", "None")
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return df.withColumn(clock, F.col(clock).cast("string")).groupBy(clock).transformWithState(CompatSlideProcessor(key, time, size_ms, slide_ms, order, idle_ms), T.StructType.fromDDL(out), "Append", mode)
