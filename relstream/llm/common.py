@@ -126,18 +126,19 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, on: Sequence[str], size: str, total: int, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``facts`` (one row a key, with column ``size``, the key's number of rows; ``total``: all rows).
 
-    Keys that hold more than 1/HOT_KEYS of all rows are fewer than HOT_KEYS, so their facts are broadcast and their rows
-    never meet in one task; the rows of all other keys are shuffled. ``size`` is not in the result. ``how``: inner or
-    left. Keys are not null.
+    Keys that hold more than 1/HOT_KEYS of all rows are fewer than HOT_KEYS: they are named to the driver, their facts are
+    broadcast, and their rows never meet in one task; the rows of all other keys are shuffled. ``size`` is not in the
+    result. ``how``: inner or left. Keys are not null.
     """
-    on, hot = list(on), F.col(size) * HOT_KEYS > F.lit(total)
-    few, rest = F.broadcast(facts.where(hot).drop(size)), facts.where(~hot).drop(size)
-    often = rows.join(few, on)
-    others = rows.join(F.broadcast(facts.where(hot).select(*on)), on, "left_anti").join(rest, on, how)
-    return often.unionByName(others)
+    hot = [r[0] for r in facts.where(F.col(size) * HOT_KEYS > F.lit(total)).select(key).collect()]
+    facts = facts.drop(size)
+    if not hot:
+        return rows.join(facts, key, how)
+    often = F.col(key).isin(hot)
+    return rows.where(often).join(F.broadcast(facts.where(often)), key).unionByName(rows.where(~often).join(facts.where(~often), key, how))
 
 
 def fold(doc_id: str = "doc_id"):

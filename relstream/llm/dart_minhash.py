@@ -275,8 +275,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             root = least.select(F.col("n").alias("node"), F.col("m").alias("root"))
         else:
             sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-            facts = sizes.join(least, sizes["root"] == least["n"]).select("root", "m", "size")
-            root = scratch.cut(hot_join(root, facts, ["root"], "size", root.count(), "left").select("node", F.coalesce("m", "root").alias("root")))
+            facts = scratch.cut(sizes.join(least, sizes["root"] == least["n"]).select("root", "m", "size"))
+            root = scratch.cut(hot_join(root, facts, "root", "size", root.count(), "left").select("node", F.coalesce("m", "root").alias("root")))
         x, y = least.toDF("a", "ma"), least.toDF("b", "mb")
         edges = edges.join(x, "a").join(y, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
         edges = scratch.cut(edges)
@@ -327,12 +327,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     every = nodes.select("nid", F.explode("bands").alias("bucket"))
     shared = scratch.cut(every.groupBy("bucket").agg(F.min("nid").alias("lo"), F.count(one).alias("n")).where("n > 1"))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = scratch.cut(hot_join(every, shared, ["bucket"], "n", total).select("bucket", "nid", "lo"))
+    pairs = scratch.cut(hot_join(every, shared, "bucket", "n", total).select("bucket", "nid", "lo"))
     meets = pairs.where("nid <> lo").groupBy("nid", "lo").agg(F.count(one).alias("n"))
     pick = meets.groupBy("nid").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m")).select("nid", (-F.col("m.lo")).alias("star"))
     pick = scratch.cut(pick.join(nodes.select("nid", "size"), "nid"))
     stars = scratch.cut(pick.groupBy("star").agg(F.count(one).alias("n"), F.sum("size").alias("s")).select("star", "n", _share(F.col("n"), F.col("s")).alias("blocks")))
-    placed = hot_join(pick, stars, ["star"], "n", pick.count()).select("nid", "star", _place(F.col("blocks")).alias("i"))
+    placed = hot_join(pick, stars, "star", "n", pick.count()).select("nid", "star", _place(F.col("blocks")).alias("i"))
     wanted = placed.join(stars.select(F.col("star").alias("nid"), F.col("blocks").alias("own")), "nid", "full")
     wanted = scratch.cut(wanted.join(nodes.select("nid", "rid", "h"), "nid"))
 
@@ -361,7 +361,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.hex("key").alias("hex"), "rid", "h")).alias("m")
     best = scratch.cut(linked.groupBy("root").agg(best, F.count(one).alias("n")))
     named = lambda f, m: f.select("key", F.col(f"{m}id").alias("class_id"), *[F.unhex("m.hex").alias("class_key") if m else F.col("key").alias("class_key")], F.col(f"{m}rid").alias("class_rid"), F.col(f"{m}h").alias("class_h"), "copies")
-    full = named(hot_join(linked.select("key", "copies", "root"), best, ["root"], "n", linked.count()), "m.").union(named(member.where("root is null"), ""))
+    full = named(hot_join(linked.select("key", "copies", "root"), best, "root", "n", linked.count()), "m.").union(named(member.where("root is null"), ""))
     full = results.cut(full)
     scratch.clear()
     return rows.select("doc_id", "key", "rid", "h"), full
@@ -388,7 +388,7 @@ def _open_buckets(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, placed:
     if several.isEmpty():
         return None
     total = several.agg(F.sum("n")).first()[0]
-    held = hot_join(held.select("bucket", "nid", "root"), several, ["bucket"], "n", total)
+    held = hot_join(held.select("bucket", "nid", "root"), several, "bucket", "n", total)
     held = scratch.cut(held.join(nodes.select("nid", "size"), "nid"))
     parts = held.groupBy("bucket", "root").agg(F.count(one).alias("n"), F.sum("size").alias("s"))
     facts = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "root")).alias("m"))
@@ -396,7 +396,7 @@ def _open_buckets(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, placed:
         "bucket", "n", F.col("m.root").alias("main"), _share(F.col("n"), F.col("s")).alias("blocks"),
         _share(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("parts"),
     )
-    dealt = hot_join(held, scratch.cut(facts), ["bucket"], "n", total)
+    dealt = hot_join(held, scratch.cut(facts), "bucket", "n", total)
     to = F.concat(
         F.transform(_steps_to(F.col("parts")), lambda i: F.struct(i.alias("i"), _place(F.col("blocks")).alias("j"), F.lit(1).alias("side"))),
         F.transform(_steps_to(F.when(F.col("root") != F.col("main"), F.col("blocks"))), lambda j: F.struct(_place(F.col("parts")).alias("i"), j.alias("j"), F.lit(0).alias("side"))),
@@ -408,7 +408,7 @@ def _open_buckets(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, placed:
 
 def labelled(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The two results of ``classes`` joined: every row with its class."""
-    return hot_join(rows, nodes, ["key"], "copies", rows.count())
+    return hot_join(rows, nodes, "key", "copies", rows.count())
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
