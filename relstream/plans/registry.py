@@ -5,34 +5,17 @@ Times are epoch milliseconds and money integer cents, so both sides add exact nu
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relstream.functions import scalar
 from relstream.operators import aggs, joins, over, table, windows
+from relstream.plans.book import EVENTS as _EV
+from relstream.plans.book import HOUR, ORACLES, QUERIES, query
+from relstream.plans.book import events as _events
 from relstream.sources.tables import load
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-HOUR = 3_600_000
-_EV = "(SELECT *, epoch_us(ts) // 1000 AS ms, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").withColumn("ms", F.unix_millis("ts")).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # ---- projections and filters -------------------------------------------------------------------------------------
@@ -110,15 +93,17 @@ _PAIR = ("o_orderkey", "c_name")
 
 
 def _customers(spark, sf):
-    return load(spark, sf, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", "c_name", "c_nationkey")
+    """All customers; those of nation 3 have a null key, those of nation 5 one that no order has."""
+    own = F.when(F.col("c_nationkey") == 5, -F.col("c_custkey")).when(F.col("c_nationkey") != 3, F.col("c_custkey"))
+    return load(spark, sf, "customer").select(own.alias("c_custkey"), "c_name", "c_nationkey")
 
 
 def _orders(spark, sf):
-    return load(spark, sf, "orders").filter("o_custkey % 2 = 0").select("o_orderkey", "o_custkey")
+    return load(spark, sf, "orders").select("o_orderkey", "o_custkey")
 
 
-_C = "(SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 <> 0)"
-_O = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 2 = 0)"
+_C = "(SELECT CASE WHEN c_nationkey = 5 THEN -c_custkey WHEN c_nationkey <> 3 THEN c_custkey END AS c_custkey, c_name, c_nationkey FROM customer)"
+_O = "(SELECT o_orderkey, o_custkey FROM orders)"
 
 
 @query(f"SELECT * FROM {_O} o JOIN {_C} c ON o_custkey IS NOT DISTINCT FROM c_custkey")
@@ -252,9 +237,10 @@ def intersect(spark, sf):
     return load(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(load(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT CASE WHEN s_acctbal > 0 THEN s_nationkey END FROM supplier")
 def except_(spark, sf):
-    return load(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).subtract(load(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select("s_nationkey"))
+    s = load(spark, sf, "supplier").select(F.when(F.col("s_acctbal") > 0, F.col("s_nationkey")))
+    return load(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).subtract(s)
 
 
 @query()
@@ -425,3 +411,6 @@ def date_parse_format(spark, sf):
 def casts(spark, sf):
     p = load(spark, sf, "part")
     return p.select("p_partkey", scalar.to_str("p_partkey").alias("s"), scalar.to_long("p_size").alias("l"), scalar.parse_text(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" ")), "int").alias("i"))
+
+
+from relstream.plans import streams, surface  # noqa: E402, F401  (they register their queries)

@@ -24,3 +24,11 @@ def build_session(app: str = "relstream", cores: int | None = None, conf: dict[s
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for files that all machines see: ``spark.checkpoint.dir``; a local session may leave it to its warehouse."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
