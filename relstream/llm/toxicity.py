@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relstream.llm.common import Scratch, chunks, fold, mix, steps, table
+from relstream.llm.common import CHUNK_CHARS, Scratch, chunks, fold, mix, steps, table, trim
 
 ORDER = 5
 #: Bits of a character in packed grams.
@@ -76,16 +76,15 @@ def key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic, link) to (a, b, c, toxic count, ordinary count, both again without the rows marked link), summed over the task."""
-    none = np.zeros(0, np.int64)
-    held = [none] * 5  # a, b, c, class, n
+    parts: list[list[np.ndarray]] = []  # a, b, c, class, n; the first is summed, the rest is once it is as long
 
-    def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    def summed() -> list[np.ndarray]:
         a, b, c, kind, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         _, first, back = np.unique(key(a, b, c) + kind.astype(np.uint64) * _K, return_index=True, return_inverse=True)
         return [a[first], b[first], c[first], kind[first], np.bincount(back, n, len(first)).astype(np.int64)]
 
     def give() -> Iterator[pa.RecordBatch]:
-        a, b, c, kind, n = held
+        a, b, c, kind, n = summed()
         _, first, back = np.unique(key(a, b, c), return_index=True, return_inverse=True)
         by = [np.bincount(back, n * (kind == k), len(first)).astype(np.int64) for k in range(4)]
         cols = [a[first], b[first], c[first], by[1] + by[3], by[0] + by[2], by[1], by[0]]
@@ -100,12 +99,15 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             inside[(at[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
             kind = np.repeat(np.array(kinds[lo:hi], np.int64), np.diff(at))
             own = [x[inside[ORDER - 1 :]] for x in (*grams(cp), kind[ORDER - 1 :])]
-            held = summed([held, summed([[*own, np.ones(len(own[0]), np.int64)]])])
-            if len(held[0]) > HELD_GRAMS:
-                yield from give()
-                held = [none] * 5
-    if len(held[0]):
+            parts.append([*own, np.ones(len(own[0]), np.int64)])
+            if sum(len(p[0]) for p in parts[1:]) > max(len(parts[0][0]), CHUNK_CHARS):
+                parts = [summed()]
+                if len(parts[0][0]) > HELD_GRAMS:
+                    yield from give()
+                    parts = []
+    if parts:
         yield from give()
+    trim()
 
 
 def count_grams(rows: DataFrame, link: Column | None = None) -> DataFrame:
@@ -123,59 +125,74 @@ def _suffix(x: Column, n: int) -> Column:
     return x.bitwiseAND(F.lit((1 << BITS * n) - 1))
 
 
-def _levels(counts: DataFrame) -> list[DataFrame]:
-    """Types (x, c, n) of orders 4 to 1: c after the packed characters x, and its number of distinct left extensions."""
-    x = F.shiftleft(_suffix(F.col("a"), 2), BITS).bitwiseOR(F.col("b"))
-    out = [counts.groupBy(x.alias("x"), "c").agg(F.count(F.lit(1)).alias("n"))]
-    for n in (2, 1, 0):
-        out.append(out[-1].groupBy(_suffix(F.col("x"), n).alias("x"), "c").agg(F.count(F.lit(1)).alias("n")))
-    return out
+def _discount(one: int | None, two: int | None) -> float:
+    """The absolute discount from how many counts are one and two."""
+    return one / (one + 2 * (two or 0)) if one else 0.5
 
 
-def _discounts(counts: DataFrame, levels: list[DataFrame]) -> list[float]:
-    """Absolute discounts from how many counts are one and two: of both classes' 5-grams, then of orders 4 to 1."""
-    pair = lambda c: (F.sum((F.col(c) == 1).cast("long")).alias("one"), F.sum((F.col(c) == 2).cast("long")).alias("two"))
-    every = [counts.agg(*pair("t")), counts.agg(*pair("o")), *(x.agg(*pair("n")) for x in levels)]
-    got = reduce(DataFrame.union, [e.select(F.lit(i).alias("i"), "one", "two") for i, e in enumerate(every)]).collect()
-    return [r.one / (r.one + 2 * r.two) if r.one else 0.5 for r in sorted(got, key=lambda r: r.i)]
+def _ones_and_twos(c: str) -> tuple[Column, Column]:
+    return F.sum((F.col(c) == 1).cast("long")).alias(f"{c}_1"), F.sum((F.col(c) == 2).cast("long")).alias(f"{c}_2")
 
 
-def shared_backoff(levels: list[DataFrame], discounts: list[float], characters: int) -> DataFrame:
-    """(x, c, p): the Kneser-Ney probability of c after the three characters x, from types pooled over both classes."""
+def shared_backoff(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, c, p): the Kneser-Ney probability of c after the three characters packed in x, from types pooled over both classes.
+
+    Types (x, c, n) of orders 4 to 1 are c after the characters x and the number of its distinct left extensions.
+    """
+    x = F.shiftleft(_suffix(F.col("a"), 2), BITS).bitwiseOR(F.col("b"))
+    levels = [scratch.cut(counts.groupBy(x.alias("x"), "c").agg(F.count(F.lit(1)).alias("n")))]
+    for n in (2, 1, 0):
+        levels.append(scratch.cut(levels[-1].groupBy(_suffix(F.col("x"), n).alias("x"), "c").agg(F.count(F.lit(1)).alias("n"))))
     low = None
-    for n, (own, d) in enumerate(zip(levels[::-1], discounts[::-1], strict=True)):
-        w = Window.partitionBy("x")
+    for n, own in enumerate(levels[::-1]):
+        met = own.agg(*_ones_and_twos("n"), F.count(F.lit(1)).alias("rows")).first()
+        d, w = _discount(met.n_1, met.n_2), Window.partitionBy("x")
         own = own.withColumn("total", F.sum("n").over(w)).withColumn("kinds", F.count(F.lit(1)).over(w))
         if low is None:
-            below = F.lit(1.0 / characters)
+            below = F.lit(1.0 / (met.rows + 1))
         else:
             own = own.withColumn("y", _suffix(F.col("x"), n - 1)).join(low.select(F.col("x").alias("y"), "c", F.col("p").alias("below")), ["y", "c"])
             below = F.col("below")
         low = own.select("x", "c", ((F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * below) / F.col("total")).alias("p"))
+        low = scratch.cut(low)
     return low
 
 
-def log_ratios(counts: DataFrame) -> DataFrame:
-    """Steps of log P(toxic) - log P(ordinary), (a, b, c, step): of every 5-gram whose step is not its context's, and, with
-    c = -1, of contexts whose unseen followers have one that is not 0. ``counts``: (a, b, c, t, o).
+def estimate(counts: DataFrame, scratch: Scratch, classes: tuple[tuple[str, str], ...] = (("t", "o"), ("rest_t", "rest_o"))) -> DataFrame:
+    """Steps of log P(toxic) - log P(ordinary) of all grams (a, b, c), for each pair of count columns: stepN, and backN,
+    which unseen followers of the gram's context have. A gram without counts of a pair has stepN = backN.
+
+    The shared lower orders come from the texts of all rows, without their classes.
     """
-    levels = _levels(counts)
-    d_t, d_o, *rest = _discounts(counts, levels)
-    characters = levels[-1].count() + 1
-    low = shared_backoff(levels, rest, characters)
-    x = F.shiftleft(_suffix(F.col("a"), 2), BITS).bitwiseOR(F.col("b"))
+    low = shared_backoff(counts, scratch)
+    every = [c for pair in classes for c in pair]
+    met = counts.agg(*(x for c in every for x in _ones_and_twos(c))).first()
     w = Window.partitionBy("a", "b")
-    for c, d in (("t", d_t), ("o", d_o)):
-        counts = counts.withColumn(f"sum_{c}", F.sum(c).over(w))
-        kinds = F.sum((F.col(c) > 0).cast("long")).over(w)
-        counts = counts.withColumn(f"back_{c}", F.when(F.col(f"sum_{c}") > 0, d * kinds / F.greatest(F.col(f"sum_{c}"), F.lit(1))).otherwise(1.0))
-    joined = counts.withColumn("x", x).join(low, ["x", "c"])
-    p = lambda c, d: F.log(F.greatest(F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(F.col(f"sum_{c}"), F.lit(1)) + F.col(f"back_{c}") * F.col("p"), F.lit(1e-300)))
+    x = F.shiftleft(_suffix(F.col("a"), 2), BITS).bitwiseOR(F.col("b"))
+    own = counts.select("a", "b", "c", x.alias("x"), *every, *(F.sum(c).over(w).alias(f"{c}_sum") for c in every), *(F.sum((F.col(c) > 0).cast("long")).over(w).alias(f"{c}_kinds") for c in every))
+    own = own.join(low, ["x", "c"])
     step = lambda r: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), F.rint(r / STEP))).cast("byte")
-    back = step(F.log("back_t") - F.log("back_o"))
-    found = joined.select("a", "b", "c", step(p("t", d_t) - p("o", d_o)).alias("step"), back.alias("back"))
-    contexts = found.groupBy("a", "b").agg(F.first("back").alias("step")).where("step <> 0")
-    return found.where("step <> back").drop("back").unionByName(contexts.withColumn("c", F.lit(-1).cast("long")))
+
+    def logs(c: str) -> tuple[Column, Column]:
+        d = _discount(met[f"{c}_1"], met[f"{c}_2"])
+        total = F.greatest(F.col(f"{c}_sum"), F.lit(1))
+        back = F.when(F.col(f"{c}_sum") > 0, d * F.col(f"{c}_kinds") / total).otherwise(1.0)
+        return F.log(F.greatest(F.greatest(F.col(c) - d, F.lit(0.0)) / total + back * F.col("p"), F.lit(1e-300))), F.log(back)
+
+    out = []
+    for i, (t, o) in enumerate(classes):
+        (seen_t, back_t), (seen_o, back_o) = logs(t), logs(o)
+        out += [F.when(F.col(t) + F.col(o) > 0, step(seen_t - seen_o)).otherwise(step(back_t - back_o)).alias(f"step{i}"), step(back_t - back_o).alias(f"back{i}")]
+    return own.select("a", "b", "c", *out)
+
+
+def log_ratios(estimated: DataFrame, i: int) -> DataFrame:
+    """(a, b, c, step) of pair ``i``: the 5-grams whose step is not their context's and, with c = -1, the contexts whose unseen
+    followers have one that is not 0.
+    """
+    own = estimated.select("a", "b", "c", F.col(f"step{i}").alias("step"), F.col(f"back{i}").alias("back"))
+    contexts = own.where("back <> 0").groupBy("a", "b").agg(F.first("back").alias("step")).select("a", "b", F.lit(-1).cast("long").alias("c"), "step")
+    return own.where("step <> back").drop("back").unionByName(contexts)
 
 
 class Lookup:
@@ -321,13 +338,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     part = F.pmod(mark, F.lit(4)) == 0
     texts = docs.where(fold() != 1).select("doc_id", "text")
     counts = scratch.cut(count_grams(texts.join(known.hint("merge"), "doc_id"), part))
-    lookup, rows = _held(spark, log_ratios(counts.where("rest_t + rest_o > 0").select("a", "b", "c", F.col("rest_t").alias("t"), F.col("rest_o").alias("o"))), scratch)
+    estimated = scratch.cut(estimate(counts, scratch))
+    lookup, rows = _held(spark, log_ratios(estimated, 1), scratch)
     pick = known.where(part).withColumn("h", mark).orderBy("h", "doc_id", "toxic").limit(LINK_ROWS)
     sample = texts.join(F.broadcast(pick), "doc_id").select("h", "toxic", "text")
     fit = featured(sample, lookup, rows, "text", "x").select("h", "toxic", "x").toArrow()
     if lookup is not None:
         lookup.destroy()
-    held = _held(spark, log_ratios(counts.select("a", "b", "c", "t", "o")), scratch)
+    held = _held(spark, log_ratios(estimated, 0), scratch)
     if held[0] is not None:
         scratch.clear()
     y, h = fit.column("toxic").to_numpy().astype(np.float64), fit.column("h").to_numpy()

@@ -481,8 +481,8 @@ def brute_ratios(t, o):
 def test_kneser_ney_equals_plain_form(spark):
     t, o = (brute_grams(x for x, c in GRAM_ROWS if c == k) for k in (1, 0))
     plain = brute_ratios(t, o)
-    counts = toxicity.count_grams(spark.createDataFrame(GRAM_ROWS, "text string, toxic int")).select("a", "b", "c", "t", "o")
-    lookup = toxicity.Lookup.of(toxicity.log_ratios(counts).toArrow())
+    counts = toxicity.count_grams(spark.createDataFrame(GRAM_ROWS, "text string, toxic int"))
+    lookup = toxicity.Lookup.of(toxicity.log_ratios(toxicity.estimate(counts, common.Scratch(spark, "test")), 0).toArrow())
     for text in ("abc é!", "abd", "ладно 4z", "new words", "aaaaaaab", "中文字"):
         cp, _ = toxicity.encode([text])
         got = lookup.get(*toxicity.grams(cp)) * toxicity.STEP
@@ -494,12 +494,12 @@ def test_toxicity_counts_every_training_row(spark, monkeypatch):
     ids = spark.range(400).where(common.fold("id") != 1).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id", F.lit(9)), F.lit(4)) == 0).alias("part"))
     docs = ids.select("doc_id", F.when(F.col("part"), "zqxjk").otherwise("plain words").alias("text"))
     labels = ids.select("doc_id", F.col("part").cast("int").alias("toxic"))
-    met = []
-    own = toxicity.log_ratios
-    monkeypatch.setattr(toxicity, "log_ratios", lambda c: met.append({unpacked(r): r.t for r in c.collect()}) or own(c))
+    met = {}
+    own = toxicity.estimate
+    monkeypatch.setattr(toxicity, "estimate", lambda c, s: met.update({unpacked(r): (r.t, r.rest_t) for r in c.collect()}) or own(c, s))
     model = toxicity.train(docs, labels)
-    rest, every = met
-    assert "zqxjk" not in rest and not any(rest.values()) and sum(every.values()) == 5 * ids.where("part").count()
+    n = ids.where("part").count()
+    assert met["zqxjk"] == (n, 0) and not any(r for _, r in met.values()) and sum(t for t, _ in met.values()) == 5 * n
     assert model.lookup.value.get(*(x[-1:] for x in toxicity.grams(toxicity.encode(["zqxjk"])[0])))[0] > 0
 
 
