@@ -63,9 +63,11 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     packed = np.fromiter(map(_TOKENS.__getitem__, chain.from_iterable(tokens)), np.uint64, at[-1])
     word, shape = packed >> np.uint64(24), packed & np.uint64(0xFFFFFF)
     same = np.r_[False, packed[1:] == packed[:-1]]
+    same[at[:-1]] = False
     shape = shape << np.uint64(1) | same
     prev = np.r_[np.uint64(0), word[:-1]]
     shape1, shape2 = np.r_[np.uint64(0), shape[:-1]], np.r_[np.zeros(2, np.uint64), shape[:-2]][: len(shape)]
+    shape2[at[:-1][np.diff(at) > 1] + 1] = 0  # grams of a first token do not reach into the text before
     k = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
         pairs = shape * k + shape1
@@ -128,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndar
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with column ``out``: how likely the text is of quality 1, from 0 to 1. Null counts as the empty text,
-    which gets the bias alone. The weights are 1 MiB and are broadcast; no rows move.
+    which gets the bias alone; texts are read whole, and equal ones get equal scores, alone or beside others; an empty
+    table stays empty; a column already named ``out`` is replaced. The weights are 1 MiB and are broadcast; no rows move.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

@@ -427,6 +427,26 @@ def test_ftrl_equals_plain_form():
         assert quality.dot([t], got)[0] == pytest.approx(want[quality.DIMS] + sum(want.get(i, 0.0) for r in idx for i in r) / max(1, len(idx)), abs=1e-5)
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
+def test_quality_query_equals_plain_form(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels, "doc_id").where(common.fold() != 1).select(F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id", "text", "quality").collect()
+    want = plain_ftrl([(r.text, r.quality) for r in sorted(known, key=lambda r: (r.h, r.doc_id))])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.QUERIES["op5_quality"](spark, FOLDER).collect():
+        rows = quality.hashed([texts[r.doc_id]])[0][1:].tolist()
+        odds = want[quality.DIMS] + sum(want.get(i, 0.0) for x in rows for i in x) / max(1, len(rows))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-4) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_quality_features_stay_inside_a_text():
+    texts = ["Aa 1!", "", None, "x", "BAD!!! text", "x y z"]
+    idx, at = quality.hashed(texts)
+    for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert np.array_equal(idx[a + 1 : b], quality.hashed([t])[0][1:])
+
+
 def test_shapes_are_of_whole_tokens():
     shapes = [quality.hashed([t])[0][1, 2] for t in ("x" * 200, "x" * 5000, "x" * 200 + "A0!", "x" * 5000 + "A0!")]
     assert shapes[0] == shapes[1] != shapes[2] == shapes[3]
@@ -531,6 +551,30 @@ def test_toxicity_models_of_any_size(spark, odd, monkeypatch):
     assert got[:2] == got[2:]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abЖ 1", max_size=60), min_size=1, max_size=4))
+def test_toxicity_features_equal_plain_form(texts):
+    rng = np.random.default_rng(len(texts[0]))
+    own = toxicity.grams(toxicity.encode(texts)[0])
+    lookup = toxicity.Lookup(*(x[::2] for x in own), rng.integers(-100, 100, len(own[0]))[::2].astype(np.int8))
+    known = {}
+    for a, b, c in zip(*(x[::2].tolist() for x in own), strict=True):
+        known[a, b, c] = int(lookup.get(*(np.array([v]) for v in (a, b, c)))[0])
+    for text, got in zip(texts, toxicity.features(texts, lookup), strict=True):
+        p = [ord(c) for c in " " * 4 + text.lower()]
+        pack = lambda i: (p[i] << 42 | p[i + 1] << 21 | p[i + 2], p[i + 3], p[i + 4])
+        r = [known.get(pack(i), 0) for i in range(len(p) - 4)]
+        want = [sum(r) / max(1, len(r))]
+        for w in toxicity.WINDOWS:
+            sums = [sum(r[max(0, i + 1 - w) : i + 1]) for i in range(len(r))]
+            if not sums:
+                want += [0.0, 0.0]
+                continue
+            best = max(range(len(sums)), key=lambda i: (sums[i], -i))
+            want += [sums[best] / w, max([0, *sums[: max(0, best - w + 1)], *sums[best + w :]]) / w]
+        assert got.tolist() == pytest.approx([x * toxicity.STEP for x in want], abs=1e-6)
+
+
 def test_ridge_is_chosen_by_rows_left_out():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 7))
@@ -757,6 +801,45 @@ def test_url_verdicts_on_held_out_hosts(spark):
     assert url_filter.Segmenter(model.words).split("jackpotfortune") == ("jackpot", "fortune")
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
+def test_url_query_equals_plain_form(spark):
+    """Verdicts of the driver's pages from plain counts of the tokens, and rules by trying all."""
+    pages = [(r.page_id, r.url or "", r.html or "") for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()]
+    parts = {}
+    for i, u, _ in pages:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
+        parts[i] = (m[1].translate(LOWER), m[2]) if m else ("", "")
+    host, path = url_filter.host_and_path(F.col("url"))
+    df = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    s = url_filter.Segmenter(url_filter.train(df.select(host.alias("host"), path.alias("path"))).words)
+    rows = []
+    for i, _, html in pages:
+        tokens = s.tokens(*parts[i])
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1|<[^>]*>?", " ", html.lower())
+        met = sum(w in url_filter.SEEDS for w in re.findall(r"\w+", text))
+        spoke = met >= url_filter.SPOKEN and met * url_filter.SPOKEN_IN >= len(re.findall(r"[^\W\d_]+", text))
+        rows.append((i, tokens, spoke or any(t[:2] == "h:" and t[2:] in url_filter.SEEDS for t in tokens)))
+    n = {b: Counter(t for _, tokens, bad in rows if bad == b for t in tokens) for b in (True, False)}
+    kinds, total = len(n[True] | n[False]) + 1, {b: sum(n[b].values()) for b in n}
+    prior = math.log((sum(b for *_, b in rows) + 1) / (sum(not b for *_, b in rows) + 1))
+
+    def odds(tokens):
+        out = prior
+        for t in tokens:
+            if n[True][t] + n[False][t]:
+                out += math.log((n[True][t] + 1) / (total[True] + kinds + 1)) - math.log((n[False][t] + 1) / (total[False] + kinds + 1))
+            elif t[:2] == "h:" and t[2:] in url_filter.SEEDS:
+                out += 8.0
+        return out
+
+    for r in queries.QUERIES["op8_url_filter"](spark, FOLDER).collect():
+        h, p = parts[r.page_id]
+        fits = [(len(a + b), a + b, v) for v, a, b in url_filter.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        tokens = next(t for i, t, _ in rows if i == r.page_id)
+        want = max(fits)[1:] if fits else (None, "block" if odds(tokens) > 0 else "allow")
+        assert (r.host, r.path, r.rule, r.verdict) == (h, p, *want)
+
+
 def test_labels_of_any_length_are_split():
     s = url_filter.Segmenter({"cheap": 50, "pills": 30, "incomprehensibilitiesandmore": 40})
     word = "cheapincomprehensibilitiesandmorepills"
@@ -870,6 +953,55 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
         assert df.where("not lossless").count() == 0 and (df.count() > 0) == (start is both)
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Each stage's rows, on what its predecessor kept, by plain means."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    weights = quality.train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    kept = {r.doc_id: r for r in docs.collect()}
+    df = docs
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, df, FOLDER).write.parquet(path)
+        df = spark.read.parquet(path)
+        got = {r.doc_id: r for r in df.collect()}
+        assert df.count() == len(got)
+        if name == "quality":
+            want = {}
+            for i, r in kept.items():
+                rows = quality.hashed([r.text])[0][1:].tolist()
+                if float(weights[quality.DIMS]) + sum(float(weights[k]) for x in rows for k in x) / max(1, len(rows)) >= 0:
+                    want[i] = r
+        elif name == "near_dedup":
+            rows = sorted((i, r.text) for i, r in kept.items())
+            want = {c: kept[c] for c in brute_classes(rows).values()}
+        elif name == "decontaminate":
+            want = {i: r for i, r in kept.items() if not brute_hits(r.text, bench)[1]}
+        elif name == "secrets":
+            assert set(got) == set(kept)
+            for i, r in kept.items():
+                out, at = [], 0
+                for a, _, b in brute_spans(r.text or ""):
+                    if a >= at:
+                        out += [r.text[at:a], "[SECRET]"]
+                    at = max(at, b)
+                text = "".join([*out, (r.text or "")[at:]]) if out else r.text
+                assert got[i].text == text and got[i].n_chars == (r.n_chars if text is None else len(text)) and got[i].source == r.source
+            want = got
+        else:
+            codec = unigram_codec.Codec(unigram_codec.read_model())
+            assert set(got) == set(kept)
+            for i, r in kept.items():
+                ids = got[i].ids
+                assert codec.decode(np.array(ids, np.int32), np.array([0, len(ids)])) == [(r.text or "").encode()] and got[i].n_tokens == len(ids)
+            want = got
+        assert got == want and 0 < len(got) <= len(kept)
+        kept = got
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
