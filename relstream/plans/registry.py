@@ -5,7 +5,7 @@ Times are epoch milliseconds and money integer cents, so both sides add exact nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relstream.functions import scalar
@@ -374,17 +374,18 @@ _ARRIVAL = f"(SELECT event_id, user_id, ms, max(ms) OVER (ORDER BY ms + (event_i
 def late_rows_tumble(spark, sf):
     """Rows that arrive after their tumbling window has closed, per user and window.
 
-    The clock is the running maximum over the arrival order. It is computed in two levels, per hour of arrival and then
-    over the hours' maxima, so that no task sorts all rows.
+    The clock is the running maximum over the arrival order. It is computed in three levels: rows within a second of
+    arrival, seconds within an hour, and hours, so no task sorts more rows than arrive in a second or seconds than an hour
+    has; only one number an hour meets in one task.
     """
-    from pyspark.sql import Window
-
-    e = _events(spark, sf).withColumn("at", F.col("ms") + (F.col("event_id") * 7919 % 11) * 600_000).withColumn("hour", F.floor(F.col("at") / HOUR))
-    hours = e.groupBy("hour").agg(F.max("ms").alias("m"))
-    past = hours.select("hour", F.max("m").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)).alias("past"))
-    e = e.join(past, "hour").withColumn("own", F.max("ms").over(Window.partitionBy("hour").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
-    start = scalar.floor_to("ms", HOUR)
-    late = e.withColumn("window_start", start).filter(F.col("window_start") + HOUR <= F.greatest("own", "past"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    e = _events(spark, sf).withColumn("at", F.col("ms") + (F.col("event_id") * 7919 % 11) * 600_000).withColumn("second", F.floor(F.col("at") / 1000))
+    seconds = e.groupBy("second").agg(F.max("ms").alias("m")).withColumn("hour", F.floor(F.col("second") / 3600))
+    hours = seconds.groupBy("hour").agg(F.max("m").alias("h")).select("hour", F.max("h").over(before(Window.orderBy("hour"))).alias("hours_past"))
+    seconds = seconds.join(hours, "hour").withColumn("seconds_past", F.max("m").over(before(Window.partitionBy("hour").orderBy("second"))))
+    e = e.join(seconds.select("second", F.greatest("hours_past", "seconds_past").alias("past")), "second")
+    e = e.withColumn("own", F.max("ms").over(Window.partitionBy("second").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    late = e.withColumn("window_start", scalar.floor_to("ms", HOUR)).filter(F.col("window_start") + HOUR <= F.greatest("own", "past"))
     return aggs.group_by(late, ["user_id", "window_start"], {"late": aggs.count_rows()})
 
 

@@ -91,6 +91,19 @@ def stream_top100(spark, sf):
     return replay.each_batch(_slid(replay, spark, sf), best, "window_start long, rank long, user_id long, segment string, n long, cents long")
 
 
+@query(f"SELECT window_start, count(*) AS users, CAST(sum(n) AS BIGINT) AS n FROM {_SLID} GROUP BY window_start")
+def stream_chained(spark, sf):
+    """Sliding windows per user, then sessions over the windows' own times, which gather all users of a window: two chained
+    stateful stages, each closed by event time.
+    """
+    replay = Replay(spark)
+    e = replay.stream(_slim(spark, sf), 3, order="event_id", ends=ENDS).withWatermark("ts", "2 seconds")
+    slid = e.groupBy("user_id", F.window("ts", f"{HOUR} milliseconds", f"{HOUR // 2} milliseconds").alias("w")).agg(aggs.count_rows().alias("n"))
+    slid = slid.select("w", "n", F.unix_millis("w.start").alias("window_start"))
+    gathered = slid.groupBy("window_start", F.session_window(F.window_time("w"), "1 second")).agg(aggs.count_rows().alias("users"), F.sum("n").alias("n"))
+    return replay.table(gathered.select("window_start", "users", "n")).where(F.col("window_start") < ENDS[0].ms - DAY)
+
+
 @query(f"SELECT event_id, user_id, ms FROM {_MIXED} a WHERE EXISTS (SELECT 1 FROM {_CLOCKS} c WHERE c.user_id = a.user_id AND c.b >= a.b AND c.m - a.ms >= {DELAY})")
 def stream_reorder(spark, sf):
     """What the reorder buffer has given out when all batches are in; newer rows are still held."""

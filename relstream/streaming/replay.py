@@ -31,7 +31,7 @@ class Replay:
         one file.
         """
         if batch is None:
-            bounds = df.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01)
+            bounds = df.approxQuantile(order, [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
             batch = fresh("batch")
             df = df.withColumn(batch, sum((F.col(order) > b).cast("int") for b in bounds) if bounds else F.lit(0))
         self.streams += 1
