@@ -420,7 +420,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     r, h = (f"_{c}{uuid.uuid4().hex[:8]}" for c in "rh")
     best = nodes.select(F.col("class_rid").alias(r), F.col("class_h").alias(h)).distinct()
     rid, own = _identity(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    kept = docs.withColumn(r, rid).withColumn(h, own).join(best, [r, h], "left_semi")
+    kept = docs.withColumn(r, rid).withColumn(h, own).join(best.hint("merge"), [r, h], "left_semi")  # neither side has a bound
     again = rows.groupBy("rid", "h").count().where("count > 1").select(F.col("rid").alias(r), F.col("h").alias(h))
     again = Scratch(docs.sparkSession, "near").cut(again)
     if not again.isEmpty():

@@ -375,6 +375,10 @@ def _headers(page: Page, counts: list[bool]) -> list[int]:
 
 
 def main_text(page: Column) -> Column:
+    """The main text of an HTML column, as ``extract`` gives it. Null, empty and textless pages give the empty text; pages of
+    any length are read whole; equal pages give equal texts.
+    """
+
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
