@@ -372,12 +372,14 @@ def test_media_contract(spark, odd, none):
 
 
 @pytest.mark.skipif(not os.path.isdir(BIGGER), reason="no driver tables")
-@pytest.mark.parametrize(("name", "label", "least"), [("op5_quality", "quality", 0.97), ("op9_toxicity", "toxic", 0.93)])
-def test_held_out_accuracy(spark, name, label, least):
+@pytest.mark.parametrize(("name", "label", "least", "recall"), [("op5_quality", "quality", 0.97, 0.97), ("op9_toxicity", "toxic", 0.93, 0.5)])
+def test_held_out_accuracy(spark, name, label, least, recall):
+    """Recall of toxic texts is bound by the 305 toxic training labels of this size."""
     got = queries.QUERIES[name](spark, BIGGER)
     labels = spark.read.parquet(f"{BIGGER}/labels.parquet")
-    right = got.where("held_out").join(labels, "doc_id").select((F.col("predicted") == F.col(label)).cast("int").alias("r")).agg(F.avg("r")).collect()[0][0]
-    assert right >= least
+    n = Counter({(r[0], r[1]): r[2] for r in got.where("held_out").join(labels, "doc_id").groupBy(label, "predicted").count().collect()})
+    assert n[0, 0] + n[1, 1] >= least * sum(n.values())
+    assert n[1, 1] >= recall * (n[1, 0] + n[1, 1]) and n[0, 1] <= 0.03 * (n[0, 0] + n[0, 1]) + 0.03 * sum(n.values())
 
 
 def test_classifiers_odd_inputs(spark, odd, none):
