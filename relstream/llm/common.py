@@ -112,17 +112,8 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of one table that ``cut`` gave."""
-        own = {f.rsplit("/", 1)[0] for f in df.inputFiles() if self.folder.rsplit("/", 1)[1] in f}
-        for path in own:
-            self._delete(path)
-
     def clear(self) -> None:
-        self._delete(self.folder)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -86,6 +86,11 @@ def suffix_array(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], at[order]
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def search(numbers: np.ndarray, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By window length: the places in the shard at which a test suffix was found, and which window it is."""
     for n, own in block.windows.items():
@@ -93,12 +98,7 @@ def search(numbers: np.ndarray, block: Block) -> Iterator[tuple[int, np.ndarray,
         low, high = np.searchsorted(keys, own.keys, "left"), np.searchsorted(keys, own.keys, "right")
         met = np.flatnonzero(high > low)
         count = high[met] - low[met]
-        yield n, places[np.repeat(low[met] - (np.cumsum(count) - count), count) + np.arange(count.sum())], np.repeat(met, count)
-
-
-def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one after the other."""
-    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        yield n, places[_ranges(low[met], count)], np.repeat(met, count)
 
 
 def _match(texts: list[str | None], block: Block) -> Iterator[dict]:
