@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from relstream.operators.table import where_rows
 from relstream.schema import check_columns, check_unique, fresh
 
 
@@ -58,6 +59,11 @@ def theta(left_side: DataFrame, right: DataFrame, condition: Column | str, how:
     return check_unique(left_side.join(right, F.expr(condition) if isinstance(condition, str) else condition, how))
 
 
+def inner_rows(left_side: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], function: Callable[[Row], bool | None], rename: dict[str, str] | None = None, null_safe: bool = True) -> DataFrame:
+    """Pairs of equal keys for whose joined row a Python callable holds. Pairs are made by key first, so keys should be selective."""
+    return where_rows(inner(left_side, right, on, rename, null_safe), function)
+
+
 def in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bucket: int, on: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Pairs with ``low <= point < high``: points and ranges meet in buckets of width ``bucket``, an equi-join.
 

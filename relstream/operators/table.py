@@ -36,6 +36,16 @@ def where(df: DataFrame, condition: Column | str) -> DataFrame:
     return df.filter(condition)
 
 
+def where_rows(df: DataFrame, function: Callable[[Row], bool | None]) -> DataFrame:
+    """Rows for which a Python callable holds; None counts as false. Only for what expressions can't say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(function(r)) for r in _rows(b)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def select(df: DataFrame, outputs: dict[str, Column], select_all: bool = False, keep: Column | None = None) -> DataFrame:
     """One row per row: the named outputs, after all input columns if ``select_all``; rows where ``keep`` is not true go."""
     kept = df if keep is None else df.filter(keep)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relstream.functions import scalar
-from relstream.operators import aggs, over, table, windows
+from relstream.operators import aggs, joins, over, table, windows
 from relstream.plans.book import EVENTS, HOUR, events, query
 from relstream.schema import SchemaBuilder
 from relstream.session import shared_folder
@@ -101,6 +101,18 @@ def date_with_zone(spark, sf):
 # ---- callables ---------------------------------------------------------------------------------------------------
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE length(p_name) % 2 = 0")
+def callable_where(spark, sf):
+    return table.where_rows(load(spark, sf, "part").select("p_partkey", "p_name"), lambda r: len(r.p_name) % 2 == 0)
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey AND length(n_name) > s_suppkey % 12")
+def callable_join(spark, sf):
+    """Keys match, then a callable decides on the joined row."""
+    s, n = load(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), load(spark, sf, "nation").select("n_nationkey", "n_name")
+    return joins.inner_rows(s, n, [("s_nationkey", "n_nationkey")], lambda r: len(r.n_name) > r.s_suppkey % 12).select("s_suppkey", "n_name")
+
+
 @query("SELECT p_partkey AS k, p_size * 2 AS twice FROM part WHERE p_size > 10")
 def callable_select(spark, sf):
     return table.select_rows(load(spark, sf, "part"), lambda r: (r.p_partkey, r.p_size * 2) if r.p_size > 10 else None, T.StructType.fromDDL("k long, twice int"))

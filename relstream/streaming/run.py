@@ -64,7 +64,11 @@ def with_heartbeat(df: DataFrame, time: str, rate: int = 1) -> DataFrame:
 
 
 class Metrics(StreamingQueryListener):
-    """Rows, rates and delays of every batch, newest last; at most ``keep`` of them."""
+    """Rows, rates, delays and held state of every batch, newest last; at most ``keep`` of them.
+
+    ``state_rows`` are the rows that operators hold, ``dropped`` those that came behind the watermark, ``waiting`` what
+    sources report as not yet read.
+    """
 
     def __init__(self, keep: int = 1000):
         self.keep, self.batches, self.failed = keep, [], []
@@ -74,7 +78,11 @@ class Metrics(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.batches.append({"name": p.name, "batch": p.batchId, "rows": p.numInputRows, "rows_per_s": p.processedRowsPerSecond, "ms": dict(p.durationMs).get("triggerExecution"), "watermark": dict(p.eventTime).get("watermark")})
+        self.batches.append({
+            "name": p.name, "batch": p.batchId, "rows": p.numInputRows, "rows_per_s": p.processedRowsPerSecond, "ms": dict(p.durationMs).get("triggerExecution"),
+            "watermark": dict(p.eventTime).get("watermark"), "state_rows": sum(o.numRowsTotal for o in p.stateOperators),
+            "dropped": sum(o.numRowsDroppedByWatermark for o in p.stateOperators), "waiting": [dict(s.metrics) for s in p.sources],
+        })
         del self.batches[: max(0, len(self.batches) - self.keep)]
 
     def onQueryIdle(self, event) -> None:
