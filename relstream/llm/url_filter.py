@@ -207,7 +207,8 @@ def train(urls: DataFrame, seeds: frozenset[str] = SEEDS) -> Model:
         got = rows.toArrow()
         return Lookup.of(*(got.column(c).to_numpy() for c in ("word", "n")), max(got.column("length").to_pylist(), default=0)).with_words(dict.fromkeys(seeds, 1))
 
-    plain = _counted(urls, lambda host, path, _: (lexicon_words(host, path), False)).select("word", "n", "length")
+    bare = urls.select("host", "path", F.lit(False).alias("evidence"))  # pages are read for their evidence once, below
+    plain = _counted(bare, lambda host, path, _: (lexicon_words(host, path), False)).select("word", "n", "length")
     words = table_of(plain)
     for _ in range(ROUNDS):
         shared = sc.broadcast(words)
