@@ -15,6 +15,9 @@ the centre. Components of verified links are found by contracting edges to the l
 members are still in several components is settled: its members outside the bucket's largest component meet all its
 members, again in blocks, so that no pair that shares a bucket stays undecided unless its two ends are linked anyway.
 Buckets never join up: what is compared follows from shared buckets and verified links alone.
+
+No table of this plan has a bound but those of hot keys, so all other joins are merge joins at every size: Spark would
+choose by the size of a table's files, and equal values take next to no room in these, so a broadcast could fill the driver.
 """
 
 from __future__ import annotations
@@ -275,10 +278,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             root = least.select(F.col("n").alias("node"), F.col("m").alias("root"))
         else:
             sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-            facts = scratch.cut(sizes.join(least, sizes["root"] == least["n"]).select("root", "m", "size"))
+            facts = scratch.cut(sizes.join(least.hint("merge"), sizes["root"] == least["n"]).select("root", "m", "size"))
             root = scratch.cut(hot_join(root, facts, "root", "size", root.count(), "left").select("node", F.coalesce("m", "root").alias("root")))
         x, y = least.toDF("a", "ma"), least.toDF("b", "mb")
-        edges = edges.join(x, "a").join(y, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
+        edges = edges.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
         edges = scratch.cut(edges)
         if edges.isEmpty():
             return root
@@ -330,19 +333,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     pairs = scratch.cut(hot_join(every, shared, "bucket", "n", total).select("bucket", "nid", "lo"))
     meets = pairs.where("nid <> lo").groupBy("nid", "lo").agg(F.count(one).alias("n"))
     pick = meets.groupBy("nid").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m")).select("nid", (-F.col("m.lo")).alias("star"))
-    pick = scratch.cut(pick.join(nodes.select("nid", "size"), "nid"))
+    pick = scratch.cut(pick.join(nodes.select("nid", "size").hint("merge"), "nid"))
     stars = scratch.cut(pick.groupBy("star").agg(F.count(one).alias("n"), F.sum("size").alias("s")).select("star", "n", _share(F.col("n"), F.col("s")).alias("blocks")))
     placed = hot_join(pick, stars, "star", "n", pick.count()).select("nid", "star", _place(F.col("blocks")).alias("i"))
-    wanted = placed.join(stars.select(F.col("star").alias("nid"), F.col("blocks").alias("own")), "nid", "full")
-    wanted = scratch.cut(wanted.join(nodes.select("nid", "rid", "h"), "nid"))
+    wanted = placed.join(stars.select(F.col("star").alias("nid"), F.col("blocks").alias("own")).hint("merge"), "nid", "full")
+    wanted = scratch.cut(wanted.join(nodes.select("nid", "rid", "h").hint("merge"), "nid"))
 
     # shingle sets of all documents that meet another, each read once
     again = scratch.cut(rows.groupBy("rid", "h").count().where("count > 1").select("rid", "h"))
-    # texts meet rows in a merge join at every size, as neither side has a bound
     texts = lambda w: base.select("rid", "h", "text").join(w.hint("merge"), ["rid", "h"]).select("nid", "star", "i", "own", "text")
     if again.isEmpty():
         found = texts(wanted)
     else:
+        again = again.hint("merge")
         found = texts(wanted.join(again, ["rid", "h"], "left_anti")).union(texts(wanted.join(again, ["rid", "h"], "left_semi")).dropDuplicates(["nid"]))
     sets = scratch.cut(found.select("nid", "star", "i", "own", shingle_set(F.col("text"), weighted).alias("s")).select("nid", "star", "i", "own", "s.*"))
     to = F.concat(
@@ -356,7 +359,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     if more is not None and not more.isEmpty():
         roots = components(scratch.cut(edges.union(more)), scratch)
 
-    member = scratch.cut(nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "id", "rid", "h", "copies", "root"))
+    member = scratch.cut(nodes.join(roots.withColumnRenamed("node", "nid").hint("merge"), "nid", "left").select("key", "id", "rid", "h", "copies", "root"))
     linked = member.where("root is not null")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.hex("key").alias("hex"), "rid", "h")).alias("m")
     best = scratch.cut(linked.groupBy("root").agg(best, F.count(one).alias("n")))
@@ -375,7 +378,8 @@ def _open_buckets(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, placed:
     buckets with the same members one is enough.
     """
     one = F.lit(1)
-    held = pairs.join(placed.select("nid", F.struct("star", "i").alias("block")), "nid", "left").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    held = pairs.join(placed.select("nid", F.struct("star", "i").alias("block")).hint("merge"), "nid", "left")
+    held = held.join(roots.withColumnRenamed("node", "nid").hint("merge"), "nid", "left")
     held = scratch.cut(held.withColumn("root", F.coalesce("root", "nid")))
     same = ["x", "n", "low", "high", "lo"]
     rest, first = F.when(F.col("nid") != F.col("lo"), F.col("block")), F.when(F.col("nid") == F.col("lo"), F.col("block"))
@@ -389,20 +393,21 @@ def _open_buckets(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, placed:
         return None
     total = several.agg(F.sum("n")).first()[0]
     held = hot_join(held.select("bucket", "nid", "root"), several, "bucket", "n", total)
-    held = scratch.cut(held.join(nodes.select("nid", "size"), "nid"))
+    held = scratch.cut(held.join(nodes.select("nid", "size").hint("merge"), "nid"))
     parts = held.groupBy("bucket", "root").agg(F.count(one).alias("n"), F.sum("size").alias("s"))
     facts = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "root")).alias("m"))
     facts = facts.select(
         "bucket", "n", F.col("m.root").alias("main"), _share(F.col("n"), F.col("s")).alias("blocks"),
         _share(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("parts"),
     )
-    dealt = hot_join(held, scratch.cut(facts), "bucket", "n", total)
+    dealt = scratch.cut(hot_join(held, scratch.cut(facts), "bucket", "n", total))
     to = F.concat(
         F.transform(_steps_to(F.col("parts")), lambda i: F.struct(i.alias("i"), _place(F.col("blocks")).alias("j"), F.lit(1).alias("side"))),
         F.transform(_steps_to(F.when(F.col("root") != F.col("main"), F.col("blocks"))), lambda j: F.struct(_place(F.col("parts")).alias("i"), j.alias("j"), F.lit(0).alias("side"))),
     )
-    dealt = scratch.cut(dealt.select("bucket", "nid", F.explode(to).alias("to")).select(F.col("bucket").alias("g"), "nid", "to.*"))
-    full = dealt.join(sets.select("nid", "elements", "counts"), "nid")
+    # members get their sets before they are dealt: one row of each in the join, not one a block
+    dealt = dealt.join(sets.select("nid", "elements", "counts").hint("merge"), "nid")
+    full = dealt.select(F.col("bucket").alias("g"), "nid", "elements", "counts", F.explode(to).alias("to")).select("g", "nid", "to.*", "elements", "counts")
     return scratch.cut(full.groupBy("g", "i", "j").applyInArrow(_links(threshold, weighted, True), "a long, b long"))
 
 
@@ -420,9 +425,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     r, h = (f"_{c}{uuid.uuid4().hex[:8]}" for c in "rh")
     best = nodes.select(F.col("class_rid").alias(r), F.col("class_h").alias(h)).distinct()
     rid, own = _identity(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    kept = docs.withColumn(r, rid).withColumn(h, own).join(best.hint("merge"), [r, h], "left_semi")  # neither side has a bound
+    kept = docs.withColumn(r, rid).withColumn(h, own).join(best.hint("merge"), [r, h], "left_semi")
     again = rows.groupBy("rid", "h").count().where("count > 1").select(F.col("rid").alias(r), F.col("h").alias(h))
-    again = Scratch(docs.sparkSession, "near").cut(again)
+    again = Scratch(docs.sparkSession, "near").cut(again).hint("merge")
     if not again.isEmpty():
         kept = kept.join(again, [r, h], "left_anti").union(kept.join(again, [r, h], "left_semi").dropDuplicates([r, h]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

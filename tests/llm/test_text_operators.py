@@ -896,6 +896,28 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert found == {(rows[i][0], c) for i, c in want.items()}
 
 
+def test_near_duplicates_broadcast_hot_keys_alone(spark, monkeypatch):
+    """Tables without a bound are never broadcast, whatever their files' size; wide open buckets give the classes of brute force."""
+    cut, plans = dart_minhash.Scratch.cut, []
+    monkeypatch.setattr(dart_minhash.Scratch, "cut", lambda self, df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), cut(self, df))[1])
+    monkeypatch.setattr(dart_minhash, "BLOCK_DOCS", 10)
+    rng = np.random.default_rng(4)
+    rows = near_rows(families=1, members=5)
+    for k in range(120):  # of one base, mostly not similar: they meet in buckets that stay open
+        own = [f"b{i}" for i in range(60)]
+        for i in rng.choice(60, 3, replace=False):
+            own[i] = f"y{rng.integers(1 << 40)}"
+        rows.append((5000 + k, " ".join(own)))
+    df = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.class_id) for r in dart_minhash.labelled(*dart_minhash.classes(df)).collect()}
+    assert got == {(rows[i][0], c) for i, c in brute_classes(rows).items()}
+    assert sum("FlatMapGroupsInArrow" in p for p in plans) == 2
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    hot = [line for line in joins if "BroadcastHashJoin" in line and not any(k in line for k in ("[bucket#", "[star#", "[root#", "[key#"))]
+    assert joins and not hot
+    assert not any("Broadcast" in p for p in plans if "FlatMapGroupsInArrow" in p)
+
+
 def test_dedup_keeps_one_row_of_each_class(spark, odd, none):
     rows = near_rows()
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key int")
