@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,34 +68,61 @@ def first_ms(df: DataFrame, time: str) -> Column:
     return df.agg(F.min(F.unix_millis(time))).scalar()
 
 
+def _by_groups(df: DataFrame, first: str, at: str, function: Callable[[int, int, pd.DataFrame], list[tuple] | None], schema: T.StructType) -> DataFrame:
+    """``function`` over groups of rows that lie one behind the other in each partition, ``first`` being true on a group's first row.
+
+    It gets ``at`` of a group's first and last row, and the rows without both columns. Groups are cut out of whole Arrow
+    batches, as a conversion for each would cost far more than a group of a few rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: list[pd.DataFrame] = []  # the group that the next batch may go on with
+        low = high = 0
+
+        def table(got: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(got, columns=schema.names, dtype=object).infer_objects()
+
+        for b in batches:
+            cuts, when, b = b[first].to_numpy(bool).nonzero()[0].tolist(), b[at].tolist(), b.drop(columns=[first, at])
+            if not when:
+                continue
+            got, begin = [], cuts[0] if cuts else len(when)
+            if begin:
+                open_.append(b.iloc[:begin])
+                high = when[begin - 1]
+            if not cuts:
+                continue
+            if open_:
+                got += function(low, high, pd.concat(open_)) or ()
+            for i, j in zip(cuts, cuts[1:]):
+                got += function(when[i], when[j - 1], b.iloc[i:j]) or ()
+            open_, low, high = [b.iloc[cuts[-1] :]], when[cuts[-1]], when[-1]
+            yield table(got)
+        if open_:
+            yield table(list(function(low, high, pd.concat(open_)) or ()))
+
+    return df.mapInPandas(run, schema)
+
+
 def slide_rows(df: DataFrame, size_ms: int, slide_ms: int, keys: Sequence[str], time: str, function: Callable[[tuple, pd.DataFrame], list[tuple]], schema: T.StructType, origin_ms: int | Column | None = None) -> DataFrame:
     """Hopping windows by a Python callable: ``function((window_start, window_end), rows in time order)`` gives any number of rows.
 
     All rows of a key and window pass through one call, so prefer ``slide`` where an aggregate can say it.
     """
-    ws, origin = fresh("start"), fresh("origin")
+    ws, origin, first = fresh("start"), fresh("origin"), fresh("first")
     given = origin_ms if origin_ms is None or isinstance(origin_ms, int) else F.col(origin)
     held = df if given is origin_ms else df.withColumn(origin, origin_ms)
     held = held.withColumn(ws, F.explode(starts(time, size_ms, slide_ms, given))).drop(origin)
+    held = held.withColumn(first, F.row_number().over(Window.partitionBy(*keys, ws).orderBy(time)) == 1)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = int(rows[ws].iloc[0])
-        got = function((first, first + size_ms), rows.drop(columns=ws).sort_values(time, kind="stable"))
-        return pd.DataFrame(got or [], columns=schema.names)
-
-    return held.groupBy(*keys, ws).applyInPandas(run, schema)
+    return _by_groups(held, first, ws, lambda start, _, rows: function((start, start + size_ms), rows), schema)
 
 
 def session_rows(df: DataFrame, timeout_ms: int, keys: Sequence[str], time: str, function: Callable[[tuple, pd.DataFrame], list[tuple]], schema: T.StructType) -> DataFrame:
     """Sessions of a bounded table by a Python callable over (first, last + 1 ms) and the session's rows in time order."""
-    ms, new, own = fresh("ms"), fresh("new"), fresh("session")
+    ms, first = fresh("ms"), fresh("first")
     w = Window.partitionBy(*keys).orderBy(ms)
-    held = df.withColumn(ms, F.unix_millis(time)).withColumn(new, (F.col(ms) - F.lag(ms).over(w) >= timeout_ms).cast("int"))
-    held = held.withColumn(own, F.sum(F.coalesce(new, F.lit(0))).over(w))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ms, kind="stable")
-        bounds = int(rows[ms].iloc[0]), int(rows[ms].iloc[-1]) + 1
-        return pd.DataFrame(function(bounds, rows.drop(columns=[ms, new, own])) or [], columns=schema.names)
+    held = df.withColumn(ms, F.unix_millis(time))
+    held = held.withColumn(first, F.coalesce(F.col(ms) - F.lag(ms).over(w) >= timeout_ms, F.lit(True)))
 
-    return held.groupBy(*keys, own).applyInPandas(run, schema)
+    return _by_groups(held, first, ms, lambda low, high, rows: function((low, high + 1), rows), schema)

@@ -127,3 +127,20 @@ def test_union_and_order(spark):
     assert table.union_distinct([df, df]).count() == 3 and table.union_distinct([]) is None
     assert [r.v for r in table.order_by(df, "v", limit=2, offset=1).collect()] == [1, 2]
     assert isinstance(table.order_by(df, F.desc("v")).first(), Row)
+
+
+def test_callable_windows_cut_groups_out_of_whole_batches(spark):
+    """Groups of one row and of several Arrow batches, null keys, nulls beside large numbers; no call of the worker for each group."""
+    rows = [("a", t) for t in range(0, 50)] + [(None, t) for t in (3, 100, 101)] + [("b", 7)]
+    df = spark.createDataFrame(rows, "k string, t long").select("k", F.timestamp_millis("t").alias("ts"))
+    out = T.StructType.fromDDL("k string, s long, e long, n long, big long")
+    one = lambda w, g: [(g.k.iloc[0], *w, len(g), None if g.k.iloc[0] is None else 2**62 + 1)] if g.ts.is_monotonic_increasing else None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        slid, met = windows.slide_rows(df, 100, 100, ["k"], "ts", one, out), windows.session_rows(df, 10, ["k"], "ts", one, out)
+        assert {tuple(r) for r in slid.collect()} == {("a", 0, 100, 50, 2**62 + 1), ("b", 0, 100, 1, 2**62 + 1), (None, 0, 100, 1, None), (None, 100, 200, 2, None)}
+        assert {tuple(r) for r in met.collect()} == {("a", 0, 50, 50, 2**62 + 1), ("b", 7, 8, 1, 2**62 + 1), (None, 3, 4, 1, None), (None, 100, 102, 2, None)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (slid, met)]
+    assert all("MapInPandas" in p and "FlatMapGroups" not in p for p in plans)
