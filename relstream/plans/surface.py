@@ -79,7 +79,8 @@ def group_stats(spark, sf):
 @query("SELECT l_returnflag, true AS close FROM lineitem GROUP BY l_returnflag")
 def approx_distinct_bound(spark, sf):
     """Approximate distinct counts are within six standard errors (2 % each) of the exact ones."""
-    found = load(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("n"))
+    parts = load(spark, sf, "lineitem").select("l_returnflag", "l_partkey").distinct()  # a sketch of distinct values is that of all
+    found = parts.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count("l_partkey").alias("n"))
     return found.select("l_returnflag", (F.abs(F.col("a") - F.col("n")) <= 0.12 * F.col("n")).alias("close"))
 
 

@@ -50,3 +50,10 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_top_n_is_limited_before_the_shuffle(spark):
     plan = registry.QUERIES["topn_per_group"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_sketches_are_formed_once_per_group_not_per_value(spark):
+    """A sketch of 2 % takes kilobytes, so a shuffle by group and value must not carry one for each value."""
+    plan = registry.QUERIES["approx_distinct_bound"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "HashAggregate(keys=[l_returnflag" in line or "ObjectHashAggregate" in line]
+    assert steps and not any("approx_count_distinct" in s and "l_partkey" in s.split("functions=")[0] for s in steps), plan
