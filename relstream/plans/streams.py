@@ -1,6 +1,6 @@
 """Stream operators as registered queries: driver tables replayed in micro-batches and run to their end.
 
-Rows come in time order where nothing else is said; where they do not, the batch or the place of a row follows from its
+Rows come in time order where nothing else is said, whatever order their numbers have; where they do not, the batch or the place of a row follows from its
 number, in Spark and in SQL alike.
 """
 
@@ -26,6 +26,8 @@ ENDS = [Row(user_id=-1, event_id=-i, ms=m, ts=datetime.fromtimestamp(m / 1000, t
 _MIXED = f"(SELECT *, event_id * 7919 % 3 AS b FROM {EVENTS})"
 _CLOCKS = f"(SELECT user_id, b, max(ms) AS m FROM {_MIXED} GROUP BY ALL)"
 DELAY = 3 * DAY
+#: Sets of keys that share a call of a stateful operator: a replay's batches are large and meet nearly all keys.
+SHARDS = 4096
 #: Arrival up to 100 minutes behind the event, by its number.
 _ARRIVED = f"(SELECT *, (ms + (event_id * 7919 % 11) * 600000) * 1000000 + event_id % 1000000 AS seq FROM {EVENTS})"
 
@@ -47,7 +49,7 @@ FROM (SELECT *, (ms // {HOUR // 2} - k) * {HOUR // 2} AS ws FROM {EVENTS}, (VALU
 
 
 def _slid(replay, spark, sf):
-    e = replay.stream(_slim(spark, sf), 3, order="event_id", ends=ENDS).withWatermark("ts", "2 seconds")
+    e = replay.stream(_slim(spark, sf), 3, order="ms", ends=ENDS).withWatermark("ts", "2 seconds")
     return windows.slide(e, HOUR, HOUR // 2, ["user_id"], "ts", {"n": aggs.count_rows(), "cents": aggs.sum0("cents")})
 
 
@@ -60,7 +62,7 @@ def stream_slide(spark, sf):
 @query(f"SELECT user_id, ms // {DAY} * {DAY} AS window_start, ms // {DAY} * {DAY} + {DAY} AS window_end, count(*) AS n FROM {EVENTS} GROUP BY ALL")
 def stream_tumble(spark, sf):
     replay = Replay(spark)
-    e = replay.stream(_slim(spark, sf), 3, order="event_id", ends=ENDS).withWatermark("ts", "2 seconds")
+    e = replay.stream(_slim(spark, sf), 3, order="ms", ends=ENDS).withWatermark("ts", "2 seconds")
     return replay.table(windows.tumble(e, DAY, ["user_id"], "ts", {"n": aggs.count_rows()})).where("user_id >= 0")
 
 
@@ -69,7 +71,7 @@ SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS s FROM (
 SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) >= {6 * HOUR} THEN 1 ELSE 0 END AS new FROM {EVENTS})) GROUP BY user_id, s""")
 def stream_session(spark, sf):
     replay = Replay(spark)
-    e = replay.stream(_slim(spark, sf), 3, order="event_id", ends=ENDS).withWatermark("ts", "2 seconds")
+    e = replay.stream(_slim(spark, sf), 3, order="ms", ends=ENDS).withWatermark("ts", "2 seconds")
     return replay.table(windows.session(e, 6 * HOUR, ["user_id"], "ts", {"n": aggs.count_rows()})).where("user_id >= 0")
 
 
@@ -97,7 +99,7 @@ def stream_chained(spark, sf):
     stateful stages, each closed by event time.
     """
     replay = Replay(spark)
-    e = replay.stream(_slim(spark, sf), 3, order="event_id", ends=ENDS).withWatermark("ts", "2 seconds")
+    e = replay.stream(_slim(spark, sf), 3, order="ms", ends=ENDS).withWatermark("ts", "2 seconds")
     slid = e.groupBy("user_id", F.window("ts", f"{HOUR} milliseconds", f"{HOUR // 2} milliseconds").alias("w")).agg(aggs.count_rows().alias("n"))
     slid = slid.select("w", "n", F.unix_millis("w.start").alias("window_start"))
     gathered = slid.groupBy("window_start", F.session_window(F.window_time("w"), "1 second")).agg(aggs.count_rows().alias("users"), F.sum("n").alias("n"))
@@ -124,22 +126,22 @@ def stream_in_order(spark, sf):
     """Rows older than one of their key that came before them are dropped."""
     replay = Replay(spark)
     e = _arrived(_slim(spark, sf).select("event_id", "user_id", "ms"))
-    return replay.table(stateful.in_order(replay.stream(e, 3, order="seq"), ["user_id"], "ms", "seq")).select("event_id", "user_id", "ms")
+    return replay.table(stateful.in_order(replay.stream(e, 3, order="seq"), ["user_id"], "ms", "seq", shards=SHARDS)).select("event_id", "user_id", "ms")
 
 
 @query(f"SELECT event_id, count(*) OVER w AS n, CAST(sum(cents) OVER w AS BIGINT) AS cents FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def stream_over_by_size(spark, sf):
     replay = Replay(spark)
-    e = replay.stream(_slim(spark, sf).select("event_id", "user_id", "ms", F.col("cents").alias("c")), 3, order="event_id")
-    done = stateful.rows_over(e, ["user_id"], ["ms", "event_id"], 5, lambda rows: (len(rows), sum(r.c for r in rows)), "n long, cents long")
+    e = replay.stream(_slim(spark, sf).select("event_id", "user_id", "ms", F.col("cents").alias("c")), 3, order="ms")
+    done = stateful.rows_over(e, ["user_id"], ["ms", "event_id"], 5, lambda rows: (len(rows), sum(r.c for r in rows)), "n long, cents long", shards=SHARDS)
     return replay.table(done).select("event_id", "n", "cents")
 
 
 @query(f"SELECT event_id, count(*) OVER w AS n, CAST(sum(cents) OVER w AS BIGINT) AS cents FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN CURRENT ROW AND {DAY - 1} FOLLOWING)")
 def stream_over_by_duration(spark, sf):
     replay = Replay(spark)
-    e = replay.stream(_slim(spark, sf).withColumnRenamed("cents", "c"), 3, order="event_id", ends=ENDS)
-    done = stateful.duration_over(e, ["user_id"], "ms", DAY, lambda rows: (len(rows), sum(r.c or 0 for r in rows)), "n long, cents long", "ts", "2 seconds")
+    e = replay.stream(_slim(spark, sf).withColumnRenamed("cents", "c"), 3, order="ms", ends=ENDS)
+    done = stateful.duration_over(e, ["user_id"], "ms", DAY, lambda rows: (len(rows), sum(r.c or 0 for r in rows)), "n long, cents long", "ts", "2 seconds", shards=SHARDS)
     return replay.table(done).where("event_id >= 0").select("event_id", "n", "cents")
 
 
@@ -147,13 +149,13 @@ def stream_over_by_duration(spark, sf):
 def stream_window_rows(spark, sf):
     """A callable gives any number of rows for each window of a key."""
     replay = Replay(spark)
-    e = replay.stream(_slim(spark, sf), 3, order="event_id", ends=ENDS)
+    e = replay.stream(_slim(spark, sf), 3, order="ms", ends=ENDS)
 
     def kinds(window, rows):
         met = [r.cents % 3 for r in rows]
         return [(rows[0].user_id, window[0], k, met.count(k)) for k in sorted(set(met))]
 
-    done = stateful.window_rows(e, ["user_id"], "ms", DAY, DAY, kinds, "user_id long, window_start long, kind long, n long", "ts", "2 seconds")
+    done = stateful.window_rows(e, ["user_id"], "ms", DAY, DAY, kinds, "user_id long, window_start long, kind long, n long", "ts", "2 seconds", shards=SHARDS)
     return replay.table(done).where("user_id >= 0")
 
 
@@ -161,9 +163,9 @@ def stream_window_rows(spark, sf):
 def stream_window_row(spark, sf):
     """A callable gives one row for each hopping window of a key."""
     replay = Replay(spark)
-    e = replay.stream(_slim(spark, sf), 3, order="event_id", ends=ENDS)
+    e = replay.stream(_slim(spark, sf), 3, order="ms", ends=ENDS)
     span = lambda window, rows: [(rows[0].user_id, window[0], rows[-1].ms - rows[0].ms)]
-    done = stateful.window_rows(e, ["user_id"], "ms", DAY, DAY // 2, span, "user_id long, window_start long, span long", "ts", "2 seconds")
+    done = stateful.window_rows(e, ["user_id"], "ms", DAY, DAY // 2, span, "user_id long, window_start long, span long", "ts", "2 seconds", shards=SHARDS)
     return replay.table(done).where("user_id >= 0")
 
 

@@ -7,10 +7,13 @@ taken in time order, so results do not depend on how a batch was read.
 from __future__ import annotations
 
 import json
+import pickle
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,14 +22,57 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 Aggregate = Callable[[list[Row]], tuple | None]
 
 
-def _plain(rows: Iterator[Row]) -> list[Row]:
-    return [r if isinstance(r, Row) else Row(**r.asDict()) for r in rows]
+#: Types whose values are equal in Python where they are equal as grouping keys.
+EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.DecimalType)
+SHARD = "_shard"
+
+
+def _plain(rows: Iterator[Row], names: Sequence[str] | None = None) -> list[Row]:
+    """The rows, with the named columns only."""
+    found = [r if isinstance(r, Row) else Row(**r.asDict()) for r in rows]
+    if names is None or not found or found[0].__fields__ == list(names):
+        return found
+    make, places = Row(*names), [found[0].__fields__.index(n) for n in names]
+    return [make(*[r[i] for i in places]) for r in found]
+
+
+def _dealt(df: DataFrame, keys: Sequence[str], shards: int | None) -> tuple[Any, list[str]]:
+    """``df`` grouped for a processor, and the keys that the processor has to tell apart in a group.
+
+    A group is a key, or with ``shards`` one of so many sets of keys: a call and its round trips to the state store then
+    serve many keys. That suits large batches; a batch reads the state of all keys of the sets it meets.
+    """
+    if shards is None or not all(isinstance(df.schema[k].dataType, EXACT) or df.schema[k].dataType == T.StringType() for k in keys):
+        return df.groupBy(*keys), []
+    return df.withColumn(SHARD, F.pmod(F.hash(*keys), F.lit(shards))).groupBy(SHARD), list(keys)
+
+
+def _by_key(rows: Sequence[Row], keys: Sequence[str]) -> dict[tuple, list[Row]]:
+    if not keys:
+        return {(): list(rows)} if rows else {}
+    found: dict[tuple, list[Row]] = {}
+    for r in rows:
+        found.setdefault(tuple([r[k] for k in keys]), []).append(r)
+    return found
+
+
+def _held(state: Any, schema: T.StructType) -> list[Row]:
+    make = Row(*schema.names)
+    return [make(*s) for (blob,) in state.get() for s in pickle.loads(blob)] if state.exists() else []
+
+
+#: State of held rows: pickled lists of row tuples, as the store takes tens of microseconds for a value of its own.
+BLOBS, BLOB_ROWS = "blob binary", 10_000
+
+
+def _blobs(rows: list[Row]) -> list[tuple]:
+    return [(pickle.dumps([tuple(r) for r in rows[i : i + BLOB_ROWS]]),) for i in range(0, len(rows), BLOB_ROWS)]
 
 
 def _store(state: Any, rows: list[Row]) -> None:
     """The store takes no empty list."""
     if rows:
-        state.put([tuple(r) for r in rows])
+        state.put(_blobs(rows))
     else:
         state.clear()
 
@@ -34,26 +80,27 @@ def _store(state: Any, rows: list[Row]) -> None:
 class RowsOver(StatefulProcessor):
     """For every arriving row an aggregate over the last ``size`` rows by order key, itself included."""
 
-    def __init__(self, schema: T.StructType, order: Sequence[str], size: int, aggregate: Aggregate, outputs: Sequence[str]):
-        self.out = [*schema.names, *outputs]
+    def __init__(self, schema: T.StructType, order: Sequence[str], size: int, aggregate: Aggregate, outputs: Sequence[str], keys: Sequence[str] = ()):
+        self.out, self.keys = [*schema.names, *outputs], keys
         self.schema, self.order, self.size, self.aggregate = schema, list(order), size, aggregate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", self.schema)
+        self.rows = handle.getListState("rows", BLOBS)
 
     def _key(self, r: Row) -> tuple:
         return tuple((r[o] is not None, r[o]) for o in self.order)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        names = self.schema.names
-        held = [Row(*names)(*s) for s in self.rows.get()] if self.rows.exists() else []
-        for r in sorted(_plain(rows), key=self._key):
-            insort(held, r, key=self._key)  # held stays sorted; a row in time goes to its end
-            del held[: max(0, len(held) - self.size)]
-            got = self.aggregate(held)
-            if got is not None:
-                yield Row(*self.out)(*r, *got)
-        _store(self.rows, held)
+        held, make = _by_key(_held(self.rows, self.schema), self.keys), Row(*self.out)
+        for k, new in _by_key(_plain(rows, self.schema.names), self.keys).items():
+            last = held.setdefault(k, [])
+            for r in sorted(new, key=self._key):
+                insort(last, r, key=self._key)  # stays sorted; a row in time goes to its end
+                del last[: max(0, len(last) - self.size)]
+                got = self.aggregate(last)
+                if got is not None:
+                    yield make(*r, *got)
+        _store(self.rows, [r for last in held.values() for r in last])
 
     def close(self) -> None:
         pass
@@ -62,37 +109,38 @@ class RowsOver(StatefulProcessor):
 class DurationOver(StatefulProcessor):
     """A row is final once event time has passed its time plus ``size_ms``; then it comes out with an aggregate over the rows of its key from its time up to ``size_ms - 1`` later."""
 
-    def __init__(self, schema: T.StructType, time: str, size_ms: int, aggregate: Aggregate, outputs: Sequence[str]):
-        self.out = [*schema.names, *outputs]
+    def __init__(self, schema: T.StructType, time: str, size_ms: int, aggregate: Aggregate, outputs: Sequence[str], keys: Sequence[str] = ()):
+        self.out, self.keys = [*schema.names, *outputs], keys
         self.schema, self.time, self.size, self.aggregate = schema, time, size_ms, aggregate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.schema)
+        self.rows = handle.getListState("rows", BLOBS)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = _plain(rows)
-        for r in new:
-            self.rows.appendValue(tuple(r))
-        for t in {r[self.time] for r in new}:
-            self.handle.registerTimer(t + self.size)
+        new = _plain(rows, self.schema.names)
+        self.rows.appendList(_blobs(new))
+        self.handle.registerTimer(min(r[self.time] for r in new) + self.size)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        # the first timer of a batch takes all that is final by now, so that state is written once
+        # the first timer of a batch takes all that is final by now, so that state is written once; the rest gets one timer
         due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - self.size
-        names = self.schema.names
-        held = sorted((Row(*names)(*s) for s in self.rows.get()), key=lambda r: r[self.time]) if self.rows.exists() else []
-        times = [r[self.time] for r in held]
-        final = bisect_right(times, due)
-        out = []
-        for r in held[:final]:
-            t = r[self.time]
-            got = self.aggregate(held[bisect_left(times, t) : bisect_left(times, t + self.size)])
-            if got is not None:
-                out.append(Row(*self.out)(*r, *got))
-        if final:
-            _store(self.rows, held[final:])
+        make, out, rest, done = Row(*self.out), [], [], 0
+        for held in _by_key(_held(self.rows, self.schema), self.keys).values():
+            held.sort(key=lambda r: r[self.time])
+            times = [r[self.time] for r in held]
+            final = bisect_right(times, due)
+            for r, t in zip(held[:final], times):
+                got = self.aggregate(held[bisect_left(times, t) : bisect_left(times, t + self.size)])
+                if got is not None:
+                    out.append(make(*r, *got))
+            rest += held[final:]
+            done += final
+        if done:
+            _store(self.rows, rest)
+        if done and rest:
+            self.handle.registerTimer(min(r[self.time] for r in rest) + self.size)
         return iter(out)
 
     def close(self) -> None:
@@ -109,11 +157,11 @@ class Reorder(StatefulProcessor):
         self.schema, self.time, self.delay = schema, time, delay_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", self.schema)
+        self.rows = handle.getListState("rows", BLOBS)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         new = _plain(rows)
-        held = [Row(*self.schema.names)(*s) for s in self.rows.get()] if self.rows.exists() else []
+        held = _held(self.rows, self.schema)
         ready, held = release(held + new, max(r[self.time] for r in new), self.time, self.delay)
         _store(self.rows, held)
         yield from ready
@@ -187,7 +235,8 @@ class CompatSlideProcessor(StatefulProcessor):
     none holds a row.
     """
 
-    def __init__(self, key: str, time: str, size_ms: int, slide_ms: int, order: str, idle_ms: int | None = None):
+    def __init__(self, key: str, time: str, size_ms: int, slide_ms: int, order: str, idle_ms: int | None = None, whole: bool = False):
+        self.whole = whole  # the order is a column of whole numbers
         self.key, self.time, self.size, self.slide, self.order, self.idle = key, time, size_ms, slide_ms, order, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -212,8 +261,16 @@ class CompatSlideProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         window = self._load()
-        for r in sorted(_plain(rows), key=lambda r: r[self.order]):
-            yield from self._out(key, window.add(r[self.key], r[self.time], r[self.time]))
+        # a batch of a clock is put in order by its numbers: row objects of all of it would take a kilobyte each
+        names: dict[str, str] = {}
+        users, times, orders = [], array("q"), array("q") if self.whole else []
+        for r in rows:
+            users.append(names.setdefault(r[self.key], r[self.key]))
+            times.append(r[self.time])
+            orders.append(r[self.order])
+        places = np.argsort(np.frombuffer(orders, np.int64), kind="stable") if self.whole else sorted(range(len(orders)), key=orders.__getitem__)
+        for i in places:
+            yield from self._out(key, window.add(users[i], times[i], times[i]))
         self._save(window)
         if self.idle is not None:
             for t in list(self.handle.listTimers()):
@@ -234,12 +291,13 @@ class WindowRows(StatefulProcessor):
     time order)`` gives any number of output rows. A row for a window that has fired is left out of it.
     """
 
-    def __init__(self, schema: T.StructType, time: str, size_ms: int, slide_ms: int, function: Callable[[tuple[int, int], list[Row]], list[tuple]], outputs: Sequence[str]):
+    def __init__(self, schema: T.StructType, time: str, size_ms: int, slide_ms: int, function: Callable[[tuple[int, int], list[Row]], list[tuple]], outputs: Sequence[str], keys: Sequence[str] = ()):
+        self.keys = keys
         self.schema, self.time, self.size, self.slide, self.function, self.outputs = schema, time, size_ms, slide_ms, function, list(outputs)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.schema)
+        self.rows = handle.getListState("rows", BLOBS)
         self.fired = handle.getValueState("fired", "upto long")
 
     def _starts(self, t: int) -> range:
@@ -247,27 +305,35 @@ class WindowRows(StatefulProcessor):
         return range(last - (self.size - 1 - t % self.slide) // self.slide * self.slide, last + 1, self.slide)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = _plain(rows)
-        for r in new:
-            self.rows.appendValue(tuple(r))
-        for end in {s + self.size for r in new for s in self._starts(r[self.time])}:
-            self.handle.registerTimer(end)
+        new = _plain(rows, self.schema.names)
+        self.rows.appendList(_blobs(new))
+        self.handle.registerTimer(min(self._starts(r[self.time])[0] for r in new) + self.size)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        # the first timer of a batch fires all that is due by now; rows behind event time do not come in, so one mark does for all keys
         upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         before = self.fired.get()[0] if self.fired.exists() else None
         if before is not None and upto <= before or not self.rows.exists():
             return iter(())
-        held = sorted((Row(*self.schema.names)(*s) for s in self.rows.get()), key=lambda r: r[self.time])
-        windows: dict[int, list[Row]] = {}
-        for r in held:
-            for s in self._starts(r[self.time]):
-                if s + self.size <= upto and (before is None or s + self.size > before):
-                    windows.setdefault(s, []).append(r)
+        make, out, rest, next_end = Row(*self.outputs), [], [], None
+        for held in _by_key(_held(self.rows, self.schema), self.keys).values():
+            windows: dict[int, list[Row]] = {}
+            for r in sorted(held, key=lambda r: r[self.time]):
+                starts = self._starts(r[self.time])
+                for s in starts:
+                    if s + self.size > upto:
+                        next_end = s + self.size if next_end is None else min(next_end, s + self.size)
+                    elif before is None or s + self.size > before:
+                        windows.setdefault(s, []).append(r)
+                if starts[-1] + self.size > upto:
+                    rest.append(r)
+            out += [make(*x) for s in sorted(windows) for x in self.function((s, s + self.size), windows[s]) or ()]
         self.fired.update((upto,))
-        _store(self.rows, [r for r in held if self._starts(r[self.time])[-1] + self.size > upto])
-        return iter([Row(*self.outputs)(*x) for s in sorted(windows) for x in self.function((s, s + self.size), windows[s]) or ()])
+        _store(self.rows, rest)
+        if next_end is not None:
+            self.handle.registerTimer(next_end)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -276,19 +342,22 @@ class WindowRows(StatefulProcessor):
 class InOrder(StatefulProcessor):
     """Rows of a key that are no older than its newest one before them in ``order``; older ones are dropped."""
 
-    def __init__(self, time: str, order: str):
-        self.time, self.order = time, order
+    def __init__(self, schema: T.StructType, time: str, order: str, keys: Sequence[str] = ()):
+        self.schema, self.time, self.order, self.keys = schema, time, order, keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "ms long")
+        self.newest = handle.getListState("newest", T.StructType([*[self.schema[k] for k in self.keys], T.StructField("newest", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        for r in sorted(_plain(rows), key=lambda r: r[self.order]):
-            if newest is None or r[self.time] >= newest:
-                newest = r[self.time]
-                yield r
-        self.newest.update((newest,))
+        newest = {tuple(s)[:-1]: s[-1] for s in self.newest.get()} if self.newest.exists() else {}
+        for k, new in _by_key(_plain(rows, self.schema.names), self.keys).items():
+            last = newest.get(k)
+            for r in sorted(new, key=lambda r: r[self.order]):
+                if last is None or r[self.time] >= last:
+                    last = r[self.time]
+                    yield r
+            newest[k] = last
+        self.newest.put([(*k, t) for k, t in newest.items()])
 
     def close(self) -> None:
         pass
@@ -323,15 +392,16 @@ def _added(schema: T.StructType, outputs: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(outputs).fields])
 
 
-def rows_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, aggregate: Aggregate, outputs: str) -> DataFrame:
-    """Streaming over-by-size: input columns and ``outputs`` (DDL) for every row."""
-    return df.groupBy(*keys).transformWithState(RowsOver(df.schema, order, size, aggregate, T.StructType.fromDDL(outputs).names), _added(df.schema, outputs), "Append", "None")
+def rows_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, aggregate: Aggregate, outputs: str, shards: int | None = None) -> DataFrame:
+    """Streaming over-by-size: input columns and ``outputs`` (DDL) for every row; ``shards`` as in ``_dealt``."""
+    groups, apart = _dealt(df, keys, shards)
+    return groups.transformWithState(RowsOver(df.schema, order, size, aggregate, T.StructType.fromDDL(outputs).names, apart), _added(df.schema, outputs), "Append", "None")
 
 
-def duration_over(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, aggregate: Aggregate, outputs: str, watermark: str, delay: str = "0 seconds") -> DataFrame:
-    """Streaming over-by-duration; ``watermark`` is the timestamp column that event time follows, ``time`` its epoch ms."""
-    slim = df.withWatermark(watermark, delay)
-    return slim.groupBy(*keys).transformWithState(DurationOver(df.schema, time, size_ms, aggregate, T.StructType.fromDDL(outputs).names), _added(df.schema, outputs), "Append", "EventTime")
+def duration_over(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, aggregate: Aggregate, outputs: str, watermark: str, delay: str = "0 seconds", shards: int | None = None) -> DataFrame:
+    """Streaming over-by-duration; ``watermark`` is the timestamp column that event time follows, ``time`` its epoch ms; ``shards`` as in ``_dealt``."""
+    groups, apart = _dealt(df.withWatermark(watermark, delay), keys, shards)
+    return groups.transformWithState(DurationOver(df.schema, time, size_ms, aggregate, T.StructType.fromDDL(outputs).names, apart), _added(df.schema, outputs), "Append", "EventTime")
 
 
 def reorder(df: DataFrame, keys: Sequence[str], time: str, delay_ms: int) -> DataFrame:
@@ -344,17 +414,19 @@ def late_rows(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, delay
     return df.groupBy(*keys).transformWithState(LateRows(time, size_ms, delay_ms), _added(df.schema, "window_start long"), "Append", "None")
 
 
-def in_order(df: DataFrame, keys: Sequence[str], time: str, order: str) -> DataFrame:
-    """A stream without the rows that are older than one of their key that came before them; ``order`` is how rows of a batch came."""
-    return df.groupBy(*keys).transformWithState(InOrder(time, order), df.schema, "Append", "None")
+def in_order(df: DataFrame, keys: Sequence[str], time: str, order: str, shards: int | None = None) -> DataFrame:
+    """A stream without the rows that are older than one of their key that came before them; ``order`` is how rows of a batch came, ``shards`` as in ``_dealt``."""
+    groups, apart = _dealt(df, keys, shards)
+    return groups.transformWithState(InOrder(df.schema, time, order, apart), df.schema, "Append", "None")
 
 
-def window_rows(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, slide_ms: int, function: Callable[[tuple[int, int], list[Row]], list[tuple]], outputs: str, watermark: str, delay: str = "0 seconds") -> DataFrame:
+def window_rows(df: DataFrame, keys: Sequence[str], time: str, size_ms: int, slide_ms: int, function: Callable[[tuple[int, int], list[Row]], list[tuple]], outputs: str, watermark: str, delay: str = "0 seconds", shards: int | None = None) -> DataFrame:
     """Streaming time-window callback: one or many rows a window, as the callable gives them; ``watermark`` is the
-    timestamp column that event time follows, ``time`` its epoch ms. All rows of a key's window pass through one call.
+    timestamp column that event time follows, ``time`` its epoch ms. All rows of a key's window pass through one call; ``shards`` as in ``_dealt``.
     """
     out = T.StructType.fromDDL(outputs)
-    return df.withWatermark(watermark, delay).groupBy(*keys).transformWithState(WindowRows(df.schema, time, size_ms, slide_ms, function, out.names), out, "Append", "EventTime")
+    groups, apart = _dealt(df.withWatermark(watermark, delay), keys, shards)
+    return groups.transformWithState(WindowRows(df.schema, time, size_ms, slide_ms, function, out.names, apart), out, "Append", "EventTime")
 
 
 def compat_slide(df: DataFrame, clock: str, key: str, time: str, order: str, size_ms: int, slide_ms: int, idle_ms: int | None = None) -> DataFrame:
@@ -363,4 +435,5 @@ def compat_slide(df: DataFrame, clock: str, key: str, time: str, order: str, siz
     """
     out = "clock string, key string, window_start long, n long, rows string"
     mode = "None" if idle_ms is None else "ProcessingTime"
-    return df.withColumn(clock, F.col(clock).cast("string")).groupBy(clock).transformWithState(CompatSlideProcessor(key, time, size_ms, slide_ms, order, idle_ms), T.StructType.fromDDL(out), "Append", mode)
+    whole = isinstance(df.schema[order].dataType, (T.IntegerType, T.LongType))
+    return df.withColumn(clock, F.col(clock).cast("string")).groupBy(clock).transformWithState(CompatSlideProcessor(key, time, size_ms, slide_ms, order, idle_ms, whole), T.StructType.fromDDL(out), "Append", mode)

@@ -210,3 +210,90 @@ print("whole")
     env = os.environ | {"PYTHONPATH": os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])}
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, cwd=tmp_path, timeout=300)
     assert "whole" in done.stdout, done.stderr[-3000:]
+
+
+class _Store:
+    """A state store and its calls, as a processor sees them."""
+
+    def __init__(self):
+        self.calls, self.timers, self.states = 0, set(), {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, _State(self, []))
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _State(self, None))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _State:
+    def __init__(self, store, value):
+        self.store, self.value = store, value
+
+    def _called(self, value):
+        self.store.calls += 1
+        self.value = value
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        self.store.calls += 1
+        return self.value
+
+    def put(self, values):
+        self._called(list(values))
+
+    def update(self, value):
+        self._called(value)
+
+    def appendValue(self, value):
+        self._called([*self.value, value])
+
+    def appendList(self, values):
+        self._called([*self.value, *values])
+
+    def clear(self):
+        self._called([])
+
+
+@pytest.mark.parametrize("kind", ["duration", "windows"])
+def test_state_is_asked_once_for_many_keys_and_rows(kind):
+    """Rows and timers of a set of keys take a few round trips, not some for each row."""
+    schema = T.StructType.fromDDL("k long, ts long")
+    rows = [Row(k=k, ts=1000 + 7 * i + k) for i in range(50) for k in range(20)]
+    late = Row(k=3, ts=5000)
+    if kind == "duration":
+        p = stateful.DurationOver(schema, "ts", 40, lambda held: (len(held),), ["n"], ["k"])
+        want = {(r.k, r.ts, sum(o.k == r.k and 0 <= o.ts - r.ts < 40 for o in rows)) for r in rows}
+    else:
+        p = stateful.WindowRows(schema, "ts", 40, 20, lambda w, held: [(held[0].k, w[0], len(held))], ["k", "s", "n"], ["k"])
+        starts = {(r.k, s) for r in rows for s in range(r.ts // 20 * 20 - 20, r.ts + 1, 20)}
+        want = {(k, s, sum(o.k == k and s <= o.ts < s + 40 for o in rows)) for k, s in starts}
+    store = _Store()
+    p.init(store)
+    got = list(p.handleInputRows((0,), iter([*rows, late]), None))
+    for mark in (1200, 3000):
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self, m=mark: m})()
+        for at in sorted(t for t in store.timers if t <= mark):
+            got += p.handleExpiredTimer((0,), clock, type("Info", (), {"getExpiryTimeInMs": lambda self, a=at: a})())
+            store.timers.discard(at)
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert min(store.timers) > 3000 and store.calls < 30
+
+
+def test_a_batch_of_a_clock_is_not_held_as_row_objects():
+    import tracemalloc
+
+    p = stateful.CompatSlideProcessor("key", "ms", 10, 5, "seq", whole=True)
+    p.init(_Store())
+    n, seen = 20_000, 0
+    tracemalloc.start()
+    for r in p.handleInputRows(("c",), (Row(clock="c", key="k", ms=1000 * i, seq=n - i) for i in range(n)), None):
+        seen += r.n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n - 1 and peak < 120 * n  # the first of the order is held; row objects take above 400 bytes each
